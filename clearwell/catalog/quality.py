@@ -309,7 +309,7 @@ RAW_CUSTOMERS = {
     "Cust Group": "c_custkey % 700",
     "Acct.Bal": "case when c_custkey % 700 < 100 then null else cast(c_custkey % 700 as double) / 4 end",
     " Segment": "case c_custkey % 7 when 0 then '  ' when 1 then 'None' when 2 then 'seg a ' else ' seg a' end",
-    "phone": "case when c_custkey % 700 < 20 then 'none' else cast(100 + c_custkey % 700 as varchar(10)) end",
+    "phone": "case when c_custkey % 700 % 25 = 3 then 'none' else cast(100 + c_custkey % 700 as varchar(10)) end",
     "Notes": "case when c_custkey % 700 < 10 then 'note' else null end",
 }
 CLEAN_NAMES = ["cust_group", "acct_bal", "segment", "phone", "notes"]

@@ -1,47 +1,46 @@
 """Upsert into a folder of Parquet files.
 
-Plain Parquet has no row updates. The merged table is written to a new folder next to the old one, and a small
-pointer file then names it; readers see the old table or the new one. The version before stays until the next
-upsert, for readers that have started on it.
+Plain Parquet has no row updates. Each merge writes the whole table to a new version folder; the newest version
+that carries Spark's success marker is the table, so readers see the old rows or the new ones. The version
+before stays until the next upsert, for readers that have started on it.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.merge import upsert
 
-POINTER = "_CURRENT"
-
 
 def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    _, fs, p = _fs(spark, path)
+    fs, p = _fs(spark, path)
     return fs.exists(p)
 
 
-def current_version(spark: SparkSession, path: str) -> str | None:
-    pointer = f"{path}/{POINTER}"
-    if not exists(spark, pointer):
-        return None
-    return spark.read.text(pointer).first()[0].strip()
+def current_version(spark: SparkSession, path: str) -> int:
+    """Number of the newest finished version, 0 when there is none."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return 0
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    versions = sorted((int(n[1:]) for n in names if re.fullmatch(r"v\d{8}", n)), reverse=True)
+    return next((v for v in versions if exists(spark, f"{_folder(path, v)}/_SUCCESS")), 0)
 
 
-def _point_to(spark: SparkSession, path: str, version: str) -> None:
-    jvm, fs, pointer = _fs(spark, f"{path}/{POINTER}")
-    stream = fs.create(pointer, True)
-    stream.write(bytearray(version.encode()))
-    stream.close()
+def _folder(path: str, version: int) -> str:
+    return f"{path}/v{version:08d}"
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     version = current_version(spark, path)
-    return spark.read.parquet(f"{path}/{version}" if version else path)
+    return spark.read.parquet(_folder(path, version) if version else path)
 
 
 def upsert_table(
@@ -49,11 +48,8 @@ def upsert_table(
 ) -> None:
     """Merge rows into the table at ``path``; a missing table is created."""
     old = current_version(spark, path)
-    number = int(old.removeprefix("v")) if old else 0
-    new = f"v{number + 1:08d}"
-    target = spark.read.parquet(f"{path}/{old}") if old else incoming.limit(0)
-    upsert(target, incoming, keys, order_by).write.mode("overwrite").parquet(f"{path}/{new}")
-    _point_to(spark, path, new)
-    if number > 1:
-        _, fs, stale = _fs(spark, f"{path}/v{number - 1:08d}")
+    target = spark.read.parquet(_folder(path, old)) if old else incoming.limit(0)
+    upsert(target, incoming, keys, order_by).write.mode("overwrite").parquet(_folder(path, old + 1))
+    if old > 1:
+        fs, stale = _fs(spark, _folder(path, old - 1))
         fs.delete(stale, True)

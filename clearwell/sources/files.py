@@ -14,8 +14,7 @@ from ..functions.values import col, parse_timestamp
 from ..operators.dedup import _as_list
 from .typing import infer_types, na_to_null, typed
 
-# A text that no file holds, so that an empty field stays an empty text until the width of its line is known.
-NO_NULL = "\u0001"
+WHOLE_LINE = "__line"
 
 
 def suffix_of(path: str) -> str:
@@ -77,24 +76,29 @@ def read_delimited(spark: SparkSession, path, config: dict | None = None) -> Del
     encoding = config.get("encoding", "utf-8")
     skip = int(config.get("skip_rows", 0) or 0)
     options = {
-        "sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "nullValue": NO_NULL, "emptyValue": "",
-        "mode": "PERMISSIVE",
+        "sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": WHOLE_LINE, "columnPruning": "false",
     }
     lines = spark.read.option("encoding", encoding).text(path)
     head = [r[0] for r in lines.limit(skip + 1).collect()]
     if len(head) <= skip:
         raise ValueError(f"no header line in {path}")
     names = _header(head[skip:], sep)
-    raw_names = [f"c{i}" for i in range(len(names))] + ["__extra"]
-    raw_schema = ", ".join(f"{c} string" for c in raw_names)
+    raw_schema = ", ".join(f"{c} string" for c in [*(f"c{i}" for i in range(len(names))), WHOLE_LINE])
     if skip:
         body = _skip_leading_lines(lines, skip + 1).filter("trim(value) <> ''")
         raw = body.select(F.from_csv("value", raw_schema, options).alias("r")).select("r.*")
     else:
         reader = spark.read.options(header=True, multiLine=bool(config.get("multiline", False)), **options)
         raw = reader.schema(raw_schema).csv(path)
-    rejects = raw.filter("__extra is not null").toDF(*names, "__extra")
-    texts = raw.filter("__extra is null").select(
+    # A line is kept whole only when its width is not the header's. It is too long when it still reaches the last
+    # column; otherwise its fields are counted.
+    fields = F.size(F.split(F.regexp_replace(WHOLE_LINE, '"(?:[^"]|"")*"', ""), rf"\Q{sep}\E", -1))
+    reaches_end = F.col(f"c{len(names) - 1}").isNotNull()
+    # One expression, so that no part of it is evaluated by the parser before the line is set.
+    too_long = F.when(F.col(WHOLE_LINE).isNull(), False).otherwise(reaches_end | (fields > len(names)))
+    rejects = raw.filter(too_long).select(F.col(WHOLE_LINE).alias("line"))
+    texts = raw.filter(~too_long).select(
         *[na_to_null(F.col(f"c{i}")).alias(name) for i, name in enumerate(names)]
     )
 
