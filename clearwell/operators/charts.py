@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.values import col, is_numeric, is_text, nan_to_null
 from .dedup import duplicate_counts
-from .quantiles import grouped_quantiles
+from .quantiles import column_quantiles
 
 
 def null_matrix(df: DataFrame, order_by: list[str] | None = None, max_columns: int = 30, rows: int = 200) -> DataFrame:
@@ -86,10 +86,10 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
 def histogram_lines(df: DataFrame, column: str) -> DataFrame:
     """The mean and the exact median of a column, one row."""
     value = nan_to_null(col(column), df.schema[column].dataType).cast("double")
-    data = df.select(F.lit(column).alias("column"), value.alias("v"))
-    means = data.groupBy("column").agg(F.avg("v").alias("mean"))
-    medians = grouped_quantiles(data, ["column"], "v", [0.5], few_groups=True)
-    return means.join(medians.select("column", F.col("q")[0].alias("median")), "column", "left")
+    median = column_quantiles(df, [column], [0.5]).get(column, [None])[0]
+    return df.agg(F.avg(value).alias("mean")).select(
+        F.lit(column).alias("column"), "mean", F.lit(median).cast("double").alias("median")
+    )
 
 
 def daily_status_pivot(runs: DataFrame, statuses: tuple[str, ...] = ("success", "failed", "running", "pending")) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions.values import col, is_fractional, is_numeric, is_temporal, is_text, nan_to_null
 from .carry import carry_fill
 from .dedup import _as_list
-from .quantiles import quantile_map
+from .quantiles import column_quantiles
 
 STRATEGIES = ("constant", "mean", "median", "mode", "ffill", "bfill", "drop")
 
@@ -92,8 +92,8 @@ def _median(df: DataFrame, columns: list[str], approx: bool) -> DataFrame:
         row = df.agg(stats.alias("__s")).scalar()
         value = {c: row.getField(c) for c in columns}
     else:
-        medians = quantile_map(df, columns, 0.5)
-        value = {c: medians[c] for c in columns}
+        medians = column_quantiles(df, columns, [0.5])
+        value = {c: F.lit(medians.get(c, [None])[0]).cast("double") for c in columns}
     return df.withColumns(
         {c: F.coalesce(nan_to_null(col(c), types[c]).cast("double"), value[c]) for c in columns}
     )
@@ -139,7 +139,8 @@ def fill_missing(df: DataFrame, config: dict) -> DataFrame:
     ``order_by``/``partition_by``/``rows_per_bucket`` (carried values), ``approx`` (median), ``widen``.
 
     ``threshold`` first drops rows whose share of missing values over the columns exceeds it. Mean and median
-    apply to numeric columns; other columns get the constant, as with the default strategy.
+    apply to numeric columns; other columns get the constant, as with the default strategy. The exact median and
+    the carried values run small-result jobs when the plan is built; ``approx`` avoids that for the median.
     """
     columns = [c for c in (_as_list(config.get("columns")) or df.columns) if c in df.columns]
     strategy = config.get("strategy", "constant")

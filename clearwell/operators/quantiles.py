@@ -8,7 +8,10 @@ result is exact (linear interpolation between the two neighbouring ranks).
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,10 +19,12 @@ from pyspark.sql import functions as F
 from ..functions.values import col, nan_to_null
 
 SKETCH_ACCURACY = 10_000
-# Three times the rank error the sketch guarantees.
-BRACKET_MARGIN = 3.0 / SKETCH_ACCURACY
 # Groups up to this size are ranked whole.
 SMALL_GROUP = 100_000
+# Tables of at most so many numbers are small enough for one task.
+SMALL_TABLE = 4_000_000
+# Brackets with more values than this are narrowed before they are ranked.
+MOST_INSIDE = 2_000_000
 
 
 def grouped_quantiles(
@@ -27,17 +32,15 @@ def grouped_quantiles(
     keys: Sequence[str],
     value: str,
     probs: Sequence[float],
-    few_groups: bool = False,
     small_group: int = SMALL_GROUP,
     accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
     """One row per key group: the keys, ``n`` (non-null values) and ``q`` (array, one entry per probability).
 
-    Keys must not be null. ``few_groups`` says that the number of groups is bounded by the caller (a column
-    name, say), so that the table of brackets may be broadcast; otherwise the join is left to the planner and
-    AQE splits a hot key.
+    Keys must not be null. How the brackets are joined back is left to the planner; AQE splits a hot key.
     """
     keys = list(keys)
+    # Three times the rank error the sketch guarantees.
     margin = 3.0 / accuracy
     lo_at = [max(0.0, p - margin) for p in probs]
     hi_at = [min(1.0, p + margin) for p in probs]
@@ -59,7 +62,7 @@ def grouped_quantiles(
     brackets = sketch.select(
         *keys, "__n", F.array(*lows).alias("__lo"), F.array(*highs).alias("__hi")
     )
-    joined = data.join(F.broadcast(brackets) if few_groups else brackets, keys)
+    joined = data.join(brackets, keys)
     marks = F.array(
         *[
             F.when(
@@ -91,32 +94,161 @@ def grouped_quantiles(
         F.min(F.when(F.col("__cum") > upper, F.col("__x"))).alias("__z"),
         F.coalesce(F.max(F.when(F.col("__x").isNull(), F.col("__c"))), F.lit(0)).alias("__below"),
     )
-    # The sketch guarantees this; a violation must never pass as a wrong number.
     ok = (F.col("__below") <= F.floor("__pos")) & F.col("__z").isNotNull()
-    exact = F.when(
-        ok, F.col("__a") + (F.col("__z") - F.col("__a")) * (F.col("__pos") - F.floor("__pos"))
-    ).otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
+    exact = F.when(ok, _between("__a", "__z", "__pos")).otherwise(_missed())
     per_rank = found.select(*keys, "__n", "__i", exact.alias("__q"))
     return per_rank.groupBy(*keys, "__n").agg(
         *[F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(f"__q{i}") for i in range(m)]
     ).select(*keys, F.col("__n").alias("n"), F.array(*[F.col(f"__q{i}") for i in range(m)]).alias("q"))
 
 
-def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], **options) -> DataFrame:
-    """Quantiles of several numeric columns of one frame: rows ``(column, n, q)``; all-null columns are absent."""
+@dataclass
+class _Rank:
+    """One wanted rank of one column: everything in [lo, hi], with ``below`` values under it, may be it."""
+
+    column: int
+    size: int
+    prob: float
+    lo: float = float("-inf")
+    hi: float = float("inf")
+    below: int = 0
+    inside: int = 0
+    done: bool = False
+
+    @property
+    def position(self) -> float:
+        return self.prob * (self.size - 1)
+
+    def holds(self) -> bool:
+        return self.below <= math.floor(self.position) and math.ceil(self.position) < self.below + self.inside
+
+    def within(self):
+        v = F.col(f"v{self.column}")
+        return (v >= F.lit(self.lo)) & (v <= F.lit(self.hi))
+
+
+def column_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    rows: int | None = None,
+    small_table: int = SMALL_TABLE,
+    small_group: int = SMALL_GROUP,
+    accuracy: int = SKETCH_ACCURACY,
+    most_inside: int = MOST_INSIDE,
+) -> dict[str, list[float]]:
+    """Quantiles of several numeric columns of one frame, by column; all-null columns are absent.
+
+    Runs a few jobs that scan these columns, shuffle none of their rows and return a few numbers a column:
+    sketches, then counts below and inside the brackets, again while a bracket is too full, then the ranking of
+    what is inside. Tables of up to ``small_table`` cells (``rows`` is their row count, if known) take the
+    built-in exact percentile, which holds their values in one task.
+    """
+    if not columns:
+        return {}
     types = {f.name: f.dataType for f in df.schema.fields}
-    values = F.array(
+    data = df.select(
+        *[nan_to_null(col(c), types[c]).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
+    )
+    names = data.columns
+    if (data.count() if rows is None else rows) * len(names) <= small_table:
+        row = data.agg(*[F.percentile(v, [float(p) for p in probs]).alias(v) for v in names]).first()
+        return {c: list(row[v]) for c, v in zip(columns, names) if row[v] is not None}
+    margin = 3.0 / accuracy
+    ends = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+    row = data.agg(
+        *[F.count(v).alias(f"n_{v}") for v in names],
+        *[F.percentile_approx(v, ends, accuracy).alias(f"b_{v}") for v in names],
+    ).first()
+    sizes = [row[f"n_{v}"] for v in names]
+    m = len(probs)
+    ranks = []
+    for i, n in enumerate(sizes):
+        for j, p in enumerate(probs):
+            if n:
+                rank = _Rank(i, n, p)
+                if n > small_group:
+                    bounds = row[f"b_v{i}"]
+                    rank.lo = bounds[j] if ends[j] > 0 else rank.lo
+                    rank.hi = bounds[m + j] if ends[m + j] < 1 else rank.hi
+                ranks.append(rank)
+    _count(data, ranks)
+    for rank in ranks:
+        if not rank.holds():
+            rank.lo, rank.hi = float("-inf"), float("inf")
+    _count(data, [r for r in ranks if not r.holds()])
+    while full := [r for r in ranks if r.inside > most_inside and r.lo < r.hi and not r.done]:
+        _narrow(data, full, margin, accuracy)
+    values = _pick(data, ranks)
+    out: dict[str, list[float]] = {}
+    for rank, value in zip(ranks, values):
+        out.setdefault(columns[rank.column], []).append(value)
+    return out
+
+
+def _count(data: DataFrame, ranks: list[_Rank]) -> None:
+    if not ranks:
+        return
+    row = data.agg(
+        *[F.count_if(F.col(f"v{r.column}") < F.lit(r.lo)).alias(f"below_{k}") for k, r in enumerate(ranks)],
+        *[F.count_if(r.within()).alias(f"inside_{k}") for k, r in enumerate(ranks)],
+    ).first()
+    for k, rank in enumerate(ranks):
+        rank.below, rank.inside = row[f"below_{k}"], row[f"inside_{k}"]
+
+
+def _narrow(data: DataFrame, ranks: list[_Rank], margin: float, accuracy: int) -> None:
+    """Bracket each rank anew among the values inside its bracket."""
+    ends = []
+    for r in ranks:
+        first, last = (f(r.position) - r.below for f in (math.floor, math.ceil))
+        span = max(r.inside - 1, 1)
+        ends.append([max(0.0, first / span - margin), min(1.0, last / span + margin)])
+    row = data.agg(
         *[
-            F.struct(F.lit(c).alias("column"), nan_to_null(col(c), types[c]).cast("double").alias("value"))
-            for c in columns
+            F.percentile_approx(F.when(r.within(), F.col(f"v{r.column}")), e, accuracy).alias(f"b_{k}")
+            for k, (r, e) in enumerate(zip(ranks, ends))
         ]
+    ).first()
+    old = [(r.lo, r.hi, r.below, r.inside) for r in ranks]
+    for k, rank in enumerate(ranks):
+        rank.lo, rank.hi = row[f"b_{k}"]
+    _count(data, ranks)
+    for rank, (lo, hi, below, inside) in zip(ranks, old):
+        if not rank.holds() or rank.inside == inside:
+            # No progress (a few values fill the bracket); grouping collapses them when they are ranked.
+            rank.lo, rank.hi, rank.below, rank.inside, rank.done = lo, hi, below, inside, True
+
+
+def _pick(data: DataFrame, ranks: list[_Rank]) -> list[float]:
+    inside = [r.within() for r in ranks]
+    entries = [
+        F.when(hit, F.struct(F.lit(k).alias("r"), F.col(f"v{rank.column}").alias("x")))
+        for k, (rank, hit) in enumerate(zip(ranks, inside))
+    ]
+    counted = (
+        data.filter(functools.reduce(lambda a, b: a | b, inside))
+        .select(F.explode(F.array(*entries)).alias("e"))
+        .filter("e is not null")
+        .groupBy(F.col("e.r").alias("r"), F.col("e.x").alias("x"))
+        .agg(F.count(F.lit(1)).alias("c"))
     )
-    long_rows = df.select(F.inline(values))
-    return grouped_quantiles(long_rows, ["column"], "value", probs, few_groups=True, **options)
+    running = Window.partitionBy("r").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = F.element_at(F.lit([r.below for r in ranks]).cast("array<bigint>"), F.col("r") + 1)
+    position = F.element_at(F.lit([float(r.position) for r in ranks]), F.col("r") + 1)
+    placed = counted.select("r", "x", (offsets + F.sum("c").over(running)).alias("cum"), position.alias("pos"))
+    found = placed.groupBy("r", "pos").agg(
+        F.min(F.when(F.col("cum") > F.floor("pos"), F.col("x"))).alias("a"),
+        F.min(F.when(F.col("cum") > F.ceil("pos"), F.col("x"))).alias("z"),
+    )
+    got = {r["r"]: r["q"] for r in found.select("r", _between("a", "z", "pos").alias("q")).collect()}
+    return [got[k] for k in range(len(ranks))]
+
+
+def _between(a: str, z: str, pos: str):
+    return F.col(a) + (F.col(z) - F.col(a)) * (F.col(pos) - F.floor(pos))
 
 
-def quantile_map(df: DataFrame, columns: Sequence[str], p: float, **options):
-    """Scalar sub-query column: a map from column name to its quantile. One entry per column."""
-    table = column_quantiles(df, columns, [p], **options)
-    entries = F.collect_list(F.struct("column", F.col("q")[0]))
-    return table.agg(F.map_from_entries(entries)).scalar()
+def _missed():
+    # The sketch guarantees its brackets; a violation must never pass as a wrong number.
+    return F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")

@@ -44,7 +44,25 @@ def test_grouped_quantiles(spark, shape):
 
 def test_column_quantiles_leave_out_unknown_columns(spark):
     df = spark.createDataFrame([(1, None), (2, None), (4, None)], "a int, b double")
-    assert [(r["column"], r["q"]) for r in column_quantiles(df, ["a", "b"], [0.5]).collect()] == [("a", [2.0])]
+    assert column_quantiles(df, ["a", "b"], [0.5]) == {"a": [2.0]}
+    assert column_quantiles(df, ["a", "b"], [0.5], small_table=0, small_group=1) == {"a": [2.0]}
+    assert column_quantiles(df.limit(0), ["a"], [0.5]) == {} and column_quantiles(df, [], [0.5]) == {}
+
+
+@pytest.mark.parametrize("most_inside", [10, 100_000])
+def test_column_quantiles(spark, most_inside):
+    """With coarse sketches and tiny brackets every narrowing step is taken."""
+    rng = random.Random(3)
+    rows = [
+        (rng.gauss(0, 9), 7.0 if rng.random() < 0.6 else rng.random() * 20, rng.randrange(3), None if i % 9 else i)
+        for i in range(12_000)
+    ]
+    df = spark.createDataFrame(rows, "a double, b double, c int, d int").repartition(5)
+    probs = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = column_quantiles(df, ["a", "b", "c", "d"], probs, small_table=0, small_group=100, accuracy=50, most_inside=most_inside)
+    for i, c in enumerate("abcd"):
+        known = [r[i] for r in rows if r[i] is not None]
+        assert got[c] == pytest.approx([exact(known, p) for p in probs])
 
 
 def test_most_frequent_breaks_ties_by_value(spark):
