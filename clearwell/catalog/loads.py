@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.merge import upsert
-from ..plans.bookkeeping import mask_secrets
+from ..plans.bookkeeping import Bookkeeping, mask_secrets
+from ..plans.pipeline import run_pipeline
+from ..session import staging_path
+from ..sinks import load
+from ..sinks.tables import read_table
 from ..sources.files import read_file
 from ..sources.jdbc import read_query
-from ..sources.jsondata import flatten, records_from_bodies
-from ..sources.textlines import split_lines
+from ..sources.jsondata import flatten, read_json_records, records_from_bodies
+from ..sources.registry import extract
+from ..sources.rest import read_api
+from ..sources.textlines import numbered_lines, read_text_table, split_lines
 from ..streaming.incremental import advance_checkpoints, filter_since, high_water_mark
 from .base import query, table
 
@@ -169,3 +175,156 @@ def _(spark, d):
     masked = mask_secrets(sources)
     names = ["host", "password", "API_KEY", "port"]
     return masked.select("s_suppkey", *[F.col("connection_config")[n].alias(n) for n in names])
+
+
+# -- files written and read back ---------------------------------------------------------------------------
+
+
+def _written(df, kind: str, **config) -> str:
+    """Path of the frame written by a sink to a new folder; an error of the sink is raised."""
+    path = staging_path(df.sparkSession, kind)
+    result = load(df, {"type": kind, "path": path, **config})
+    if not result.success:
+        raise RuntimeError(result.error)
+    return path
+
+
+@query(
+    "file_csv",
+    """select o_orderkey, o_totalprice, o_orderdate, o_orderpriority,
+              case when o_orderkey % 3 = 0 then 'a "quoted", text' end as note from orders""",
+)
+def _(spark, d):
+    rows = table(spark, d, "orders").selectExpr(
+        "o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority",
+        "case when o_orderkey % 3 = 0 then 'a \"quoted\", text' end as note",
+    )
+    path = _written(rows, "csv")
+    return extract(spark, {"type": "csv", "path": path, "date_columns": ["o_orderdate"]})
+
+
+@query("file_csv_append", "select * from nation union all select * from nation")
+def _(spark, d):
+    nations = table(spark, d, "nation")
+    path = _written(nations, "csv")
+    load(nations, {"type": "csv", "path": path, "mode": "append"})
+    schema = "n_nationkey int, n_name string, n_regionkey int"
+    return extract(spark, {"type": "csv", "path": path, "schema": schema})
+
+
+@query("file_json_lines", "select event_id, event_type, user_id, value from events")
+def _(spark, d):
+    return read_json_records(spark, _written(table(spark, d, "events").select("event_id", "event_type", "user_id", "value"), "json"))
+
+
+@query("file_parquet", "select * from part")
+def _(spark, d):
+    path = _written(table(spark, d, "part"), "parquet", compression="gzip")
+    return extract(spark, {"type": "parquet", "path": path + "/*.parquet"})
+
+
+@query("file_text_delimited", "select p_partkey, p_name, p_size from part")
+def _(spark, d):
+    path = staging_path(spark, "text")
+    table(spark, d, "part").select("p_partkey", "p_name", "p_size").write.option("sep", "|").csv(path, header=True)
+    return read_text_table(spark, path).withColumn("p_size", F.col("p_size").cast("int"))
+
+
+@query(
+    "file_text_lines",
+    """select text, count(*) as n from (select rtrim(unnest(string_split(text, chr(10)))) as text from documents)
+       where text <> '' group by text""",
+)
+def _(spark, d):
+    path = staging_path(spark, "lines")
+    table(spark, d, "documents").select("text").write.text(path)
+    lines = numbered_lines(spark, path)
+    return lines.groupBy("text").agg(F.count_distinct("file", "line_number").alias("n"))
+
+
+@query(
+    "table_upsert",
+    """select s_suppkey, s_name, s_acctbal from supplier where s_acctbal <= 4000
+       union all select s_suppkey, upper(s_name), s_acctbal + 1 from supplier where s_acctbal > 4000""",
+)
+def _(spark, d):
+    suppliers = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    path = _written(suppliers, "parquet", mode="upsert", upsert_key=["s_suppkey"])
+    changed = suppliers.filter("s_acctbal > 4000").selectExpr(
+        "s_suppkey", "upper(s_name) as s_name", "s_acctbal + 1 as s_acctbal"
+    )
+    load(changed, {"type": "parquet", "path": path, "mode": "upsert", "upsert_key": "s_suppkey"})
+    return read_table(spark, path)
+
+
+@query("api_pages", "select s_suppkey, s_name from supplier")
+def _(spark, d):
+    def fetch(url, params):
+        import pyarrow.parquet as pq
+
+        size, page = params["per_page"], params["page"]
+        rows = pq.read_table(url, columns=["s_suppkey", "s_name"]).slice((page - 1) * size, size).to_pylist()
+        return {"results": rows, "next": page + 1 if len(rows) == size else None}
+
+    config = {
+        "url": f"{d}/supplier.parquet", "data_key": "results", "schema": "struct<s_suppkey: bigint, s_name: string>",
+        "pagination": {"size": 250, "max_pages": None},
+    }
+    return read_api(spark, config, fetch)
+
+
+# -- whole pipelines ---------------------------------------------------------------------------------------
+
+
+def _orders_pipeline(spark, d):
+    """Clean the orders and upsert them, with checks, mark and run row."""
+    root = staging_path(spark, "pipeline")
+    store = Bookkeeping(spark, f"{root}/books")
+    config = {
+        "incremental": True,
+        "source": {
+            "type": "parquet", "name": "orders", "path": f"{d}/orders.parquet", "checkpoint_column": "o_orderkey",
+        },
+        "transformations": [
+            {"name": "remove_duplicates", "config": {"subset": ["o_orderkey"], "order_by": ["o_orderdate"]}},
+            {"name": "normalize_text", "config": {"columns": ["o_orderpriority"]}},
+            {"name": "filter_rows", "config": {"expression": "o_totalprice > 1000"}},
+        ],
+        "quality": {"required_columns": ["o_orderkey"], "unique_keys": ["o_orderkey"]},
+        "destination": {"type": "parquet", "path": f"{root}/orders", "mode": "upsert", "upsert_key": ["o_orderkey"]},
+    }
+    run_pipeline(spark, "orders", config, store)
+    return store, f"{root}/orders"
+
+
+@query(
+    "pipeline_output",
+    """select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, lower(o_orderpriority) as o_orderpriority
+       from orders where o_totalprice > 1000""",
+)
+def _(spark, d):
+    return read_table(spark, _orders_pipeline(spark, d)[1])
+
+
+@query(
+    "pipeline_books",
+    """select 'orders' as pipeline_name, 'success' as status, count(*) as records_extracted,
+              count(*) filter (where o_totalprice > 1000) as records_transformed,
+              count(*) filter (where o_totalprice > 1000) as records_loaded, cast(100 as double) as quality_score
+       from orders""",
+)
+def _(spark, d):
+    runs = _orders_pipeline(spark, d)[0].read("pipeline_runs")
+    return runs.select(
+        "pipeline_name", "status", "records_extracted", "records_transformed", "records_loaded",
+        F.col("quality_score").cast("double").alias("quality_score"),
+    )
+
+
+@query(
+    "pipeline_checkpoint",
+    """select 'orders' as pipeline_name, 'orders' as source_name, 'watermark' as checkpoint_key,
+              cast(max(o_orderkey) as varchar) as checkpoint_value, 'bigint' as value_type from orders""",
+)
+def _(spark, d):
+    return _orders_pipeline(spark, d)[0].read("etl_checkpoints").drop("updated_at")

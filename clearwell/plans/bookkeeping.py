@@ -66,10 +66,15 @@ class Bookkeeping:
             return read_table(self.spark, self.path(table))
         return self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.names)
 
+    def frame(self, table: str, rows: list[dict]) -> DataFrame:
+        """A few rows of a table, in one partition."""
+        schema = T.StructType.fromDDL(SCHEMAS[table])
+        return self.spark.createDataFrame([tuple(r.get(c) for c in schema.names) for r in rows], schema).coalesce(1)
+
     def append(self, table: str, rows: DataFrame | list[dict]) -> None:
         schema = T.StructType.fromDDL(SCHEMAS[table])
         if isinstance(rows, list):
-            rows = self.spark.createDataFrame([tuple(r.get(c) for c in schema.names) for r in rows], schema)
+            rows = self.frame(table, rows)
         else:
             rows = rows.select(
                 *[
@@ -77,7 +82,6 @@ class Bookkeeping:
                     for f in schema.fields
                 ]
             )
-        writer = rows
         if table in PARTITIONS:
             writer = rows.withColumn(PARTITIONS[table], F.to_date("started_at")).write.partitionBy(PARTITIONS[table])
         else:

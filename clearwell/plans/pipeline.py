@@ -21,7 +21,7 @@ from ..functions.values import col
 from ..operators.quality import evaluate_quality, quality_gate
 from ..operators.rules import TransformationResult, apply_rules
 from ..operators.runs import alert_events
-from ..session import shared_dir
+from ..session import discard, shared_dir, staging_path
 from ..sinks.writers import load
 from ..sources.registry import extract
 from ..streaming.incremental import as_text, larger_mark
@@ -72,6 +72,7 @@ class Run:
     started_at: dt.datetime = field(default_factory=_now)
     tasks: list[dict] = field(default_factory=list)
     values: dict = field(default_factory=dict)
+    counted_from: dt.datetime | None = None
 
     def finish(self, status: str, error: str | None = None) -> dict:
         end = _now()
@@ -79,7 +80,7 @@ class Run:
         return {
             "run_id": self.run_id, "pipeline_name": self.pipeline_name, "status": status,
             "triggered_by": self.triggered_by, "config_snapshot": snapshot, "started_at": self.started_at,
-            "finished_at": end, "duration_seconds": _decimal((end - self.started_at).total_seconds()),
+            "finished_at": end, "duration_seconds": _decimal((end - (self.counted_from or self.started_at)).total_seconds()),
             "error_message": error, **self.values,
         }
 
@@ -100,15 +101,21 @@ def _decimal(x: float):
 
 
 def run_pipeline(
-    spark: SparkSession, name: str, config: dict, store: Bookkeeping, triggered_by: str = "scheduler"
+    spark: SparkSession,
+    name: str,
+    config: dict,
+    store: Bookkeeping,
+    triggered_by: str = "scheduler",
+    interval_start: dt.datetime | None = None,
 ) -> dict:
     """Extract, transform, check, load, save the mark, book the run. Returns the run's summary.
 
     The mark is saved after a successful load only, so a crash in between repeats rows, and an upsert sink makes
     that harmless. Config: ``source``, ``transformations``, ``quality``, ``quality_threshold``,
-    ``on_low_quality`` ('warn' or 'fail'), ``destination``, ``incremental``.
+    ``on_low_quality`` ('warn' or 'fail'), ``destination``, ``incremental``. A scheduled run gives the start of
+    its data interval, from which its duration is then counted.
     """
-    run = Run(name, config, triggered_by)
+    run = Run(name, config, triggered_by, counted_from=interval_start)
     alerts: dict = {}
     try:
         summary = _execute(spark, run, config, store, alerts)
@@ -136,7 +143,7 @@ def _execute(spark: SparkSession, run: Run, config: dict, store: Bookkeeping, al
         seen = Observation(f"mark-{uuid.uuid4().hex[:12]}")
         watched = raw.observe(seen, as_text(F.max(col(mark_column))).alias("mark"))
     result = _transform(watched, name, config, run.run_id, observe=True)
-    staged_path = f"{shared_dir(spark)}/staged/{name}/{run.run_id}"
+    staged_path = staging_path(spark, name)
     result.data.write.mode("overwrite").parquet(staged_path)
     staged = spark.read.schema(result.data.schema).parquet(staged_path)
     run.task("extract", started, records_out=result.records_in)
@@ -159,6 +166,7 @@ def _execute(spark: SparkSession, run: Run, config: dict, store: Bookkeeping, al
     run.values.update(records_loaded=loaded.records_loaded, records_failed=loaded.records_failed)
     if not loaded.success:
         raise RuntimeError(f"Load failed: {loaded.error}")
+    discard(spark, staged_path)
     if seen is not None and source["incremental"]:
         value = larger_mark(mark[0] if mark else None, seen.get["mark"], mark_type, spark)
         if value is not None:
@@ -174,10 +182,7 @@ def _book(store: Bookkeeping, run: Run, row: dict, alerts: dict) -> None:
     store.append("pipeline_runs", [row])
     if run.tasks:
         store.append("pipeline_tasks", run.tasks)
-    booked = store.read("pipeline_runs").filter(
-        (F.col("run_id") == run.run_id) & (F.col("started_at") == F.lit(run.started_at))
-    )
-    events = alert_events(booked, alerts.get("threshold", 0.80))
+    events = alert_events(store.frame("pipeline_runs", [row]), alerts.get("threshold", 0.80))
     store.append("alert_history", events.withColumn("sent_at", F.lit(row["finished_at"])))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,11 +50,23 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.sc().getCheckpointDir().get()
 
 
+def staging_path(spark: SparkSession, label: str) -> str:
+    """A new folder name under the shared folder."""
+    return f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written rows.
+    """Write ``df`` once to the shared folder and go on from the written table.
 
-    Used before several statistics passes over an expensive frame. The rows live in reliable storage, so a
-    lost executor costs a re-read and not a recomputation.
+    Used before several statistics passes over an expensive frame. The rows lie in reliable storage, so a lost
+    executor costs a re-read and not a recomputation, and each pass reads only the columns it needs.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = staging_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder that this package wrote."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
