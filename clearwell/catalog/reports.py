@@ -59,7 +59,8 @@ def dec(x: str, digits: int) -> str:
 @query(
     "run_health",
     f"""select case when rate >= 95 then 'healthy' when rate >= 80 then 'degraded' else 'critical' end as health,
-               rate as success_rate_pct, total_runs, runs_last_24h, currently_running, avg_quality_score
+               rate as success_rate_pct, total_runs, runs_last_24h, currently_running, avg_quality_score,
+               timestamp '2024-01-31 00:00:00' as checked_at
         from (select round(count(*) filter (where {OK}) * 100.0 / count(*) filter (where {OK} or {BAD}), 1) as rate,
                      count(*) as total_runs, count(*) filter (where {SINCE.format(n=24, unit='hour')}) as runs_last_24h,
                      count(*) filter (where {RUN}) as currently_running,

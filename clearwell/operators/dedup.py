@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ def _as_list(value) -> list[str]:
 def remove_duplicates(df: DataFrame, config: dict) -> DataFrame:
     """Config: ``subset`` (columns, default all), ``keep`` ('first', 'last' or False), ``order_by``.
 
-    Rows of a DataFrame have no position, so first and last of a subset need ``order_by``; the remaining
-    columns break ties. Every form groups with a map-side pre-aggregation, so a key that owns a third of the
+    Rows of a DataFrame have no position: first and last of a subset go by ``order_by``, and the remaining columns
+    break ties (or decide alone, with a warning, when there is no ``order_by``). Every form groups with a map-side pre-aggregation, so a key that owns a third of the
     rows reaches the shuffle as one row per task.
     """
     subset = _as_list(config.get("subset"))
@@ -46,7 +48,7 @@ def remove_duplicates(df: DataFrame, config: dict) -> DataFrame:
         picked = groups.filter("__n = 1")
     else:
         if not order_by:
-            raise ValueError("remove_duplicates: keep='first'/'last' on a subset needs order_by")
+            warnings.warn(f"remove_duplicates: no order_by, so {keep} means by the other columns of the row")
         ranked = [c for c in order_by if c in rest] + [c for c in rest if c not in order_by]
         types = {f.name: f.dataType for f in df.schema.fields}
         sortable = [c for c in ranked if is_orderable(types[c])]

@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import col, is_fractional, is_numeric, is_temporal, is_text, nan_to_null
+from ..functions.values import col, is_numeric, is_temporal, is_text, nan_to_null
+from ..session import materialize
 from .carry import carry_fill
 from .dedup import _as_list
 from .quantiles import column_quantiles
 
-STRATEGIES = ("constant", "mean", "median", "mode", "ffill", "bfill", "drop")
+TWICE_READ = ("mean", "median", "mode", "ffill", "bfill")
 
 
 def missing(c: str, dtype: T.DataType) -> Column:
@@ -141,6 +142,8 @@ def fill_missing(df: DataFrame, config: dict) -> DataFrame:
     ``threshold`` first drops rows whose share of missing values over the columns exceeds it. Mean and median
     apply to numeric columns; other columns get the constant, as with the default strategy. The exact median and
     the carried values run small-result jobs when the plan is built; ``approx`` avoids that for the median.
+    Statistics and carried values read the input more than once: ``stage`` writes it to the shared folder first,
+    which pays when expensive rules come before.
     """
     columns = [c for c in (_as_list(config.get("columns")) or df.columns) if c in df.columns]
     strategy = config.get("strategy", "constant")
@@ -154,6 +157,8 @@ def fill_missing(df: DataFrame, config: dict) -> DataFrame:
     if threshold is not None:
         gaps = functools.reduce(operator.add, [missing(c, types[c]).cast("int") for c in columns])
         df = df.filter(gaps / F.lit(len(columns)) <= F.lit(float(threshold)))
+    if config.get("stage") and strategy in TWICE_READ:
+        df = materialize(df)
     if strategy == "drop":
         return df.na.drop(subset=["`" + c + "`" if "." in c else c for c in columns])
     if strategy in ("ffill", "bfill"):

@@ -42,6 +42,12 @@ class QualityReport:
     def summary(self) -> DataFrame:
         return summarize_checks(self.checks).withColumn("pipeline_name", F.lit(self.pipeline_name))
 
+    def to_dict(self) -> dict:
+        """Scores and checks as plain values; a few rows per configured check."""
+        rows = self.checks.orderBy("position").drop("position").collect()
+        checks = [{**r.asDict(), "details": json.loads(r["details"]) if r["details"] else {}} for r in rows]
+        return {**self.summary().first().asDict(), "checks": checks}
+
 
 def _details(**parts: Column) -> Column:
     return F.to_json(F.struct(*[v.alias(k) for k, v in parts.items()]))

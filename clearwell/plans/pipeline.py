@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import col
-from ..operators.quality import evaluate_quality, quality_gate
+from ..operators.autoclean import CleaningReport, autoclean
+from ..operators.quality import QualityReport, evaluate_quality, quality_gate
 from ..operators.rules import TransformationResult, apply_rules
 from ..operators.runs import alert_events
+from ..operators.scorecard import Scorecard, scorecard
 from ..session import discard, shared_dir, staging_path
 from ..sinks.writers import load
-from ..sources.registry import extract
+from ..sources.registry import extract, ingest
 from ..streaming.incremental import as_text, larger_mark
 from .bookkeeping import SECRET_KEYS, Bookkeeping
 
@@ -154,7 +156,7 @@ def _execute(spark: SparkSession, run: Run, config: dict, store: Bookkeeping, al
     # A few rows per configured check; kept so that the checks run once.
     checks = spark.createDataFrame(report.checks.collect(), report.checks.schema)
     store.append_checks(checks, run.run_id, name, _now())
-    scores = type(report)(name, checks).summary().first().asDict()
+    scores = QualityReport(name, checks).to_dict()
     score, threshold = scores["composite_score"], config.get("quality_threshold", 0.80)
     run.values["quality_score"] = _decimal(score * 100)
     alerts["threshold"] = threshold
@@ -218,3 +220,12 @@ def run_folder(spark: SparkSession, folder: str) -> dict[str, dict]:
         except Exception as error:  # noqa: BLE001 - reported per pipeline
             results[name] = {"pipeline_name": name, "error": str(error)}
     return results
+
+
+def clean_upload(
+    spark: SparkSession, path: str, sheet: str | None = None, **cleaning
+) -> tuple[DataFrame, CleaningReport, Scorecard]:
+    """Read an uploaded file, clean it, score the cleaned rows."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    cleaned, report = autoclean(ingest(spark, path, sheet=sheet), name, **cleaning)
+    return cleaned, report, scorecard(cleaned, name)

@@ -128,6 +128,8 @@ def read_file(spark: SparkSession, config: dict) -> DataFrame:
     require(config, "path")
     path = config["path"]
     suffix = suffix_of(path)
+    if suffix == ".xls":
+        raise ValueError(".xls files are not supported; save as .xlsx")
     if suffix == ".parquet":
         df = spark.read.parquet(path)
     elif suffix in (".json", ".jsonl"):
@@ -135,7 +137,7 @@ def read_file(spark: SparkSession, config: dict) -> DataFrame:
         if config.get("schema") is not None:
             reader = reader.schema(config["schema"])
         df = reader.json(path)
-    elif suffix in (".xlsx", ".xls"):
+    elif suffix == ".xlsx":
         from .office import read_excel
 
         df = read_excel(spark, path, config.get("sheet")).data

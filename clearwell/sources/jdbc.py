@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..streaming.incremental import filter_since
@@ -39,18 +41,50 @@ def jdbc_options(config: dict) -> dict[str, str]:
     return options
 
 
-def read_jdbc(spark: SparkSession, config: dict, checkpoint=None) -> DataFrame:
-    """A whole table or a query. The high-water mark becomes a plain filter, which Spark pushes into the
-    database; it applies to tables, and to queries too, only when there is one."""
-    df = spark.read.format("jdbc").options(**jdbc_options(config)).load()
-    return filter_since(df, config.get("checkpoint_column"), checkpoint) if config.get("incremental") else df
+def bind(query: str, params: dict) -> str:
+    """The query with ``:name`` replaced by quoted literals, for databases that read a query as text. Texts in
+    quotes and ``::`` casts are left alone."""
 
+    def literal(value) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, bool):
+            return "TRUE" if value else "FALSE"
+        if isinstance(value, (int, float)):
+            return str(value)
+        return "'" + str(value).replace("'", "''") + "'"
 
-def read_query(spark: SparkSession, config: dict, checkpoint=None) -> DataFrame:
-    """``query`` over registered views with named parameters: ``:name`` from ``params``, and ``:checkpoint``
-    when the load is incremental and has a mark. A query that names ``:checkpoint`` on a first run gets null,
-    so let it say ``:checkpoint is null or ...``."""
+    def swap(match: re.Match) -> str:
+        name = match.group("name")
+        if name is None:
+            return match.group()
+        if name not in params:
+            raise ValueError(f"no value for :{name}")
+        return literal(params[name])
+
+    return re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|::|:(?P<name>[A-Za-z_]\w*)", swap, query)
+
+
+def query_params(config: dict, checkpoint=None) -> dict:
+    """``params``, and ``checkpoint`` when the query names it: null on a first run, so let such a query say
+    ``:checkpoint is null or ...``."""
     params = dict(config.get("params") or {})
     if ":checkpoint" in config["query"]:
         params["checkpoint"] = checkpoint if config.get("incremental") else None
-    return spark.sql(config["query"], args=params)
+    return params
+
+
+def read_jdbc(spark: SparkSession, config: dict, checkpoint=None) -> DataFrame:
+    """A whole table or a query. For a table the high-water mark becomes a plain filter, which Spark pushes into
+    the database; a query places ``:checkpoint`` itself."""
+    if config.get("query"):
+        config = {**config, "query": bind(config["query"], query_params(config, checkpoint))}
+    df = spark.read.format("jdbc").options(**jdbc_options(config)).load()
+    if config.get("query") or not config.get("incremental"):
+        return df
+    return filter_since(df, config.get("checkpoint_column"), checkpoint)
+
+
+def read_query(spark: SparkSession, config: dict, checkpoint=None) -> DataFrame:
+    """``query`` over registered views, with named parameters."""
+    return spark.sql(config["query"], args=query_params(config, checkpoint))

@@ -51,6 +51,10 @@ UPLOAD_TYPES = {
 }
 
 
+# Formats that are recognised but have no reader here.
+UNREAD_TYPES = (".pdf", ".xls", ".doc")
+
+
 def register_source(name: str, source: Source) -> None:
     """Add or replace a source: a function (spark, config, checkpoint) that returns a DataFrame."""
     if not callable(source):
@@ -80,6 +84,8 @@ def ingest(spark: SparkSession, path: str, file_type: str | None = None, sheet:
     from .office import read_docx, read_excel
     from .textlines import read_text_table
 
+    if not file_type and suffix_of(path) in UNREAD_TYPES:
+        raise ValueError(f"{suffix_of(path)} files are not supported")
     kind = file_type or UPLOAD_TYPES.get(suffix_of(path), "csv")
     if kind == "excel":
         return read_excel(spark, path, sheet).data

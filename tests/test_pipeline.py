@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clearwell.operators.merge import upsert
 from clearwell.operators.runs import filter_runs, platform_health
 from clearwell.plans.bookkeeping import Bookkeeping, active_sources, mask_secrets
-from clearwell.plans.pipeline import build, discover, run_folder, run_pipeline
+from clearwell.plans.pipeline import build, clean_upload, discover, run_folder, run_pipeline
 from clearwell.sinks import get_sink, load
 from clearwell.sinks.tables import read_table, upsert_table
 from clearwell.sinks.writers import merge_statement
@@ -229,6 +229,20 @@ def test_folder_of_pipelines(spark, customers, tmp_path):
     assert results["good"]["records_loaded"] == 200 and "Unknown source" in results["bad"]["error"]
 
 
+def test_uploaded_file(spark, customers):
+    cleaned, report, card = clean_upload(spark, customers)
+    assert (report.original_rows, report.cleaned_rows, report.nulls_filled) == (201, 200, 1)
+    assert cleaned.filter("first_name = 'UNKNOWN'").count() == 1
+    assert card.total_records == 200 and card.dimension_dict["Completeness"] == 100.0 and card.grade in "AB"
+
+
+def test_scheduled_run_counts_from_its_interval(spark, customers, tmp_path):
+    store = Bookkeeping(spark, str(tmp_path / "books"))
+    start = dt.datetime.now(dt.timezone.utc) - dt.timedelta(hours=24)
+    run_pipeline(spark, "customers", customer_config(customers, tmp_path), store, interval_start=start)
+    assert float(store.read("pipeline_runs").first()["duration_seconds"]) > 86_000
+
+
 def test_data_sources(spark, tmp_path):
     store = Bookkeeping(spark, str(tmp_path / "books"))
     source = {"source_id": "1", "name": "crm", "source_type": "api", "is_active": True,

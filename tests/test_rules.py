@@ -45,9 +45,17 @@ def test_keep_none(people):
     assert remove_duplicates(people, {"keep": False}).count() == 3
 
 
-def test_subset_needs_order(people):
+def test_subset_without_order(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y")], "k string, o int, v string")
+    with pytest.warns(UserWarning, match="order_by"):
+        assert remove_duplicates(df, {"subset": ["k"]}).first()["o"] == 1
+    result = apply_rules(df, [{"name": "remove_duplicates", "config": {"subset": ["k"]}}])
+    assert result.rules_applied == ["remove_duplicates"] and result.data.count() == 1 and result.warnings
+
+
+def test_fills_need_order(people):
     with pytest.raises(ValueError, match="order_by"):
-        remove_duplicates(people, {"subset": ["id"]})
+        fill_missing(people, {"strategy": "ffill"})
 
 
 def test_duplicates_of_empty_frame(spark):
@@ -74,6 +82,13 @@ def test_mean(people):
     assert filled == pytest.approx([85.2, 85.2])
 
 
+@pytest.mark.parametrize("strategy", ["mean", "median", "mode", "ffill"])
+def test_staged_fill_gives_the_same(people, strategy):
+    config = {"columns": ["score"], "strategy": strategy, "order_by": ["id"]}
+    plain, staged = fill_missing(people, config), fill_missing(people, {**config, "stage": True})
+    assert sorted(values(plain, "score")) == pytest.approx(sorted(values(staged, "score")))
+
+
 def test_mean_of_text_takes_the_constant(people):
     out = fill_missing(people, {"columns": ["name", "score"], "strategy": "mean"})
     assert "UNKNOWN" in values(out, "name") and None not in values(out, "score")

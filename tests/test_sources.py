@@ -6,7 +6,7 @@ import pytest
 
 from clearwell.sources import registry
 from clearwell.sources.files import read_delimited, read_file, read_upload
-from clearwell.sources.jdbc import jdbc_options
+from clearwell.sources.jdbc import bind, jdbc_options, query_params
 from clearwell.sources.jsondata import flatten, read_json_records, records_from_bodies
 from clearwell.sources.office import read_docx, read_excel
 from clearwell.sources.rest import read_api, read_bodies
@@ -275,6 +275,17 @@ def test_jdbc_options():
         jdbc_options({**base, "partition_column": "id"})
 
 
+def test_bound_queries():
+    query = "select ':no', \"a:b\", x::int from t where a > :checkpoint and b = :name and c in (:n)"
+    bound = bind(query, {"checkpoint": "2024-01-01", "name": "O'Hara", "n": 5})
+    assert bound == "select ':no', \"a:b\", x::int from t where a > '2024-01-01' and b = 'O''Hara' and c in (5)"
+    with pytest.raises(ValueError, match=":name"):
+        bind(query, {"checkpoint": None})
+    config = {"query": "select :checkpoint", "incremental": True, "params": {"a": 1}}
+    assert query_params(config, "7") == {"a": 1, "checkpoint": "7"} and query_params(config)["checkpoint"] is None
+    assert bind("select :checkpoint", {"checkpoint": None}) == "select NULL"
+
+
 def test_registry(spark, tmp_path):
     assert len(registry.list_sources()) == 12
     with pytest.raises(ValueError, match="Unknown source type"):
@@ -293,4 +304,6 @@ def test_ingest_by_extension(spark, tmp_path):
     assert registry.ingest(spark, write(tmp_path, "a.txt", "hello\nworld\n")).columns == ["line_number", "text"]
     assert registry.ingest(spark, write(tmp_path, "a.json", '{"items": [{"q": 1}]}')).columns == ["q"]
     assert registry.ingest(spark, workbook(tmp_path)).count() == 2
+    with pytest.raises(ValueError, match="not supported"):
+        registry.ingest(spark, "report.pdf")
     assert registry.ingest(spark, document(tmp_path, "d.docx", paragraph("x"))).count() == 1
