@@ -48,20 +48,28 @@ def _header(lines: list[str], sep: str) -> list[str]:
     return names
 
 
-def _skip_leading_lines(lines: DataFrame, count: int) -> DataFrame:
-    """Lines of each file without its first ``count``. The position inside a file's first block is the row id
-    less the smallest one of that block; the table of smallest ids has one row per file."""
+def _placed(lines: DataFrame) -> DataFrame:
+    """Lines with ``file``, ``block`` and ``place``, the line's position in its file for lines of the first block
+    and null elsewhere. It is the row id less the smallest one of the block, from a table with a row per file."""
     numbered = lines.select(
         "value",
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__at"),
-        F.monotonically_increasing_id().alias("__id"),
-    )
-    starts = numbered.filter("__at = 0").groupBy("__file").agg(F.min("__id").alias("__start"))
-    kept = numbered.join(starts, "__file", "left").filter(
-        (F.col("__at") > 0) | (F.col("__id") >= F.col("__start") + count)
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
     )
-    return kept.select("value")
+    starts = numbered.filter("block = 0").groupBy("file").agg(F.min("id").alias("start"))
+    place = F.when(F.col("block") == 0, F.col("id") - F.col("start"))
+    return numbered.join(starts, "file", "left").select("value", "file", "block", place.alias("place"))
+
+
+def leading_lines(lines: DataFrame, count: int) -> DataFrame:
+    """(file, place, value): the first lines of each file."""
+    return _placed(lines).filter(F.col("place") < count).select("file", "place", "value")
+
+
+def _skip_leading_lines(lines: DataFrame, count: int) -> DataFrame:
+    """Lines of each file without its first ``count``."""
+    return _placed(lines).filter(F.col("place").isNull() | (F.col("place") >= count)).select("value")
 
 
 def read_delimited(spark: SparkSession, path, config: dict | None = None) -> DelimitedTable:

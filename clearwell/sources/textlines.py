@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import WS_CHARS, col, rstrip_ws, strip_ws
-from .files import read_delimited
+from .files import leading_lines, read_delimited
 
 # Separators in the order they are tried, and the characters that end a line.
 SEPARATORS = (",", "\t", "|", ";")
@@ -57,3 +57,19 @@ def read_text_table(spark: SparkSession, path: str) -> DataFrame:
     if separator:
         return read_delimited(spark, path, {"separator": separator}).data
     return numbered_lines(spark, path).drop("file")
+
+
+def read_text_tables(spark: SparkSession, path) -> dict[str | None, DataFrame]:
+    """Many text files at once: one table per separator they agree on, and under None the numbered lines of the
+    files without one. Five lines of each file decide."""
+    known = spark.read.text(path).filter(strip_ws(F.col("value")) != "")
+    samples: dict[str, list[str]] = {}
+    for row in leading_lines(known, SNIFFED_LINES).collect():
+        samples.setdefault(row["file"], []).append(row["value"])
+    groups: dict[str | None, list[str]] = {}
+    for file, lines in sorted(samples.items()):
+        groups.setdefault(sniff_separator(lines), []).append(file)
+    return {
+        sep: read_delimited(spark, files, {"separator": sep}).data if sep else numbered_lines(spark, files)
+        for sep, files in groups.items()
+    }

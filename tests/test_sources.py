@@ -10,7 +10,7 @@ from clearwell.sources.jdbc import bind, jdbc_options, query_params
 from clearwell.sources.jsondata import flatten, read_json_records, records_from_bodies
 from clearwell.sources.office import read_docx, read_excel
 from clearwell.sources.rest import read_api, read_bodies
-from clearwell.sources.textlines import numbered_lines, read_text_table, sniff_separator, split_lines
+from clearwell.sources.textlines import numbered_lines, read_text_table, read_text_tables, sniff_separator, split_lines
 
 
 def write(folder, name, text, encoding="utf-8"):
@@ -142,6 +142,16 @@ def test_text_table(spark, tmp_path):
     assert sorted(rows(lines)) == [(1, "one"), (2, "two")]
 
 
+def test_many_text_files(spark, tmp_path):
+    write(tmp_path, "a.txt", "x|y\n" + "1|a\n" * 9)
+    write(tmp_path, "b.txt", "\nx|y\n\n2|b\n")
+    write(tmp_path, "c.txt", "p;q\n3;c\n")
+    write(tmp_path, "d.txt", "plain\nlines\n")
+    found = read_text_tables(spark, str(tmp_path))
+    assert {k: v.count() for k, v in found.items()} == {"|": 10, ";": 1, None: 2}
+    assert found["|"].columns == ["x", "y"]
+
+
 def test_lines_are_numbered_across_splits(spark, tmp_path):
     text = "".join(f"line {i}\n" + ("\n" if i % 3 else "") for i in range(2000))
     path = write(tmp_path, "big.txt", text)
