@@ -7,7 +7,7 @@ from ..operators.profile import profile_columns
 from ..operators.quality import evaluate_quality, summarize_checks
 from ..operators.scorecard import scorecard
 from .base import query, table
-from .rules import CONTACT_SQL, DATE_TEXT, DATE_TEXT_SQL, EMAIL_SQL, GAPPY_SQL, gappy  # noqa: F401
+from .rules import DATE_TEXT, DATE_TEXT_SQL, EMAIL_SQL, GAPPY_SQL, gappy
 
 # -- pass/fail report --------------------------------------------------------------------------------------
 

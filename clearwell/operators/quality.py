@@ -22,11 +22,6 @@ CATEGORY_WEIGHTS = {
 DEFAULT_QUALITY_THRESHOLD = 0.80
 HALT_THRESHOLD = 0.50
 
-CHECK_SCHEMA = (
-    "position int, name string, category string, passed boolean, actual_value double, threshold double, "
-    "details string"
-)
-
 
 class LowQualityError(RuntimeError):
     """Raised by a gate that is set to fail."""

@@ -12,6 +12,7 @@ import glob
 import json
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -181,11 +182,17 @@ def _execute(spark: SparkSession, run: Run, config: dict, store: Bookkeeping, al
 
 
 def _book(store: Bookkeeping, run: Run, row: dict, alerts: dict) -> None:
-    store.append("pipeline_runs", [row])
-    if run.tasks:
-        store.append("pipeline_tasks", run.tasks)
     events = alert_events(store.frame("pipeline_runs", [row]), alerts.get("threshold", 0.80))
-    store.append("alert_history", events.withColumn("sent_at", F.lit(row["finished_at"])))
+    books = {
+        "pipeline_runs": [row],
+        "pipeline_tasks": run.tasks,
+        "alert_history": events.withColumn("sent_at", F.lit(row["finished_at"])),
+    }
+    # Three small independent writes.
+    with ThreadPoolExecutor(len(books)) as pool:
+        writes = [pool.submit(store.append, name, rows) for name, rows in books.items() if run.tasks or name != "pipeline_tasks"]
+    for write in writes:
+        write.result()
 
 
 def run_without_checks(spark: SparkSession, name: str, config: dict) -> dict:
