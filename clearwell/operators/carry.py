@@ -17,7 +17,10 @@ from ..functions.values import col, is_orderable, nan_to_null
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 16_384
 SAMPLES_PER_BUCKET = 10
-JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+JSON_OPTIONS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def _bounds(keyed: DataFrame, rows_per_bucket: int) -> tuple[list[str], list[str]]:
@@ -39,15 +42,17 @@ def _bounds(keyed: DataFrame, rows_per_bucket: int) -> tuple[list[str], list[str
 
 
 def _bucket_of(key: Column, bounds: Column, count: int) -> Column:
-    """How many bounds are <= key, by binary search."""
+    """How many bounds are <= key, by binary search. The key travels in the accumulator: a lambda that reads an
+    outer column can end up in a filter inferred for the other side of a join, where there is no such column."""
     steps = [2**i for i in reversed(range(count.bit_length()))]
 
-    def probe(at: Column, step: Column) -> Column:
-        return F.when(
-            (at + step <= count) & (F.element_at(bounds, at + step) <= key), at + step
-        ).otherwise(at)
+    def probe(state: Column, step: Column) -> Column:
+        at, wanted = state["at"], state["key"]
+        fits = (at + step <= count) & (F.element_at(bounds, at + step) <= wanted)
+        return F.struct(F.when(fits, at + step).otherwise(at).alias("at"), wanted.alias("key"))
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), probe)
+    start = F.struct(F.lit(0).alias("at"), key.alias("key"))
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), start, probe, lambda state: state["at"])
 
 
 def carry_fill(

@@ -93,6 +93,8 @@ def test_carry_fill(spark, forward, keyed, rows_per_bucket):
     ]
     df = spark.createDataFrame(rows, "p string, o int, v double").repartition(5)
     out = carry_fill(df, ["v"], ["o"], ["p"] if keyed else [], forward, rows_per_bucket)
+    # "!" marks an operator that refers to a column its input lacks.
+    assert "!Filter" not in out._jdf.queryExecution().optimizedPlan().toString()
     got = {r["o"]: r["v"] for r in out.collect()}
     assert len(got) == 600 and got == brute_carry(rows, forward, keyed)
 
@@ -109,6 +111,18 @@ def test_carry_fill_with_copies(spark):
     assert out == sorted([(0, 1.0)] + [(5, 1.0)] * 500 + [(9, 1.0), (10, 4.0), (11, 4.0)])
 
 
+def test_copies_are_found_by_exact_time(spark):
+    rows = spark.range(400).selectExpr(
+        "cast(if(id < 300, 1, id) as bigint) as o", "if(id = 399, 5.0D, null) as v"
+    ).selectExpr("cast(timestamp_micros(o * 1000003) as timestamp_ntz) as t", "v")
+    key = F.struct(F.col("t").alias("o0"), F.xxhash64("t", "v").alias("h"))
+    texts, copied = carry._bounds(rows.select(key.alias("__key")), 20)
+    literal = carry._keys_literal(copied, rows.select(key.alias("k")).schema["k"].dataType)
+    assert rows.filter(F.array_contains(literal, key)).count() == 300
+    out = carry_fill(rows, ["v"], ["t"], forward=False, rows_per_bucket=20)
+    assert out.count() == 400 and out.filter("v = 5").count() == 400
+
+
 def test_carry_fill_keeps_leading_gaps_and_types(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "x", None), (3, None, None)], "o int, v string, w string")
     out = sorted(tuple(r) for r in carry_fill(df, ["v", "w"], ["o"], rows_per_bucket=1).collect())
