@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, query, table, texts
+from .common import chunks, query, slice_hashes, table, texts
 
 # Classes of code points. Letters that can stand in a contraction have classes of their own.
 LETTER, NUMBER, OTHER, BLANK, SPACE, QUOTE, ONE, RV, E, L = range(10)
@@ -158,25 +158,11 @@ class Pieces:
         self.mask = np.uint64(mask)  # a test narrows the hash
         self.slots, self.values = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.int32)
         self.n, self.bytes, self.ends = 0, np.empty(1 << 16, np.uint8), np.zeros(1 << 12, np.int64)
-        self.power = self.inverse = np.ones(1, np.uint64)
 
     def hashes(self, data, starts, ends):
         import numpy as np
 
-        if len(self.power) <= len(data):
-            n = max(len(data) + 1, 2 * CHUNK_BYTES)
-            odd = 0x9E3779B97F4A7C15
-            for name, x in (("power", odd), ("inverse", pow(odd, -1, 1 << 64))):
-                factors = np.full(n, x, np.uint64)
-                factors[0] = 1
-                setattr(self, name, np.cumprod(factors))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[: len(data)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * self.inverse[starts]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        return (h & self.mask) | np.uint64(1)
+        return (slice_hashes(data, starts, ends) & self.mask) | np.uint64(1)
 
     def find(self, hashes):
         """Number of each hash, -1 if it has none."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,3 +71,48 @@ def chunks(batches: Iterator, limit: int, text: str = "text") -> Iterator:
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+
+
+@functools.cache
+def _powers(n: int):
+    import numpy as np
+
+    odd = 0x9E3779B97F4A7C15
+    out = []
+    for x in (odd, pow(odd, -1, 1 << 64)):
+        factors = np.full(n, x, np.uint64)
+        factors[0] = 1
+        out.append(np.cumprod(factors))
+    return out
+
+
+def mixed(x):
+    """Spread the bits of 64-bit integers."""
+    import numpy as np
+
+    x = x ^ (x >> np.uint64(31))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def slice_hashes(data, starts, ends):
+    """64-bit hashes of slices of a byte array, all at once: differences of running sums, moved to a common place."""
+    import numpy as np
+
+    power, inverse = _powers(1 << max(16, len(data).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts])
+
+
+def words_of(strings: list[str]):
+    """All words of all strings, A to Z in lower case: the bytes, word starts and ends, and words per string."""
+    import numpy as np
+
+    encoded = [s.encode() for s in strings]
+    data = np.frombuffer(b" ".join(encoded).lower() + b" ", np.uint8)
+    white = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+    edge = np.diff(white.astype(np.int8), prepend=1)
+    starts, ends = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+    bounds = np.cumsum([len(e) + 1 for e in encoded])
+    return data, starts, ends, np.diff(np.searchsorted(starts, bounds), prepend=0)
