@@ -1,4 +1,4 @@
 """All queries of this subpackage and their SQL."""
 
-from . import bpe, exact, jaccard, packing, rules, secrets  # noqa: F401
+from . import bpe, exact, jaccard, lm, packing, rules, secrets  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
