@@ -96,57 +96,58 @@ def base_failed():
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+def _products(pairs) -> str:
+    return " + ".join(f"{x} * {y}" for x, y in pairs) or "0D"
+
+
 def _whiten(rows: DataFrame) -> DataFrame:
     """``distance``: squared Mahalanobis distance, by forward substitution with the joined Cholesky factor."""
-    names = list(FEATURES)
-    for i, f in enumerate(names):
-        rest = sum((F.col(f"l_{i}_{k}") * F.col(f"z_{k}") for k in range(i)), F.lit(0.0))
-        rows = rows.withColumn(f"z_{i}", (F.col(f) - F.col(f"m_{i}") - rest) / F.col(f"l_{i}_{i}"))
-    return rows.withColumn("distance", sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(len(names))), F.lit(0.0)))
+    for i, f in enumerate(FEATURES):
+        rest = _products((f"l_{i}_{k}", f"z_{k}") for k in range(i))
+        rows = rows.selectExpr("*", f"({f} - m_{i} - ({rest})) / l_{i}_{i} as z_{i}")
+    return rows.selectExpr("*", _products((f"z_{i}", f"z_{i}") for i in range(len(FEATURES))) + " as distance")
 
 
 def _factor(moments: DataFrame) -> DataFrame:
     """Sums of deviations from the old centre -> new centre and Cholesky factor of the covariance, floors added."""
-    p = len(FEATURES)
-    scale = consistency(p, SHARE)
+    p, scale = len(FEATURES), consistency(len(FEATURES), SHARE)
     floors = [floor for _, floor in FEATURES.values()]
-    cov = {
-        (i, j): (F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n") / F.col("n"))
-        * F.lit(scale)
-        + F.lit(floors[i] ** 2 if i == j else 0.0)
-        for i in range(p)
-        for j in range(i + 1)
-    }
-    out = moments.select(
+    cells = [(i, j) for i in range(p) for j in range(i + 1)]
+    out = moments.selectExpr(
         "key",
-        *((F.col(f"c_{i}") + F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(p)),
-        *(c.alias(f"v_{i}_{j}") for (i, j), c in cov.items()),
+        *(f"c_{i} + s_{i} / n as m_{i}" for i in range(p)),
+        *(
+            f"(q_{i}_{j} / n - s_{i} / n * s_{j} / n) * {scale}D + {floors[i] ** 2 if i == j else 0.0}D as v_{i}_{j}"
+            for i, j in cells
+        ),
     )
     for j in range(p):
-        square = F.col(f"v_{j}_{j}") - sum((F.col(f"l_{j}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))
-        out = out.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(square, F.lit(floors[j] ** 2 / 100))))
-        below = {}
-        for i in range(j + 1, p):
-            dot = sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))
-            below[f"l_{i}_{j}"] = (F.col(f"v_{i}_{j}") - dot) / F.col(f"l_{j}_{j}")
-        out = out.withColumns(below) if below else out
-    return out.drop(*(f"v_{i}_{j}" for i, j in cov))
+        square = f"v_{j}_{j} - ({_products((f'l_{j}_{k}', f'l_{j}_{k}') for k in range(j))})"
+        out = out.selectExpr("*", f"sqrt(greatest({square}, {floors[j] ** 2 / 100}D)) as l_{j}_{j}")
+        below = [
+            f"(v_{i}_{j} - ({_products((f'l_{i}_{k}', f'l_{j}_{k}') for k in range(j))})) / l_{j}_{j} as l_{i}_{j}"
+            for i in range(j + 1, p)
+        ]
+        out = out.selectExpr("*", *below)
+    return out.drop(*(f"v_{i}_{j}" for i, j in cells))
 
 
 def _start(rows: DataFrame) -> DataFrame:
     """Medians, and median deviations on the diagonal."""
     names = list(FEATURES)
     medians = rows.groupBy("key").agg(*(F.percentile_approx(f, 0.5, 1000).alias(f"m_{i}") for i, f in enumerate(names)))
-    off = rows.join(medians, "key")
+    off = rows.join(medians, "key").selectExpr(
+        "key", *(f"m_{i}" for i in range(len(names))), *(f"abs({f} - m_{i}) as o_{i}" for i, f in enumerate(names))
+    )
     spread = off.groupBy("key").agg(
         *(F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(names))),
-        *(F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5, 1000).alias(f"d_{i}") for i, f in enumerate(names)),
+        *(F.percentile_approx(f"o_{i}", 0.5, 1000).alias(f"d_{i}") for i in range(len(names))),
     )
-    return spread.select(
+    return spread.selectExpr(
         "key",
         *(f"m_{i}" for i in range(len(names))),
         *(
-            (F.sqrt((1.4826 * F.col(f"d_{i}")) ** 2 + FEATURES[f][1] ** 2) if i == k else F.lit(0.0)).alias(f"l_{i}_{k}")
+            f"sqrt(2.198D * d_{i} * d_{i} + {FEATURES[f][1] ** 2}D) as l_{i}_{k}" if i == k else f"0D as l_{i}_{k}"
             for i, f in enumerate(names)
             for k in range(i + 1)
         ),
@@ -156,24 +157,29 @@ def _start(rows: DataFrame) -> DataFrame:
 def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """One concentration step: estimate from the nearest ``SHARE`` of each group's rows, to the edge of a bucket."""
     p = len(FEATURES)
-    near = _whiten(rows.join(estimate, "key"))
-    deviation = {f"x_{i}": F.col(f) - F.col(f"m_{i}") for i, f in enumerate(FEATURES)}
-    bucket = F.floor(8 * F.log2(F.col("distance") + 1e-6))
-    sums = {"n": F.count(F.lit(1)), **{f"c_{i}": F.first(f"m_{i}") for i in range(p)}}
-    sums |= {f"s_{i}": F.sum(f"x_{i}") for i in range(p)}
-    sums |= {f"q_{i}_{j}": F.sum(F.col(f"x_{i}") * F.col(f"x_{j}")) for i in range(p) for j in range(i + 1)}
-    by_bucket = near.withColumns(deviation).groupBy("key", bucket.alias("bucket")).agg(
-        *(c.alias(name) for name, c in sums.items())
+    cells = [(i, j) for i in range(p) for j in range(i + 1)]
+    near = _whiten(rows.join(estimate, "key")).selectExpr(
+        "key",
+        "floor(8 * log2(distance + 1e-6)) as bucket",
+        *(f"m_{i} as c_{i}" for i in range(p)),
+        *(f"{f} - m_{i} as x_{i}" for i, f in enumerate(FEATURES)),
     )
-    order = W.partitionBy("key").orderBy("bucket")
-    by_bucket = by_bucket.withColumns(
-        {
-            "before": F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-            "all": F.sum("n").over(W.partitionBy("key")),
-        }
-    ).where(F.col("before") < SHARE * F.col("all"))
-    moments = by_bucket.groupBy("key").agg(
-        *((F.first(c) if c.startswith("c_") else F.sum(c)).alias(c) for c in sums)
+    by_bucket = near.groupBy("key", "bucket").agg(
+        F.count(F.lit(1)).alias("n"),
+        *(F.expr(f"first(c_{i}) as c_{i}") for i in range(p)),
+        *(F.expr(f"sum(x_{i}) as s_{i}") for i in range(p)),
+        *(F.expr(f"sum(x_{i} * x_{j}) as q_{i}_{j}") for i, j in cells),
+    )
+    nearest = by_bucket.selectExpr(
+        "*",
+        "coalesce(sum(n) over (partition by key order by bucket rows between unbounded preceding and 1 preceding), 0) as before",
+        "sum(n) over (partition by key) as every",
+    ).where(f"before < {SHARE} * every")
+    moments = nearest.groupBy("key").agg(
+        F.sum("n").alias("n"),
+        *(F.expr(f"first(c_{i}) as c_{i}") for i in range(p)),
+        *(F.expr(f"sum(s_{i}) as s_{i}") for i in range(p)),
+        *(F.expr(f"sum(q_{i}_{j}) as q_{i}_{j}") for i, j in cells),
     )
     return _factor(moments)
 
