@@ -177,7 +177,7 @@ def tree_links(sets: list, percent: int, labels=None) -> list[tuple[int, int]]:
 
 
 def shingle_table(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``digest`` of each set, and ``node``, the first bytes of the digest."""
+    """``doc_id``, ``text_hash``, ``n_shingles``, ``digest`` of each set, and ``node``, the first bytes of the digest."""
 
     def run(batches: Iterator):
         import pyarrow as pa
@@ -186,13 +186,16 @@ def shingle_table(docs: DataFrame, words: int) -> DataFrame:
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             digests = [digest(s) for s in sets]
             out = [
+                batch.column(2),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.array([_node(d) for d in digests], pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["doc_id", "n_shingles", "digest", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out], names)
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, node bigint")
+    names = ["doc_id", "text_hash", "n_shingles", "digest", "node"]
+    rows = texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, node bigint")
 
 
 def _node(d: bytes) -> int:
@@ -267,7 +270,10 @@ def _joined(docs: DataFrame, members: DataFrame, words: int, percent: int) -> Da
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``digest`` and ``component_id``, the smallest id that links reach."""
+    """``doc_id``, ``text_hash``, ``n_shingles``, ``component_id``, the smallest id that links reach, and ``root``.
+
+    ``root`` is one digest of the component, null for the empty set.
+    """
     sets = materialize(shingle_table(docs, words))
     offers = segment_keys(docs, words, percent).repartition("key")
     offers = offers.withColumn("least", F.min("node").over(W.partitionBy("key"))).where("node <> least")
@@ -317,9 +323,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     roots = found.select(F.col("node").alias("digest"), "root")
     placed = classes.select("digest", "id").join(roots, "digest", "left")
     least = placed.where("root is not null").groupBy("root").agg(F.min("id").alias("component"))
-    placed = placed.join(least, "root", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    joined = sets.join(placed, "digest", "left")
-    return joined.select("doc_id", "n_shingles", "digest", F.coalesce("component", "doc_id").alias("component_id"))
+    placed = placed.join(least, "root", "left").select(
+        "digest", F.coalesce("component", "id").alias("component"), F.coalesce("root", "digest").alias("root")
+    )
+    joined = sets.join(materialize(placed), "digest", "left")
+    component = F.coalesce("component", "doc_id").alias("component_id")
+    return joined.select("doc_id", "text_hash", "n_shingles", component, "root")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` (with doc_id and text) with one row of each component, that of the smallest id."""
+    found = materialize(near_duplicates(docs, words, percent))
+    stays = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("s"))
+    stays = stays.select("s.*").unionByName(found.where("root is null").select("doc_id", "text_hash"))
+    stays = stays.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    marked = docs.withColumn("__text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    kept = marked.join(stays.hint("shuffle_hash"), same, "left_semi")
+    return kept.dropDuplicates(["doc_id", "__text_hash"]).select(docs.columns)
 
 
 @query("op9_signature_trees")

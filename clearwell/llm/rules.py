@@ -92,6 +92,10 @@ def word_statistics(docs: DataFrame) -> DataFrame:
     )
 
 
+def text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+
+
 def base_failed():
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
@@ -136,6 +140,7 @@ def _start(rows: DataFrame) -> DataFrame:
     """Medians, and median deviations on the diagonal."""
     names = list(FEATURES)
     medians = rows.groupBy("key").agg(*(F.percentile_approx(f, 0.5, 1000).alias(f"m_{i}") for i, f in enumerate(names)))
+    medians = materialize(medians)  # as small as it is, so the join knows it
     off = rows.join(medians, "key").selectExpr(
         "key", *(f"m_{i}" for i in range(len(names))), *(f"abs({f} - m_{i}) as o_{i}" for i, f in enumerate(names))
     )
@@ -164,6 +169,7 @@ def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
         *(f"m_{i} as c_{i}" for i in range(p)),
         *(f"{f} - m_{i} as x_{i}" for i, f in enumerate(FEATURES)),
     )
+    near = materialize(near)  # distances and sums together are too much for one generated function
     by_bucket = near.groupBy("key", "bucket").agg(
         F.count(F.lit(1)).alias("n"),
         *(F.expr(f"first(c_{i}) as c_{i}") for i in range(p)),
@@ -185,8 +191,11 @@ def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, false_alarm: float = FALSE_ALARM) -> DataFrame:
-    """The statistics of ``docs`` (doc_id, text, lang, source), ``base_failed``, ``distance`` and ``kept``."""
-    source = docs.select("doc_id", "text", "lang", "source")
+    """The statistics of ``docs`` (doc_id, text, lang, source), ``base_failed``, ``distance`` and ``kept``.
+
+    ``text_hash`` tells rows of one id apart.
+    """
+    source = docs.select("doc_id", "text", "lang", "source", text_hash())
     stats = word_statistics(source).withColumn("base_failed", base_failed()).drop("text")
     stats = materialize(stats)
     own, pooled = F.to_json(F.struct("lang", "source")), F.concat(F.lit("pooled "), F.to_json(F.struct("lang")))
@@ -209,6 +218,16 @@ def judge(docs: DataFrame, false_alarm: float = FALSE_ALARM) -> DataFrame:
     return judged.withColumn("kept", ~F.col("base_failed") & inside).select(*stats.columns, "distance", "kept")
 
 
+def reject(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``judge`` doesn't keep."""
+    names = ["doc_id", "lang", "source", "text_hash"]
+    out = judge(docs).where("not kept").select(*(F.col(c).alias(f"__{c}") for c in names)).distinct()
+    same = F.lit(True)
+    for c in names:
+        same &= (text_hash() if c == "text_hash" else F.col(c)).eqNullSafe(F.col(f"__{c}"))
+    return docs.join(out.hint("shuffle_hash"), same, "left_anti")
+
+
 @query("op6_robust_outliers")
 def op6(spark, sf_dir):
     """Base statistics and verdict of every document."""

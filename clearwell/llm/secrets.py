@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import staging_path
+from ..session import materialize, staging_path
 from .common import query, table, texts
 
 
@@ -129,6 +129,7 @@ def findings_by_path(versions: DataFrame, findings: DataFrame, rules=RULES) -> D
     number = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.version), F.lit(i))))
     span = F.struct("start", number[F.col("rule")].alias("kind_no"), "end")
     per_blob = findings.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("found"))
+    per_blob = materialize(per_blob)  # so that a hot blob's versions can be split in the join
     empty = F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint>>")
     return versions.join(per_blob, "blob", "left").select("path", "blob", F.coalesce("found", empty).alias("found"))
 
@@ -143,7 +144,7 @@ def scan_documents(docs: DataFrame, folder: str | None = None, rules=RULES) -> D
 def redact(docs: DataFrame, marker: str = "[SECRET]") -> DataFrame:
     """``docs`` with each span found in ``text`` replaced; overlapping spans together by one marker.
 
-    A text that stands under several rows with one id is told apart by its bytes.
+    ``n_chars``, if there, follows the text. A text that stands under several rows with one id is told apart by its bytes.
     """
     found = scan_documents(docs).where(F.size("found") > 0).dropDuplicates(["path", "blob"])
     spans = found.select("path", "blob", F.posexplode("found").alias("pos", "s"))
@@ -164,7 +165,10 @@ def redact(docs: DataFrame, marker: str = "[SECRET]") -> DataFrame:
         "int(if(i = size(__cuts), length(text), __cuts[i].start) - if(i = 0, 0, __cuts[i - 1].end))))"
     )
     text = F.when(F.col("__cuts").isNotNull(), F.array_join(pieces, marker)).otherwise(F.col("text"))
-    return joined.withColumn("text", text).select(docs.columns)
+    joined = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("__cuts").isNotNull(), F.length("text")).otherwise(F.col("n_chars")))
+    return joined.select(docs.columns)
 
 
 def _sql(rules=RULES) -> str:
