@@ -76,9 +76,11 @@ def find_spans(blobs: DataFrame, rules=RULES) -> DataFrame:
             for r in rules
         )
     )
-    rows = blobs.select("blob", F.explode(found).alias("f")).where(F.col("f").isNotNull())
-    rows = rows.select("blob", "f.rule", "f.least", F.posexplode("f.m").alias("pos", "m"))
-    before = W.partitionBy("blob", "rule").orderBy("pos")
+    # a blob comes twice if its row does, so rows have numbers
+    rows = blobs.select("blob", F.monotonically_increasing_id().alias("row"), F.explode(found).alias("f"))
+    rows = rows.where(F.col("f").isNotNull())
+    rows = rows.select("blob", "row", "f.rule", "f.least", F.posexplode("f.m").alias("pos", "m"))
+    before = W.partitionBy("blob", "row", "rule").orderBy("pos")
     end = F.sum(F.col("m.gap") + F.coalesce(F.col("m.match"), F.lit(0))).over(before)
     rows = rows.withColumn("end", end.cast("bigint"))
     rows = rows.where(F.col("m.match").isNotNull() & (F.col("m.group") >= F.col("least")))
