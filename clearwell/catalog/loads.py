@@ -10,9 +10,10 @@ from ..plans.pipeline import run_pipeline
 from ..session import staging_path
 from ..sinks import load
 from ..sinks.tables import read_table
-from ..sources.files import read_file
+from ..sources.files import read_file, read_upload
+from ..sources.files import read_table as read_table_file
 from ..sources.jdbc import read_query
-from ..sources.jsondata import flatten, read_json_records, records_from_bodies
+from ..sources.jsondata import flatten, read_json, read_json_records, records_from_bodies
 from ..sources.registry import extract
 from ..sources.rest import read_api
 from ..sources.textlines import numbered_lines, read_text_table, split_lines
@@ -203,6 +204,83 @@ def _(spark, d):
     return extract(spark, {"type": "csv", "path": path, "date_columns": ["o_orderdate"]})
 
 
+@query(
+    "file_csv_headers",
+    "select o_orderkey, o_orderpriority, case when o_orderkey % 2 = 0 then o_custkey end as o_custkey from orders",
+)
+def _(spark, d):
+    """A folder of files whose columns differ in order and number."""
+    path, orders = staging_path(spark, "csv"), table(spark, d, "orders")
+    short = orders.filter("o_orderkey % 2 = 1").select("o_orderpriority", "o_orderkey")
+    orders.filter("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey", "o_orderpriority").write.csv(path, header=True)
+    short.write.mode("append").csv(path, header=True)
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderpriority string"
+    return extract(spark, {"type": "csv", "path": path, "schema": schema}).select("o_orderkey", "o_orderpriority", "o_custkey")
+
+
+DAMAGED = "case when s_suppkey % 7 = 0 then {bad} else {good} end as value"
+
+
+@query(
+    "file_csv_rejects",
+    """select false as rejected, cast(s_suppkey as varchar) || ',' || s_nationkey as line from supplier where s_suppkey % 7 <> 0
+       union all select true, cast(s_suppkey as varchar) || ',too,many' from supplier where s_suppkey % 7 = 0""",
+)
+def _(spark, d):
+    """Lines with too many fields come back as rejects, the others as rows."""
+    path = staging_path(spark, "csv")
+    lines = DAMAGED.format(bad="concat(s_suppkey, ',too,many')", good="concat(s_suppkey, ',', s_nationkey)")
+    header = spark.range(1).selectExpr("'k,n' as value")
+    header.unionAll(table(spark, d, "supplier").selectExpr(lines)).coalesce(1).write.text(path)
+    read = read_table_file(spark, {"path": path})
+    return read.data.selectExpr("false as rejected", "concat(k, ',', n) as line").unionAll(
+        read.rejects.selectExpr("true as rejected", "line")
+    )
+
+
+@query(
+    "file_json_rejects",
+    """select false as rejected, cast(s_suppkey as varchar) as line from supplier where s_suppkey % 7 <> 0
+       union all select true, '{"k": ' || s_suppkey from supplier where s_suppkey % 7 = 0""",
+)
+def _(spark, d):
+    """Broken lines come back as rejects, the others as rows."""
+    path = staging_path(spark, "json") + ".jsonl"
+    lines = DAMAGED.format(bad="""concat('{"k": ', s_suppkey)""", good="""concat('{"k": ', s_suppkey, '}')""")
+    table(spark, d, "supplier").selectExpr(lines).write.text(path)
+    read = read_table_file(spark, {"path": path})
+    return read.data.selectExpr("false as rejected", "cast(k as string) as line").unionAll(
+        read.rejects.selectExpr("true as rejected", "line")
+    )
+
+
+@query("file_tsv", "select p_partkey, p_name, p_size from part")
+def _(spark, d):
+    path = staging_path(spark, "tab") + ".tsv"
+    table(spark, d, "part").select("p_partkey", "p_name", "p_size").write.csv(path, header=True, sep="\t")
+    return read_file(spark, {"path": path, "schema": "p_partkey bigint, p_name string, p_size int"})
+
+
+@query("file_json_array", "select s_suppkey, s_name from supplier")
+def _(spark, d):
+    """Documents that hold a list of objects over several lines."""
+    path = staging_path(spark, "array") + ".json"
+    rows = table(spark, d, "supplier").groupBy((F.col("s_suppkey") % 4).alias("g")).agg(
+        F.to_json(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("value")
+    )
+    rows.selectExpr("replace(value, '},{', '},\n{') as value").repartition(4).write.text(path)
+    return read_json(spark, path, "s_suppkey bigint, s_name string")[0]
+
+
+@query("upload_encodings", "select n_nationkey, n_name || 'é' as label from nation")
+def _(spark, d):
+    """A folder whose files are UTF-8 and Latin-1."""
+    path, nations = staging_path(spark, "upload"), table(spark, d, "nation").selectExpr("n_nationkey", "concat(n_name, 'é') as label")
+    nations.filter("n_nationkey % 2 = 0").write.csv(path, header=True)
+    nations.filter("n_nationkey % 2 = 1").write.mode("append").option("encoding", "iso-8859-1").csv(path, header=True)
+    return read_upload(spark, path).withColumn("n_nationkey", F.col("n_nationkey").cast("int"))
+
+
 @query("file_csv_append", "select * from nation union all select * from nation")
 def _(spark, d):
     nations = table(spark, d, "nation")

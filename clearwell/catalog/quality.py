@@ -137,8 +137,8 @@ def _(spark, d):
 # -- scorecard ---------------------------------------------------------------------------------------------
 
 
-def _dimension(card, spark, name):
-    return card.to_frame(spark).filter(f"dimension = '{name}'").select("dimension", "score", "weight")
+def _dimension(df, name, **options):
+    return scorecard(df, dimensions=[name], **options).rows.select("dimension", "score", "weight")
 
 
 @query(
@@ -150,7 +150,7 @@ def _dimension(card, spark, name):
         from {GAPPY_SQL}""",
 )
 def _(spark, d):
-    return _dimension(scorecard(gappy(spark, d)), spark, "completeness")
+    return _dimension(gappy(spark, d), "completeness")
 
 
 @query(
@@ -160,7 +160,7 @@ def _(spark, d):
        from (select count(*) as n from documents group by text, lang, source)""",
 )
 def _(spark, d):
-    return _dimension(scorecard(table(spark, d, "documents").select("text", "lang", "source")), spark, "uniqueness")
+    return _dimension(table(spark, d, "documents").select("text", "lang", "source"), "uniqueness")
 
 
 VALIDITY_SQL = """select 'validity' as dimension, round(avg(s), 1) as score, cast(0.2 as double) as weight from (
@@ -175,7 +175,7 @@ VALIDITY_SQL = """select 'validity' as dimension, round(avg(s), 1) as score, cas
 
 @query("score_validity", VALIDITY_SQL)
 def _(spark, d):
-    return _dimension(scorecard(table(spark, d, "events")), spark, "validity")
+    return _dimension(table(spark, d, "events"), "validity")
 
 
 @query(
@@ -186,7 +186,7 @@ def _(spark, d):
            union all select 100.0 union all select 100.0)""",
 )
 def _(spark, d):
-    return _dimension(scorecard(table(spark, d, "documents").select("text", "lang", "source")), spark, "validity")
+    return _dimension(table(spark, d, "documents").select("text", "lang", "source"), "validity")
 
 
 MIXED = [
@@ -207,7 +207,7 @@ MIXED = [
                 where a < 20 and b < a)""".replace(" from m", f" from (select {', '.join(MIXED)} from customer)"),
 )
 def _(spark, d):
-    return _dimension(scorecard(table(spark, d, "customer").selectExpr(*MIXED)), spark, "consistency")
+    return _dimension(table(spark, d, "customer").selectExpr(*MIXED), "consistency")
 
 
 DATED = [*DATE_TEXT, "o_orderdate as placed_at", "case when o_orderkey % 10 = 0 then null else o_orderstatus end as o_status"]
@@ -227,25 +227,48 @@ DATED = [*DATE_TEXT, "o_orderdate as placed_at", "case when o_orderkey % 10 = 0
 )
 def _(spark, d):
     dated = table(spark, d, "orders").selectExpr(*DATED)
-    return _dimension(scorecard(dated.withColumnRenamed("t", "order_date")), spark, "timeliness")
+    return _dimension(dated.withColumnRenamed("t", "order_date"), "timeliness")
+
+
+@query(
+    "score_timeliness_all",
+    """select 'timeliness' as dimension, round(avg(case when r < 0.8 then r * 100 else 100 end), 1) as score,
+              cast(0.15 as double) as weight from (
+           select cast(count(a) as double) / count(*) as r from d union all select cast(count(b) as double) / count(*) from d
+           union all select cast(count(c) as double) / count(*) from d union all select cast(count(e) as double) / count(*) from d)
+       """.replace(" from d", """ from (select o_orderdate as a, case when o_orderkey % 2 = 0 then o_orderdate end as b,
+           case when o_orderkey % 5 = 0 then o_orderdate end as c, cast(o_orderdate as date) as e from orders)"""),
+)
+def _(spark, d):
+    dated = table(spark, d, "orders").selectExpr(
+        "o_orderdate as created", "case when o_orderkey % 2 = 0 then o_orderdate end as updated",
+        "case when o_orderkey % 5 = 0 then o_orderdate end as seen_at", "cast(o_orderdate as date) as day",
+    )
+    return _dimension(dated, "timeliness")
 
 
 @query(
     "scorecard",
-    f"""with parts as (
-            select 100.0 as s, 0.3 as w
-            union all select 100.0, 0.2
-            union all select score, 0.2 from ({VALIDITY_SQL})
-            union all select 100.0, 0.15
-            union all select 100.0, 0.15)
-        select 'events' as filename, (select count(*) from events) as total_records, 6 as total_columns,
-               x as overall_score, case when x >= 90 then 'A' when x >= 75 then 'B' when x >= 60 then 'C'
-                   when x >= 40 then 'D' else 'F' end as grade
-        from (select round(cast(sum(s * w) as double), 1) as x from parts)""",
+    f"""with e as (select count(*) as n, count(event_id) as a, count(ts) as b, count(user_id) as c, count(event_type) as f,
+                   count(value) as g, count(props) as h,
+                   count(*) filter (where try_cast(event_type as double) is not null) as x1,
+                   count(*) filter (where try_cast(props as double) is not null) as x2 from events),
+        parts as (
+            select round((a + b + c + f + g + h) / cast(6 * n as double) * 100, 1) as s, 0.3 as w from e
+            union all select round((1 - sum(k - 1) / cast(sum(k) as double)) * 100, 1), 0.2
+                from (select count(*) as k from events group by event_id, ts, user_id, event_type, value, props)
+            union all select score, 0.2 from ({{VALIDITY_SQL}})
+            union all select round(avg(case when r > 0.1 and r < 0.9 then 50.0 else 100.0 end), 1), 0.15
+                from (select x1 / cast(f as double) as r from e union all select x2 / cast(h as double) from e)
+            union all select round(avg(case when r < 0.8 then r * 100 else 100 end), 1), 0.15
+                from (select b / cast(n as double) as r from e))
+        select 'events' as name, (select count(*) from events) as records, 6 as columns, x as score,
+               case when x >= 90 then 'A' when x >= 75 then 'B' when x >= 60 then 'C' when x >= 40 then 'D' else 'F' end as grade
+        from (select round(cast(sum(s * w) / sum(w) as double), 1) as x from parts)""".replace("{VALIDITY_SQL}", VALIDITY_SQL),
 )
 def _(spark, d):
-    card = scorecard(table(spark, d, "events"), "events")
-    return card.summary_frame(spark).select("filename", "total_records", "total_columns", "overall_score", "grade")
+    card = scorecard(table(spark, d, "events"), "events", date_columns=["ts"])
+    return card.total().select("name", "records", "columns", "score", "grade")
 
 
 # -- profile and automatic cleaning ------------------------------------------------------------------------
@@ -334,15 +357,13 @@ def _(spark, d):
 
 @query(
     "autoclean_report",
-    f"""select 'customers' as filename, a.n as original_rows, 5 as original_cols, b.n as cleaned_rows, 4 as cleaned_cols,
-               a.n - b.n as duplicates_removed, b.gaps as nulls_filled, 1 as columns_dropped,
-               a.n - b.n as rows_removed
+    f"""select 'customers' as name, a.n as rows_in, b.n as rows_out, 5 as columns_in, 4 as columns_out,
+               a.n - b.n as repeated_rows, b.gaps as filled_cells, 1 as dropped_columns
         from (select count(*) as n from {RAW_SQL}) a,
              (select count(*) as n, 2 * count(*) - count(acct_bal) - count(segment) as gaps from {STRIPPED_SQL}) b""",
 )
 def _(spark, d):
-    report = autoclean(raw_customers(spark, d), "customers")[1].to_frame(spark)
-    return report.drop("actions_taken", "warnings", "quality_delta")
+    return autoclean(raw_customers(spark, d), "customers")[1].summary()
 
 
 @query(

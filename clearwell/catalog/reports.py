@@ -381,7 +381,9 @@ def _(spark, d):
     "run_pivot_daily",
     f"""select cast(started_at as date) as date, count(*) filter (where {OK}) as success,
                count(*) filter (where {BAD}) as failed, count(*) filter (where {RUN}) as running,
-               count(*) filter (where status = 'pending') as pending from {RUNS_SQL} group by 1""",
+               count(*) filter (where status = 'pending') as pending,
+               count(*) filter (where status is null or status not in ('success', 'failed', 'running', 'pending')) as other
+        from {RUNS_SQL} group by 1""",
 )
 def _(spark, d):
     return charts.daily_status_pivot(run_table(spark, d))
@@ -407,7 +409,7 @@ def _(spark, d):
         union all select 'Duplicates Removed', 0, a.n - b.n from a, b""",
 )
 def _(spark, d):
-    report = autoclean(raw_customers(spark, d), "customers")[1].to_frame(spark)
+    report = autoclean(raw_customers(spark, d), "customers")[1].summary()
     return charts.before_after(report)
 
 

@@ -11,7 +11,7 @@ from .dedup import duplicate_counts
 from .quantiles import column_quantiles
 
 
-def null_matrix(df: DataFrame, order_by: list[str] | None = None, max_columns: int = 30, rows: int = 200) -> DataFrame:
+def null_matrix(df: DataFrame, order_by: list[str] | None = None, max_columns: int | None = None, rows: int = 200) -> DataFrame:
     """0/1 per cell for a picture of at most ``rows`` rows: the first in ``order_by`` order, or a sample that is
     fixed by the rows' content."""
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -93,8 +93,9 @@ def histogram_lines(df: DataFrame, column: str) -> DataFrame:
 
 
 def daily_status_pivot(runs: DataFrame, statuses: tuple[str, ...] = ("success", "failed", "running", "pending")) -> DataFrame:
-    """Runs per day, one column per status. The listed statuses spare the pass that would find them."""
+    """Runs per day, one column per listed status and ``other`` for all else, a missing status included."""
     counts = [F.count_if(F.col("status") == s).alias(s) for s in statuses]
+    counts.append(F.count_if(~F.coalesce(F.col("status").isin(*statuses), F.lit(False))).alias("other"))
     return runs.groupBy(F.to_date("started_at").alias("date")).agg(*counts)
 
 
@@ -110,7 +111,7 @@ def timeline(runs: DataFrame, limit: int = 20) -> DataFrame:
 
 def before_after(report: DataFrame) -> DataFrame:
     """Four rows from a cleaning report row: (category, before, after)."""
-    original, zero = F.col("original_rows"), F.lit(0).cast("long")
+    original, zero = F.col("rows_in"), F.lit(0).cast("long")
 
     def row(category: str, before: Column, after: Column) -> Column:
         return F.struct(F.lit(category).alias("category"), before.alias("before"), after.alias("after"))
@@ -119,9 +120,9 @@ def before_after(report: DataFrame) -> DataFrame:
         F.inline(
             F.array(
                 row("Total Rows", original, original),
-                row("Rows After Clean", original, F.col("cleaned_rows")),
-                row("Nulls Filled", zero, F.col("nulls_filled")),
-                row("Duplicates Removed", zero, F.col("duplicates_removed")),
+                row("Rows After Clean", original, F.col("rows_out")),
+                row("Nulls Filled", zero, F.col("filled_cells")),
+                row("Duplicates Removed", zero, F.col("repeated_rows")),
             )
         )
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 from dataclasses import dataclass
 
@@ -101,7 +102,7 @@ def evaluate_quality(df: DataFrame, config: dict, pipeline_name: str = "default"
     stats = df.agg(*measures)
 
     n = F.col("n")
-    checks, order = [], iter(range(10_000))
+    checks, order = [], itertools.count()
     ratio = {c: F.col(f"null_{i}") / F.nullif(n, F.lit(0)) for i, c in enumerate(types)}
     if types:
         overall = functools.reduce(lambda a, b: a + b, ratio.values()) / len(types)

@@ -21,10 +21,6 @@ from ..functions.values import col, nan_to_null
 SKETCH_ACCURACY = 10_000
 # Grouped ranks are bracketed once only, so more tightly: about one value in 8,000 of a group is ranked.
 GROUP_ACCURACY = 50_000
-# Groups up to this size are ranked whole.
-SMALL_GROUP = 100_000
-# Tables of at most so many numbers are small enough for one task.
-SMALL_TABLE = 4_000_000
 # Brackets with more values than this are narrowed before they are ranked.
 MOST_INSIDE = 2_000_000
 
@@ -34,7 +30,6 @@ def grouped_quantiles(
     keys: Sequence[str],
     value: str,
     probs: Sequence[float],
-    small_group: int = SMALL_GROUP,
     accuracy: int = GROUP_ACCURACY,
 ) -> DataFrame:
     """One row per key group: the keys, ``n`` (non-null values) and ``q`` (array, one entry per probability).
@@ -53,14 +48,10 @@ def grouped_quantiles(
         F.percentile_approx("__v", lo_at + hi_at, accuracy).alias("__b"),
     )
     m = len(probs)
-    whole = F.col("__n") <= small_group
-    lows = [
-        F.when(whole | F.lit(lo_at[i] <= 0.0), F.lit(float("-inf"))).otherwise(F.col("__b")[i]) for i in range(m)
-    ]
-    highs = [
-        F.when(whole | F.lit(hi_at[i] >= 1.0), F.lit(float("inf"))).otherwise(F.col("__b")[m + i])
-        for i in range(m)
-    ]
+    # up to so many values the margin is less than the distance to the next rank, and a sketch holds them all
+    whole = F.col("__n") <= accuracy
+    lows = [F.when(whole | F.lit(lo_at[i] <= 0.0), float("-inf")).otherwise(F.col("__b")[i]) for i in range(m)]
+    highs = [F.when(whole | F.lit(hi_at[i] >= 1.0), float("inf")).otherwise(F.col("__b")[m + i]) for i in range(m)]
     brackets = sketch.select(
         *keys, "__n", F.array(*lows).alias("__lo"), F.array(*highs).alias("__hi")
     )
@@ -133,9 +124,6 @@ def column_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float],
-    rows: int | None = None,
-    small_table: int = SMALL_TABLE,
-    small_group: int = SMALL_GROUP,
     accuracy: int = SKETCH_ACCURACY,
     most_inside: int = MOST_INSIDE,
 ) -> dict[str, list[float]]:
@@ -143,8 +131,7 @@ def column_quantiles(
 
     Runs a few jobs that scan these columns, shuffle none of their rows and return a few numbers a column:
     sketches, then counts below and inside the brackets, again while a bracket is too full, then the ranking of
-    what is inside. Tables of up to ``small_table`` cells (``rows`` is their row count, if known) take the
-    built-in exact percentile, which holds their values in one task.
+    what is inside. The way is the same at every size.
     """
     if not columns:
         return {}
@@ -153,9 +140,6 @@ def column_quantiles(
         *[nan_to_null(col(c), types[c]).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
     )
     names = data.columns
-    if (data.count() if rows is None else rows) * len(names) <= small_table:
-        row = data.agg(*[F.percentile(v, [float(p) for p in probs]).alias(v) for v in names]).first()
-        return {c: list(row[v]) for c, v in zip(columns, names) if row[v] is not None}
     margin = 3.0 / accuracy
     ends = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     row = data.agg(
@@ -169,11 +153,12 @@ def column_quantiles(
         for j, p in enumerate(probs):
             if n:
                 rank = _Rank(i, n, p)
-                if n > small_group:
-                    bounds = row[f"b_v{i}"]
-                    rank.lo = bounds[j] if ends[j] > 0 else rank.lo
-                    rank.hi = bounds[m + j] if ends[m + j] < 1 else rank.hi
+                bounds = row[f"b_v{i}"]
+                rank.lo = bounds[j] if ends[j] > 0 else rank.lo
+                rank.hi = bounds[m + j] if ends[m + j] < 1 else rank.hi
                 ranks.append(rank)
+    if not ranks:
+        return {}
     _count(data, ranks)
     for rank in ranks:
         if not rank.holds():

@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from ..functions.values import col
 from ..operators.autoclean import CleaningReport, autoclean
 from ..operators.quality import QualityReport, evaluate_quality, quality_gate
-from ..operators.rules import TransformationResult, apply_rules
+from ..operators.rules import RuleRun, apply_rules
 from ..operators.runs import alert_events
 from ..operators.scorecard import Scorecard, scorecard
-from ..session import discard, shared_dir, staging_path
+from ..session import discard, staging_path
 from ..sinks.writers import load
-from ..sources.registry import extract, ingest
+from ..sources.registry import extract, extract_table, ingest
 from ..streaming.incremental import as_text, larger_mark
 from .bookkeeping import SECRET_KEYS, Bookkeeping
 
@@ -45,12 +45,12 @@ def source_config(config: dict) -> dict:
 
 def build(
     spark: SparkSession, name: str, config: dict, checkpoint=None, run_id: str | None = None, observe: bool = False
-) -> TransformationResult:
+) -> RuleRun:
     """Extract and transform, lazily."""
     return _transform(extract(spark, source_config(config), checkpoint), name, config, run_id, observe)
 
 
-def _transform(df: DataFrame, name, config, run_id, observe) -> TransformationResult:
+def _transform(df: DataFrame, name, config, run_id, observe) -> RuleRun:
     return apply_rules(df, config.get("transformations") or [], name, run_id, observe)
 
 
@@ -139,7 +139,8 @@ def _execute(spark: SparkSession, run: Run, config: dict, store: Bookkeeping, al
     mark_column = source.get("checkpoint_column")
 
     started = _now()
-    raw = extract(spark, source, mark[0] if mark else None)
+    read = extract_table(spark, source, mark[0] if mark else None)
+    raw = read.data
     watched, seen, mark_type = raw, None, None
     if mark_column in raw.columns:
         mark_type = raw.schema[mark_column].dataType.simpleString()
@@ -147,11 +148,23 @@ def _execute(spark: SparkSession, run: Run, config: dict, store: Bookkeeping, al
         watched = raw.observe(seen, as_text(F.max(col(mark_column))).alias("mark"))
     result = _transform(watched, name, config, run.run_id, observe=True)
     staged_path = staging_path(spark, name)
+    try:
+        return _finish(spark, run, config, store, alerts, read, result, staged_path, started, mark, mark_type, seen)
+    finally:
+        discard(spark, staged_path)
+
+
+def _finish(spark, run, config, store, alerts, read, result, staged_path, started, mark, mark_type, seen) -> dict:
+    """Write the transformed rows once, check and load that copy, move the mark."""
+    name, source = run.pipeline_name, source_config(config)
     result.data.write.mode("overwrite").parquet(staged_path)
     staged = spark.read.schema(result.data.schema).parquet(staged_path)
-    run.task("extract", started, records_out=result.records_in)
-    run.task("transform", started, result.records_in, result.records_out)
-    run.values.update(records_extracted=result.records_in, records_transformed=result.records_out)
+    came, went = result.rows
+    unread = read.rejects.count() if read.rejects is not None else 0
+    notes = [*result.notes, *([f"{unread} lines of the source could not be read"] if unread else [])]
+    run.task("extract", started, records_out=came)
+    run.task("transform", started, came, went)
+    run.values.update(records_extracted=came, records_transformed=went)
 
     report = evaluate_quality(staged, config.get("quality") or {}, name)
     # A few rows per configured check; kept so that the checks run once.
@@ -165,18 +178,17 @@ def _execute(spark: SparkSession, run: Run, config: dict, store: Bookkeeping, al
 
     started = _now()
     loaded = load(staged, {**(config.get("destination") or {}), "name": name})
-    run.task("load", started, result.records_out, loaded.records_loaded, loaded.error)
-    run.values.update(records_loaded=loaded.records_loaded, records_failed=loaded.records_failed)
+    run.task("load", started, went, loaded.records_loaded, loaded.error)
+    run.values.update(records_loaded=loaded.records_loaded, records_failed=loaded.records_failed + unread)
     if not loaded.success:
         raise RuntimeError(f"Load failed: {loaded.error}")
-    discard(spark, staged_path)
     if seen is not None and source["incremental"]:
         value = larger_mark(mark[0] if mark else None, seen.get["mark"], mark_type, spark)
         if value is not None:
             store.save_checkpoint(name, source_name(config), value, mark_type, _now())
     return {
         "run_id": run.run_id, "pipeline_name": name, "status": "success", **run.values,
-        "rules_applied": result.rules_applied, "warnings": result.warnings, "quality": scores,
+        "rules_applied": result.applied, "warnings": notes, "quality": scores,
         "quality_passed": not alerts["low"],
     }
 
@@ -198,11 +210,12 @@ def _book(store: Bookkeeping, run: Run, row: dict, alerts: dict) -> None:
 def run_without_checks(spark: SparkSession, name: str, config: dict) -> dict:
     """Extract, transform and load only, the way pipelines found in a folder run: no checks, no mark."""
     result = build(spark, name, {**config, "incremental": False}, observe=True)
-    default = {"type": "csv", "path": f"{shared_dir(spark)}/out/{name}"}
-    loaded = load(result.data, config.get("destination") or default)
+    if not config.get("destination"):
+        raise ValueError(f"pipeline {name!r} has no destination")
+    loaded = load(result.data, config["destination"])
     if not loaded.success:
         raise RuntimeError(f"Load failed: {loaded.error}")
-    return {"pipeline_name": name, "records_loaded": loaded.records_loaded, "warnings": result.warnings}
+    return {"pipeline_name": name, "records_loaded": loaded.records_loaded, "warnings": result.notes}
 
 
 def discover(folder: str) -> dict[str, dict]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +33,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and staged tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session without that setting gets a
-    temporary folder; a cluster session without it is refused, because its executors would not share one.
+    ``spark.checkpoint.dir`` names it. A session without that setting is refused: executors would not share a
+    folder that was made up here, and nobody would know what to clean up.
     """
     jsc = spark.sparkContext._jsc
     current = jsc.sc().getCheckpointDir()
@@ -43,9 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
         return current.get()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="clearwell-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(path)
     return jsc.sc().getCheckpointDir().get()
 

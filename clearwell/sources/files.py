@@ -30,10 +30,10 @@ def require(config: dict, *keys: str) -> None:
 
 @dataclass
 class DelimitedTable:
-    """``data``: the lines that fit. ``rejects``: lines with more fields than the header."""
+    """``data``: the lines that fit. ``rejects``: those that don't, as ``line``."""
 
     data: DataFrame
-    rejects: DataFrame
+    rejects: DataFrame | None
 
 
 def _header(lines: list[str], sep: str) -> list[str]:
@@ -72,12 +72,55 @@ def _skip_leading_lines(lines: DataFrame, count: int) -> DataFrame:
     return _placed(lines).filter(F.col("place").isNull() | (F.col("place") >= count)).select("value")
 
 
+def _by_header(lines: DataFrame, path, skip: int) -> list[tuple[str, object]]:
+    """Header lines, each with what to read for it: the path itself if all files agree, else the list of files."""
+    files = lines.inputFiles()
+    if not skip:
+        lines = lines.filter("trim(value) <> ''")  # blank lines before a header are no header
+    if len(files) == 1:
+        head = [r[0] for r in lines.limit(skip + 1).collect()]
+        return [(head[skip], path)] if len(head) > skip else []
+    first = leading_lines(lines, skip + 1).filter(F.col("place") == skip)
+    found = first.groupBy("value").agg(F.sort_array(F.collect_list("file")).alias("files"), F.min("file").alias("least"))
+    found = found.orderBy("least").collect()
+    if len(found) == 1 and len(found[0]["files"]) == len(files):
+        return [(found[0]["value"], path)]
+    return [(r["value"], list(r["files"])) for r in found]
+
+
+def _read_texts(spark, path, names: list[str], sep: str, skip: int, multiline: bool, options: dict) -> DelimitedTable:
+    """Files of one header as text columns, and the lines with more fields than it."""
+    raw_schema = ", ".join(f"{c} string" for c in [*(f"c{i}" for i in range(len(names))), WHOLE_LINE])
+    if skip and multiline:
+        # a file with quoted line breaks is one block, so a record's place is its id less the file's first one
+        reader = spark.read.options(header=False, multiLine=True, **options).schema(raw_schema).csv(path)
+        ids = reader.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__id"))
+        starts = ids.groupBy("__file").agg(F.min("__id").alias("__start"))
+        raw = ids.join(starts, "__file").filter(F.col("__id") - F.col("__start") > skip).drop("__file", "__id", "__start")
+    elif skip:
+        lines = spark.read.option("encoding", options["encoding"]).text(path)
+        body = _skip_leading_lines(lines, skip + 1).filter("trim(value) <> ''")
+        raw = body.select(F.from_csv("value", raw_schema, options).alias("r")).select("r.*")
+    else:
+        raw = spark.read.options(header=True, multiLine=multiline, **options).schema(raw_schema).csv(path)
+    # A line is kept whole only when its width is not the header's. It is too long when it still reaches the last
+    # column; otherwise its fields are counted.
+    fields = F.size(F.split(F.regexp_replace(WHOLE_LINE, '"(?:[^"]|"")*"', ""), rf"\Q{sep}\E", -1))
+    reaches_end = F.col(f"c{len(names) - 1}").isNotNull()
+    # One expression, so that no part of it is evaluated by the parser before the line is set.
+    too_long = F.when(F.col(WHOLE_LINE).isNull(), False).otherwise(reaches_end | (fields > len(names)))
+    rejects = raw.filter(too_long).select(F.col(WHOLE_LINE).alias("line"))
+    texts = raw.filter(~too_long).select(*[na_to_null(F.col(f"c{i}")).alias(name) for i, name in enumerate(names)])
+    return DelimitedTable(texts, rejects)
+
+
 def read_delimited(spark: SparkSession, path, config: dict | None = None) -> DelimitedTable:
     """Config: ``encoding`` ('utf-8'), ``separator`` (','), ``skip_rows`` (0), ``columns``, ``date_columns``,
     ``schema`` (DDL or StructType; spares the inference pass), ``multiline`` (quoted line breaks; such files are
     not split).
 
-    Lines with too many fields are rejected; short lines are padded with nulls.
+    Each file is read by its own header, and columns meet by name. Lines with too many fields are rejected; short
+    lines are padded with nulls.
     """
     config = config or {}
     sep = config.get("separator", ",")
@@ -87,28 +130,17 @@ def read_delimited(spark: SparkSession, path, config: dict | None = None) -> Del
         "sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": WHOLE_LINE, "columnPruning": "false",
     }
+    multiline = bool(config.get("multiline", False))
     lines = spark.read.option("encoding", encoding).text(path)
-    head = [r[0] for r in lines.limit(skip + 1).collect()]
-    if len(head) <= skip:
+    groups = _by_header(lines, path, skip)
+    if not groups:
         raise ValueError(f"no header line in {path}")
-    names = _header(head[skip:], sep)
-    raw_schema = ", ".join(f"{c} string" for c in [*(f"c{i}" for i in range(len(names))), WHOLE_LINE])
-    if skip:
-        body = _skip_leading_lines(lines, skip + 1).filter("trim(value) <> ''")
-        raw = body.select(F.from_csv("value", raw_schema, options).alias("r")).select("r.*")
-    else:
-        reader = spark.read.options(header=True, multiLine=bool(config.get("multiline", False)), **options)
-        raw = reader.schema(raw_schema).csv(path)
-    # A line is kept whole only when its width is not the header's. It is too long when it still reaches the last
-    # column; otherwise its fields are counted.
-    fields = F.size(F.split(F.regexp_replace(WHOLE_LINE, '"(?:[^"]|"")*"', ""), rf"\Q{sep}\E", -1))
-    reaches_end = F.col(f"c{len(names) - 1}").isNotNull()
-    # One expression, so that no part of it is evaluated by the parser before the line is set.
-    too_long = F.when(F.col(WHOLE_LINE).isNull(), False).otherwise(reaches_end | (fields > len(names)))
-    rejects = raw.filter(too_long).select(F.col(WHOLE_LINE).alias("line"))
-    texts = raw.filter(~too_long).select(
-        *[na_to_null(F.col(f"c{i}")).alias(name) for i, name in enumerate(names)]
-    )
+    parts = [_read_texts(spark, files, _header([line], sep), sep, skip, multiline, options) for line, files in groups]
+    texts, rejects = parts[0].data, parts[0].rejects
+    for part in parts[1:]:
+        texts = texts.unionByName(part.data, allowMissingColumns=True)
+        rejects = rejects.unionByName(part.rejects)
+    names = texts.columns
 
     columns = _as_list(config.get("columns"))
     unknown = [c for c in columns if c not in names]
@@ -132,28 +164,38 @@ def read_delimited(spark: SparkSession, path, config: dict | None = None) -> Del
 
 
 def read_file(spark: SparkSession, config: dict) -> DataFrame:
-    """Config: ``path`` and the reader's own keys. The extension picks the reader; anything unknown is CSV."""
+    """``read_table`` without its rejects, of which it warns."""
+    read = read_table(spark, config)
+    if read.rejects is not None and (n := read.rejects.count()):
+        warnings.warn(f"{n} lines of {config['path']} could not be read")
+    return read.data
+
+
+def read_table(spark: SparkSession, config: dict) -> DelimitedTable:
+    """Config: ``path`` and the reader's own keys. The extension picks the reader; anything unknown is CSV.
+
+    ``rejects`` holds the lines that could not be read; it is None for formats without lines.
+    """
     require(config, "path")
     path = config["path"]
     suffix = suffix_of(path)
+    rejects = None
     if suffix == ".xls":
         raise ValueError(".xls files are not supported; save as .xlsx")
     if suffix == ".parquet":
         df = spark.read.parquet(path)
     elif suffix in (".json", ".jsonl"):
-        reader = spark.read.option("multiLine", suffix == ".json")
-        if config.get("schema") is not None:
-            reader = reader.schema(config["schema"])
-        df = reader.json(path)
+        from .jsondata import read_json
+
+        df, rejects = read_json(spark, path, config.get("schema"))
     elif suffix == ".xlsx":
         from .office import read_excel
 
         df = read_excel(spark, path, config.get("sheet")).data
     else:
-        options = {"separator": "\t" if suffix == ".tsv" else ",", **config}
-        return read_delimited(spark, path, options).data
+        return read_delimited(spark, path, {"separator": "\t" if suffix == ".tsv" else ",", **config})
     columns = _as_list(config.get("columns"))
-    return df.select(*[col(c) for c in columns]) if columns else df
+    return DelimitedTable(df.select(*[col(c) for c in columns]) if columns else df, rejects)
 
 
 def split_by_encoding(spark: SparkSession, path) -> tuple[list[str], list[str]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +53,14 @@ def bind(query: str, params: dict) -> str:
             return "TRUE" if value else "FALSE"
         if isinstance(value, (int, float)):
             return str(value)
-        return "'" + str(value).replace("'", "''") + "'"
+        if isinstance(value, datetime.datetime):
+            return f"TIMESTAMP '{value:%Y-%m-%d %H:%M:%S.%f}'"
+        if isinstance(value, datetime.date):
+            return f"DATE '{value:%Y-%m-%d}'"
+        text = str(value)
+        if "\\" in text or "\0" in text:  # some databases read a backslash before a quote as part of the text
+            raise ValueError("a value with a backslash can't be put into a query as text")
+        return "'" + text.replace("'", "''") + "'"
 
     def swap(match: re.Match) -> str:
         name = match.group("name")

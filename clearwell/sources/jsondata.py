@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,24 +41,81 @@ def records_of_document(doc: DataFrame) -> DataFrame:
     return flatten(doc)
 
 
+FIRST_LINES = 5
+
+
+def _complete(line: str) -> bool:
+    try:
+        json.loads(line)
+    except ValueError:
+        return False
+    return True
+
+
+def holds_lines(path: str, first: list[str]) -> bool:
+    """Whether a file is one value per line, by its first lines that are not blank: more than one, and one of them
+    an object on its own. A bracket alone on the first line opens a document."""
+    if path.endswith(".jsonl"):
+        return True
+    if len(first) < 2 or first[0].strip() in ("[", "{"):
+        return False
+    return any(line.startswith("{") and _complete(line) for line in first)
+
+
+def read_json_lines(spark: SparkSession, path: str, schema=None) -> tuple[DataFrame, DataFrame]:
+    """Rows of the lines that are objects, and the other lines as ``line``."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    if schema is None:
+        found = spark.read.json(path).schema
+        schema = T.StructType([f for f in found.fields if f.name != "_corrupt_record"])
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    wanted = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
+    parsed = lines.select("value", F.from_json("value", wanted, {"columnNameOfCorruptRecord": "__bad"}).alias("r"))
+    bad = F.col("r").isNull() | F.col("r.__bad").isNotNull() | ~F.ltrim("value").startswith("{")
+    return parsed.filter(~bad).select("r.*").drop("__bad"), parsed.filter(bad).select(F.col("value").alias("line"))
+
+
+def _check_one_value(spark: SparkSession, path: str) -> None:
+    """A document reader stops after the first value; what follows it would be lost."""
+    whole = spark.read.text(path, wholetext=True)
+    text = F.regexp_replace("value", "^\ufeff", "")
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))  # in a list, what follows a value needs a comma
+    if not whole.filter(parsed.isNull()).isEmpty():
+        raise ValueError(f"{path} is neither one JSON value nor one object per line")
+
+
+def read_json(spark: SparkSession, path: str, schema=None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of a JSON file, and its lines that could not be read (None for a document)."""
+    first = [r[0] for r in spark.read.text(path).filter(F.trim("value") != "").limit(FIRST_LINES).collect()]
+    if not first:
+        raise ValueError(f"no JSON in {path}")
+    if holds_lines(path, first):
+        return read_json_lines(spark, path, schema)
+    _check_one_value(spark, path)
+    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema is not None else reader).json(path), None
+
+
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
-    """JSON Lines, a list of objects, an object with a list of records, a nested object or a single value."""
+    """JSON Lines, a list of objects, an object with a list of records, a nested object or a single value.
+
+    Lines that are no objects are left out with a warning.
+    """
     lines = spark.read.text(path).filter(F.trim("value") != "")
-    first = lines.first()
-    if first is None:
+    first = [r[0] for r in lines.limit(FIRST_LINES).collect()]
+    if not first:
         raise ValueError(f"no JSON in {path}")
     start = first[0].lstrip()[:1]
-    objects = lines.filter(F.col("value").startswith("{")).limit(2).count()
-    by_line = path.endswith(".jsonl") or objects == 2 or (objects == 1 and not first[0].startswith("{"))
-    if by_line:
-        rows = spark.read.json(path)
-        if "_corrupt_record" not in rows.columns:
-            return rows
-    if start not in ("[", "{"):
-        value = json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    if start not in ("[", "{") and not holds_lines(path, first):
+        value = json.loads(spark.read.text(path, wholetext=True).first()[0])
         return spark.createDataFrame([(value,)], ["value"])
-    doc = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return doc if start == "[" else records_of_document(doc)
+    data, rejects = read_json(spark, path)
+    if rejects is None:
+        return data if start == "[" else records_of_document(data)
+    if n := rejects.count():
+        warnings.warn(f"{n} lines of {path} could not be read")
+    return data
 
 
 def records_from_bodies(bodies: DataFrame, body: str, record_schema: str, data_key: str | None = None) -> DataFrame:

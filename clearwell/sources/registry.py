@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .files import read_file, require, suffix_of
+from .files import DelimitedTable, read_file, read_table, require, suffix_of
 from .jdbc import read_jdbc, read_query
 
 Source = Callable[..., DataFrame]
@@ -77,6 +77,14 @@ def extract(spark: SparkSession, config: dict, checkpoint=None) -> DataFrame:
     return get_source(config)(spark, config, checkpoint)
 
 
+def extract_table(spark: SparkSession, config: dict, checkpoint=None) -> DelimitedTable:
+    """``extract`` with the lines of file sources that could not be read."""
+    source = get_source(config)
+    if source is _file:
+        return read_table(spark, config)
+    return DelimitedTable(source(spark, config, checkpoint), None)
+
+
 def ingest(spark: SparkSession, path: str, file_type: str | None = None, sheet: str | None = None) -> DataFrame:
     """Read an uploaded file by its extension."""
     from .files import read_upload

@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import sys
 import uuid
-import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +20,7 @@ from .files import require
 from .jsondata import records_from_bodies
 
 # Paging defaults.
-PAGE_SIZE, MAX_PAGES = 100, 500
+PAGE_SIZE = 100
 BODY_SCHEMA = "page int, body string"
 
 
@@ -58,22 +57,22 @@ def _pages(fetch: Callable, config: dict, params: dict, span: Pages):
         yield page, body
         if not (isinstance(body, dict) and body.get(paging.get("next_key", "next"))):
             return
-    if span.last == paging.get("max_pages", MAX_PAGES):
-        warnings.warn(f"page limit of {span.last} reached")
+    if paging.get("max_pages") and span.last == paging["max_pages"] != paging.get("total_pages"):
+        raise RuntimeError(f"there are pages after max_pages, {span.last}")
 
 
 def read_bodies(spark: SparkSession, config: dict, fetch: Callable, checkpoint: str | None = None) -> DataFrame:
     """(page, body) rows. Which page is the last is only known from the page before it, so one task walks the
     pages and hands each on at once. When the service states its number of pages, ``pagination.total_pages``
     lets several tasks (``pagination.tasks``) each walk a range. ``pagination.max_pages`` is a safety limit against
-    services that never end, 500 by default; None lifts it.
+    services that never end; the job fails when pages are left beyond it. There is none by default.
     """
     require(config, "url")
     params = dict(config.get("params") or {})
     if checkpoint:
         params["since"] = checkpoint
     paging = config.get("pagination") or {}
-    limit = paging.get("max_pages", MAX_PAGES) or sys.maxsize
+    limit = paging.get("max_pages") or sys.maxsize
     total = min(paging.get("total_pages") or limit, limit)
     tasks = min(paging.get("tasks", 8), total) if paging.get("total_pages") else 1
     edges = [1 + total * i // tasks for i in range(tasks)] + [total + 1]

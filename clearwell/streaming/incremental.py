@@ -93,8 +93,8 @@ def load_new_files(
 
     arriving = spark.readStream.format(file_format).schema(schema).load(folder)
     cleaned = apply_rules(arriving, rules, pipeline_name)
-    if cleaned.warnings:
-        raise ValueError(f"rules do not fit an incremental file load: {cleaned.warnings}")
+    if cleaned.notes:
+        raise ValueError(f"rules do not fit an incremental file load: {cleaned.notes}")
     query = (
         cleaned.data.writeStream.format("parquet").option("checkpointLocation", progress)
         .trigger(availableNow=True).start(target)

@@ -33,36 +33,36 @@ def spark(tmp_path_factory):
 
 @pytest.fixture
 def people(spark):
-    """Padded, missing, repeated and out-of-range values."""
+    """Five members: one entered twice, one without a name, a broken address, an age that is missing and one absurd."""
     rows = [
-        (1, "  Alice  ", "alice@example.com", 25, 88.5),
-        (2, "BOB", "INVALID_EMAIL", None, 72.0),
-        (3, "Carol", "carol@test.org", 200, None),
-        (3, "Carol", "carol@test.org", 200, None),
-        (5, None, "eve@domain.io", 30, 95.1),
+        (11, " Ines ", "ines@mail.example", 41, 60.0),
+        (12, "RAUL", "raul(at)mail", None, 70.0),
+        (14, "Mina", "mina@mail.example", 340, None),
+        (14, "Mina", "mina@mail.example", 340, None),
+        (17, None, "theo@mail.example", 28, 90.5),
     ]
     return spark.createDataFrame(rows, "id bigint, name string, email string, age bigint, score double")
 
 
 @pytest.fixture
-def clean_people(spark):
-    rows = [
-        (i + 1, f"{chr(97 + i)}@ex.com", age, name)
-        for i, (age, name) in enumerate(zip((25, 30, 22, 45, 38), ("Alice", "Bob", "Carol", "Dave", "Eve")))
-    ]
-    return spark.createDataFrame(rows, "id bigint, email string, age bigint, name string")
+def stock(spark):
+    """Shelf counts without a fault."""
+    rows = [(f"sku-{i:02d}", i * 3 % 11, "north" if i % 2 else "south") for i in range(1, 13)]
+    return spark.createDataFrame(rows, "sku string, pieces bigint, hall string")
 
 
 @pytest.fixture
-def dirty_people(spark):
-    rows = [
-        (1, "a@ex.com", 25, None),
-        (1, "a@ex.com", 25, None),
-        (3, None, -5, None),
-        (None, "d@ex.com", 999, None),
-        (5, "e@ex.com", 38, "Eve"),
-    ]
-    return spark.createDataFrame(rows, "id bigint, email string, age bigint, name string")
+def bad_stock(stock):
+    """Two shelves twice, a missing sku, a negative and a huge count, halls mostly unknown."""
+    from pyspark.sql import functions as F
+
+    n = F.regexp_extract("sku", r"(\d+)$", 1).cast("int")
+    damaged = stock.select(
+        F.when(n != 12, F.col("sku")).alias("sku"),
+        F.when(n == 3, -4).when(n == 4, 5000).otherwise(F.col("pieces")).alias("pieces"),
+        F.when(n < 5, F.col("hall")).alias("hall"),
+    )
+    return damaged.unionByName(damaged.where("sku in ('sku-01', 'sku-02')"))
 
 
 def values(df, column):

@@ -8,13 +8,13 @@ from clearwell.operators.profile import profile_columns
 from clearwell.operators.quality import LowQualityError, evaluate_quality, quality_gate, summarize_checks
 from clearwell.operators.scorecard import scorecard
 
-BASE = {
-    "max_null_ratio": 0.20,
+LIMITS = {
+    "max_null_ratio": 0.10,
     "max_duplicate_ratio": 0.05,
-    "min_records": 3,
-    "required_columns": ["email"],
-    "unique_keys": ["email"],
-    "range_checks": [{"column": "age", "min": 0, "max": 120}],
+    "min_records": 10,
+    "required_columns": ["sku"],
+    "unique_keys": ["sku"],
+    "range_checks": [{"column": "pieces", "min": 0, "max": 1000}],
 }
 
 
@@ -22,37 +22,46 @@ def checks_of(df, config):
     return {r["name"]: r for r in evaluate_quality(df, config).checks.collect()}
 
 
-def test_clean_frame_scores_one(clean_people):
-    summary = evaluate_quality(clean_people, BASE, "p").summary().first()
-    assert summary["composite_score"] == 1.0 and summary["failed_checks"] == 0 and summary["pass_rate"] == 1.0
-    assert summary["total_records"] == 5 and summary["pipeline_name"] == "p"
+def test_faultless_frame_passes_all(stock):
+    summary = evaluate_quality(stock, LIMITS, "stock").summary().first()
+    assert (summary["composite_score"], summary["failed_checks"], summary["total_records"]) == (1.0, 0, 12)
 
 
-def test_dirty_frame(dirty_people):
-    checks = checks_of(dirty_people, BASE)
-    assert checks["overall_null_ratio"]["actual_value"] == 0.30
-    assert checks["required_column_not_null_email"]["actual_value"] == 0.20
-    assert checks["duplicate_row_ratio"]["actual_value"] == 0.20
-    assert checks["unique_key_email"]["actual_value"] == 1.0
-    assert checks["range_check_age"]["actual_value"] == 2.0
-    assert [n for n, c in checks.items() if c["passed"]] == ["minimum_record_count"]
-    summary = evaluate_quality(dirty_people, BASE).summary().first()
-    assert (summary["composite_score"], summary["passed_checks"], summary["failed_checks"]) == (0.15, 1, 5)
+def expected(bad_stock):
+    """The numbers behind the checks, counted from the rows."""
+    rows = [tuple(r) for r in bad_stock.collect()]
+    known = [r[0] for r in rows if r[0] is not None]
+    return {
+        "overall_null_ratio": round(sum(v is None for r in rows for v in r) / (3 * len(rows)), 4),
+        "required_column_not_null_sku": round(sum(r[0] is None for r in rows) / len(rows), 4),
+        "duplicate_row_ratio": round(1 - len(set(rows)) / len(rows), 4),
+        "unique_key_sku": float(len(known) - len(set(known))),
+        "range_check_pieces": float(sum(not 0 <= r[1] <= 1000 for r in rows)),
+        "minimum_record_count": float(len(rows)),
+    }
 
 
-def test_details_are_json(dirty_people):
-    checks = checks_of(dirty_people, BASE)
-    ratios = json.loads(checks["overall_null_ratio"]["details"])["null_ratio_per_column"]
-    assert ratios == {"id": 0.2, "email": 0.2, "age": 0.0, "name": 0.8}
-    assert json.loads(checks["unique_key_email"]["details"]) == {"columns": ["email"], "duplicate_count": 1}
-    assert json.loads(checks["range_check_age"]["details"]) == {"column": "age", "min": 0, "max": 120}
+def test_damaged_frame(bad_stock):
+    checks = checks_of(bad_stock, LIMITS)
+    assert {n: c["actual_value"] for n, c in checks.items()} == expected(bad_stock)
+    limits = {"overall_null_ratio": 0.1, "duplicate_row_ratio": 0.05}
+    want = {n: v <= limits.get(n, 0) for n, v in expected(bad_stock).items()} | {"minimum_record_count": True}
+    assert {n: c["passed"] for n, c in checks.items()} == want
 
 
-def test_report_as_dict(dirty_people):
-    report = evaluate_quality(dirty_people, BASE, "p").to_dict()
-    assert report["pipeline_name"] == "p" and report["composite_score"] == 0.15 and report["total_records"] == 5
-    assert [c["name"] for c in report["checks"]][:2] == ["overall_null_ratio", "required_column_not_null_email"]
-    assert report["checks"][-1]["details"] == {"record_count": 5}
+def test_details_are_json(bad_stock):
+    checks = checks_of(bad_stock, LIMITS)
+    read = lambda name: json.loads(checks[name]["details"])
+    assert read("overall_null_ratio")["null_ratio_per_column"] == {"sku": round(1 / 14, 4), "pieces": 0.0, "hall": round(8 / 14, 4)}
+    assert read("unique_key_sku") == {"columns": ["sku"], "duplicate_count": 2}
+    assert read("range_check_pieces") == {"column": "pieces", "min": 0, "max": 1000}
+
+
+def test_report_as_dict(bad_stock):
+    report = evaluate_quality(bad_stock, LIMITS, "stock").to_dict()
+    assert report["pipeline_name"] == "stock" and report["total_records"] == 14
+    assert [c["name"] for c in report["checks"]] == list(expected(bad_stock))[:2] + [c["name"] for c in report["checks"]][2:]
+    assert report["checks"][-1]["details"] == {"record_count": 14}
 
 
 def test_missing_columns(spark):
@@ -63,18 +72,17 @@ def test_missing_columns(spark):
     assert "unique_key_id" in checks and "unique_key_x" not in checks
 
 
-def test_empty_frame(spark):
-    df = spark.createDataFrame([], "email string, age int, name string, id int")
-    checks = checks_of(df, BASE)
-    assert "overall_null_ratio" not in checks and "duplicate_row_ratio" not in checks
-    assert not checks["minimum_record_count"]["passed"]
-    assert not checks["required_column_not_null_email"]["passed"] and checks["unique_key_email"]["passed"]
+def test_empty_frame(stock):
+    checks = checks_of(stock.limit(0), LIMITS)
+    assert not {"overall_null_ratio", "duplicate_row_ratio"} & set(checks)
+    assert not checks["minimum_record_count"]["passed"] and not checks["required_column_not_null_sku"]["passed"]
+    assert checks["unique_key_sku"]["passed"]
 
 
-@pytest.mark.parametrize("zips, bad", [(("12345", "90210", "10001"), 0), (("12345", "ABCDE", "1234"), 2), ((None, "12345"), 0)])
-def test_regex(spark, zips, bad):
-    df = spark.createDataFrame([(z,) for z in zips], "zip string")
-    check = checks_of(df, {"regex_checks": [{"column": "zip", "pattern": r"^\d{5}$"}]})["regex_check_zip"]
+@pytest.mark.parametrize("codes, bad", [(("A-1", "B-22"), 0), (("A-1", "b-2", "C3"), 2), ((None, "A-1"), 0)])
+def test_regex(spark, codes, bad):
+    df = spark.createDataFrame([(c,) for c in codes], "code string")
+    check = checks_of(df, {"regex_checks": [{"column": "code", "pattern": r"^[A-Z]-\d+$"}]})["regex_check_code"]
     assert check["actual_value"] == bad and check["passed"] == (bad == 0)
 
 
@@ -106,54 +114,62 @@ def test_gate():
 
 
 def by_name(card):
-    return {d.dimension: d for d in card.dimensions}
+    return {r.dimension: r for r in card.rows.collect()}
+
+
+def found(row):
+    return [(f.column, f.measure, round(f.value, 3)) for f in row.findings]
 
 
 def test_empty_scorecard(spark):
     card = scorecard(spark.createDataFrame([], "a int"))
-    assert card.overall_score == 0 and card.grade == "F" and card.all_issues == ["Empty dataset"] * 5
-    assert (card.total_records, card.total_columns) == (0, 0)
+    total = card.total().first()
+    assert (total.score, total.grade, total.records, total.columns, total.findings) == (0.0, "F", 0, 0, 5)
 
 
 def test_scorecard_parts(spark):
     rows = [(i, "x" if i % 2 else "X", str(i) if i < 5 else "n/a", "same", float(i), None if i < 6 else 1) for i in range(10)]
     rows += rows[:2]
     df = spark.createDataFrame(rows, "id int, tag string, mixed string, fixed string, v double, gap int")
-    parts = by_name(scorecard(df, "f"))
-    assert parts["completeness"].details["total_nulls"] == 8
-    assert parts["completeness"].issues == ["Columns with >20% nulls: ['gap']"]
+    card = scorecard(df, "f")
+    parts = by_name(card)
+    assert parts["completeness"].measures["missing"] == 8 and found(parts["completeness"]) == [("gap", "missing share", 0.667)]
     assert parts["uniqueness"].score == 83.3
-    assert parts["uniqueness"].issues == ["16.7% duplicate rows detected", "Constant-value columns: ['fixed']"]
+    assert found(parts["uniqueness"]) == [(None, "repeated share", 0.167), ("fixed", "distinct values", 1.0)]
     assert parts["validity"].score == 100.0
     assert parts["consistency"].score == round((100 + 50 + 100 + 70) / 4, 1)
-    assert parts["consistency"].issues == [
-        "'mixed' has mixed numeric/text values (58% numeric)", "'tag' has capitalisation inconsistencies",
-    ]
+    assert set(found(parts["consistency"])) == {("mixed", "numeric share", 0.583), ("tag", "spellings", 1.0)}
     assert parts["timeliness"].score == 75.0
-    card = scorecard(df, "f")
-    assert card.grade == "B" and card.to_dict()["dimensions"]["validity"]["weight"] == 0.20
-    assert card.to_frame(spark).count() == 5 and card.dimension_dict["Validity"] == 100.0
+    total = card.total().first()
+    want = sum(parts[d].score * w for d, w in zip(parts, (0.30, 0.20, 0.20, 0.15, 0.15)))
+    assert total.score == pytest.approx(want, abs=0.051) and total.grade == "B" and total.findings == 6
+
+
+def test_one_dimension_measures_only_itself(spark):
+    card = scorecard(spark.createDataFrame([(1, None), (2, "x")], "a int, b string"), dimensions=["completeness"])
+    assert [r.dimension for r in card.rows.collect()] == ["completeness"] and card.total().first().score == 75.0
 
 
 def test_outliers(spark):
     df = spark.createDataFrame([(float(i % 10),) for i in range(90)] + [(1e6,)] * 10, "v double")
     part = by_name(scorecard(df))["validity"]
-    assert part.score == 90.0 and part.issues == ["'v': 10.0% extreme outliers"]
+    assert part.score == 90.0 and found(part) == [("v", "outlier share", 0.1)]
 
 
 def test_long_texts(spark):
     df = spark.createDataFrame([("a" * 501,), ("b",)], "s string")
     part = by_name(scorecard(df))["validity"]
-    assert part.score == 50.0 and part.issues == ["'s': 50.0% abnormally long values"]
+    assert part.score == 50.0 and found(part) == [("s", "long share", 0.5)]
 
 
 def test_timeliness_names(spark):
     rows = [("2024-01-01", "no", True, 5), ("later", None, False, None)]
     df = spark.createDataFrame(rows, "order_date string, status string, is_created boolean, updated int")
     part = by_name(scorecard(df))["timeliness"]
-    # The first three by name: half of the dates parse, no status does, a Boolean never does.
-    assert part.score == round((50 + 0 + 0) / 3, 1) and part.details["date_columns_found"] == 4
-    assert part.issues[0] == "'order_date': only 50% parse as valid dates"
+    # Half of the dates parse, no status does, a Boolean never does, half of the numbers are known.
+    assert part.score == round((50 + 0 + 0 + 50) / 4, 1) and part.measures["date_columns"] == 4
+    assert found(part)[0] == ("order_date", "date share", 0.5)
+    assert by_name(scorecard(df, date_limit=3))["timeliness"].score == round(50 / 3, 1)
     assert by_name(scorecard(df, date_columns=["updated"]))["timeliness"].score == 50.0
 
 
@@ -197,24 +213,27 @@ def test_autoclean(spark):
     got = sorted(tuple(r) for r in cleaned.collect())
     assert cleaned.columns == ["row_id", "name", "v_1", "code"]
     assert got == [(1, "a", 2.0, "10"), (2, "UNKNOWN", 1.0, "20"), (3, "UNKNOWN", 2.0, "30"), (4, "UNKNOWN", 4.0, "x40")]
-    assert (report.original_rows, report.cleaned_rows, report.duplicates_removed, report.nulls_filled, report.columns_dropped) == (5, 4, 1, 4, 1)
-    assert report.rows_removed == 1 and report.quality_delta == "20.0% rows cleaned"
-    assert "Removed 1 duplicate rows" in report.actions_taken
-    bars = {r["category"]: (r["before"], r["after"]) for r in before_after(report.to_frame(spark)).collect()}
+    assert report.rows == (5, 4) and report.columns == (5, 4)
+    assert [tuple(r)[1:] for r in report.step_rows().orderBy("position").collect()] == [
+        ("renamed", None, 3), ("dropped", "rare", 1), ("stripped", None, 2), ("repeated rows", None, 1),
+        ("filled", "name", 3), ("filled", "v_1", 1),
+    ]
+    bars = {r["category"]: (r["before"], r["after"]) for r in before_after(report.summary()).collect()}
     assert bars["Rows After Clean"] == (5, 4) and bars["Nulls Filled"] == (0, 4)
+    assert report.profiles.where("name = 'code'").first().sample_values
 
 
 def test_autoclean_casts_numeric_texts(spark):
     df = spark.createDataFrame([(str(i),) for i in range(19)] + [("x",)], "n string")
     cleaned, report = autoclean(df)
     assert cleaned.schema["n"].dataType.simpleString() == "double" and cleaned.filter("n is null").count() == 1
-    assert "Auto-cast 'n' to numeric" in report.actions_taken
+    assert ("made numeric", "n", 19) in report.steps
 
 
 def test_autoclean_leaves_dates(spark):
     df = spark.sql("select * from values (1, timestamp'2024-01-01'), (2, null) t(id, at)")
     cleaned, report = autoclean(df)
-    assert cleaned.filter("at is null").count() == 1 and report.warnings and report.nulls_filled == 0
+    assert cleaned.filter("at is null").count() == 1 and report.kept_gaps == {"at": 1} and report.steps == []
 
 
 def test_type_groups(spark):

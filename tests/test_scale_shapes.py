@@ -34,7 +34,7 @@ def test_grouped_quantiles(spark, shape):
     df = spark.createDataFrame(rows, "k string, v double").repartition(6)
     probs = [0.0, 0.25, 0.5, 0.95, 1.0]
     # Small limits, so that the brackets and not the whole-group path do the work.
-    out = grouped_quantiles(df, ["k"], "v", probs, small_group=1000, accuracy=500).collect()
+    out = grouped_quantiles(df, ["k"], "v", probs, accuracy=500).collect()
     assert {r["k"] for r in out} == {"big", "small", "single"}
     for r in out:
         known = [v for k, v in rows if k == r["k"] and v is not None and v == v]
@@ -45,7 +45,7 @@ def test_grouped_quantiles(spark, shape):
 def test_column_quantiles_leave_out_unknown_columns(spark):
     df = spark.createDataFrame([(1, None), (2, None), (4, None)], "a int, b double")
     assert column_quantiles(df, ["a", "b"], [0.5]) == {"a": [2.0]}
-    assert column_quantiles(df, ["a", "b"], [0.5], small_table=0, small_group=1) == {"a": [2.0]}
+    assert column_quantiles(df, ["a", "b"], [0.5]) == {"a": [2.0]}
     assert column_quantiles(df.limit(0), ["a"], [0.5]) == {} and column_quantiles(df, [], [0.5]) == {}
 
 
@@ -59,7 +59,7 @@ def test_column_quantiles(spark, most_inside):
     ]
     df = spark.createDataFrame(rows, "a double, b double, c int, d int").repartition(5)
     probs = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = column_quantiles(df, ["a", "b", "c", "d"], probs, small_table=0, small_group=100, accuracy=50, most_inside=most_inside)
+    got = column_quantiles(df, ["a", "b", "c", "d"], probs, accuracy=50, most_inside=most_inside)
     for i, c in enumerate("abcd"):
         known = [r[i] for r in rows if r[i] is not None]
         assert got[c] == pytest.approx([exact(known, p) for p in probs])

@@ -5,9 +5,9 @@ import zipfile
 import pytest
 
 from clearwell.sources import registry
-from clearwell.sources.files import read_delimited, read_file, read_upload
+from clearwell.sources.files import read_delimited, read_file, read_table, read_upload
 from clearwell.sources.jdbc import bind, jdbc_options, query_params
-from clearwell.sources.jsondata import flatten, read_json_records, records_from_bodies
+from clearwell.sources.jsondata import flatten, read_json, read_json_records, records_from_bodies
 from clearwell.sources.office import read_docx, read_excel
 from clearwell.sources.rest import read_api, read_bodies
 from clearwell.sources.textlines import numbered_lines, read_text_table, read_text_tables, sniff_separator, split_lines
@@ -266,7 +266,10 @@ def test_paged_source_in_ranges(spark):
 
 def test_page_limit(spark):
     config = {"url": "u", "pagination": {"size": 1, "max_pages": 4}, "data_key": "data"}
-    assert read_bodies(spark, config, make_fetch(100)).count() == 4
+    with pytest.raises(Exception, match="pages after max_pages"):
+        read_bodies(spark, config, make_fetch(100)).count()
+    del config["pagination"]["max_pages"]
+    assert read_bodies(spark, config, make_fetch(700)).count() == 700
 
 
 def test_single_fetch_with_mark(spark):
@@ -317,3 +320,56 @@ def test_ingest_by_extension(spark, tmp_path):
     with pytest.raises(ValueError, match="not supported"):
         registry.ingest(spark, "report.pdf")
     assert registry.ingest(spark, document(tmp_path, "d.docx", paragraph("x"))).count() == 1
+
+
+# -- nothing is lost in silence
+
+
+def test_folder_of_differing_headers(spark, tmp_path):
+    for name, text in (("1.csv", "id,name\n1,p\n"), ("2.csv", "name,id\nq,7\n"), ("3.csv", "id,name,extra\n3,r,x\n")):
+        (tmp_path / name).write_text(text)
+    table = read_delimited(spark, str(tmp_path))
+    assert {(r.id, r.name, r.extra) for r in table.data.collect()} == {(1, "p", None), (7, "q", None), (3, "r", "x")}
+    assert table.rejects.count() == 0
+    assert read_upload(spark, str(tmp_path)).count() == 3
+
+
+def test_bad_json_line_goes_alone(spark, tmp_path):
+    path = tmp_path / "a.jsonl"
+    path.write_text('{"x": 1}\n{"x": 2}\n{"x": broken\n{"x": 4}\n5\n')
+    data, rejects = read_json(spark, str(path))
+    assert sorted(r.x for r in data.collect()) == [1, 2, 4] and rejects.count() == 2
+    with pytest.warns(UserWarning, match="2 lines"):
+        assert read_json_records(spark, str(path)).count() == 3
+    table = read_table(spark, {"path": str(path)})
+    assert table.rejects.count() == 2
+
+
+def test_json_file_of_lines(spark, tmp_path):
+    path = tmp_path / "a.json"
+    path.write_text('{"x": 1}\n{"x": 2}\n{"x": 3}\n')
+    assert read_file(spark, {"path": str(path)}).count() == 3
+    path.write_text('{"x": {"y": 1}}\nrest\n')
+    assert read_json(spark, str(path))[1].count() == 1
+    path.write_text('{\n"x": 1\n}\n{\n"x": 2\n}\n')
+    with pytest.raises(ValueError, match="neither"):
+        read_json(spark, str(path))
+
+
+def test_rejected_lines_are_reported(spark, tmp_path):
+    path = write(tmp_path, "a.csv", "a,b\n1,2\n3,4,5\n")
+    with pytest.warns(UserWarning, match="1 lines"):
+        assert read_file(spark, {"path": path}).count() == 1
+    assert [r.line for r in read_table(spark, {"path": path}).rejects.collect()] == ["3,4,5"]
+
+
+def test_skipped_lines_before_quoted_breaks(spark, tmp_path):
+    path = write(tmp_path, "a.csv", 'note\na,b\n"one\ntwo",2\nthree,4\n')
+    table = read_delimited(spark, path, {"skip_rows": 1, "multiline": True})
+    assert sorted(map(tuple, table.data.collect())) == [("one\ntwo", 2), ("three", 4)]
+
+
+def test_bound_values_stay_values():
+    assert bind("x = :a and d = :d", {"a": "it's", "d": dt.date(2024, 1, 2)}) == "x = 'it''s' and d = DATE '2024-01-02'"
+    with pytest.raises(ValueError, match="backslash"):
+        bind("x = :a", {"a": "\\' or 1 = 1 --"})
