@@ -26,15 +26,15 @@ from .common import query, table
 SHARE, STEPS, MIN_ROWS = 0.6, 6, 200
 #: The chance of a regular row to be rejected, were the transformed statistics normal.
 FALSE_ALARM = 1e-12
-#: Transformed statistic -> (expression, smallest standard deviation it is taken to have).
+#: A text without words has none of them. Transformed statistic -> (expression, smallest standard deviation it is taken to have).
 FEATURES = {
-    "f_words": ("ln(n_words)", 0.1),
-    "f_length": ("ln(word_chars / n_words)", 0.05),
-    "f_variety": ("ln(n_distinct / n_words)", 0.1),
-    "f_symbols": ("ln(1 + 100 * n_symbols / word_chars)", 0.2),
-    "f_capitals": ("ln(1 + 100 * n_capitals / word_chars)", 0.3),
-    "f_dup_lines": ("ln(1 + 100 * n_dup_lines / n_lines)", 0.8),
-    "f_repeats": ("ln(1 + 100 * n_repeat_words / n_words)", 0.8),
+    "f_words": ("ln(nullif(n_words, 0))", 0.1),
+    "f_length": ("ln(word_chars / nullif(n_words, 0))", 0.05),
+    "f_variety": ("ln(n_distinct / nullif(n_words, 0))", 0.1),
+    "f_symbols": ("ln(1 + 100 * n_symbols / nullif(word_chars, 0))", 0.2),
+    "f_capitals": ("ln(1 + 100 * n_capitals / nullif(word_chars, 0))", 0.3),
+    "f_dup_lines": ("ln(1 + 100 * n_dup_lines / nullif(n_lines, 0))", 0.8),
+    "f_repeats": ("ln(1 + 100 * n_repeat_words / nullif(n_words, 0))", 0.8),
 }
 WINDOW = 8
 
