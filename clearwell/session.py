@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.sc().getCheckpointDir().get()
 
 
+def name_local_folder(spark: SparkSession) -> None:
+    """For trial runs and tests: a local session that names no shared folder gets one of this process. A cluster must
+    name its own."""
+    sc = spark.sparkContext
+    unset = not spark.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined()
+    if unset and sc.master.startswith("local"):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="clearwell-"))
+
+
 def staging_path(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared folder."""
     return f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
