@@ -224,8 +224,8 @@ def segment_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "key bigint, node bigint")
 
 
-def _joined(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (digests a, b) within the units of ``members`` (id, digest, units, label)."""
+def _joined(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (digests a, b) within the units of ``members`` (text, digest, units, label)."""
 
     def sets_of(batches: Iterator):
         import pyarrow as pa
@@ -261,9 +261,7 @@ def _joined(docs: DataFrame, members: DataFrame, words: int, percent: int) -> Da
         if len(rows) > 1:
             yield links(rows)
 
-    source = texts(docs).join(members.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")))
-    source = source.select("text", "units", "digest", "label")
-    sets = source.mapInArrow(sets_of, "units array<string>, digest binary, label binary, tokens binary")
+    sets = members.select("text", "units", "digest", "label").mapInArrow(sets_of, "units array<string>, digest binary, label binary, tokens binary")
     units = sets.select(F.explode("units").alias("unit"), "digest", "label", "tokens")
     units = units.repartition("unit").sortWithinPartitions("unit")
     return units.mapInArrow(join_units, "a binary, b binary")
@@ -288,16 +286,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.ceil(F.greatest(F.sum("n") / CELL_TOKENS, F.count(F.lit(1)) / CELL_SETS)).alias("cells")
     )
     members = members.join(load, "family").withColumn("cell", F.pmod(F.xxhash64("digest"), "cells"))
-    members = materialize(members.select("family", "digest", "id", "cells", "cell"))
+    members = members.select("family", "digest", "id", "cells", "cell").hint("shuffle_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    members = materialize(texts(docs).join(members, same).select("text", "family", "digest", "cells", "cell"))
     one = F.array(F.lit(0).cast("bigint"))
     meets = F.when(F.col("cells") == 1, one).when(F.col("cell") > 0, F.array("cell"))
     meets = meets.otherwise(F.expr("sequence(1L, greatest(1L, cells - 1))"))
     unit = F.transform(meets, lambda u: F.concat_ws(":", F.col("family"), u))
-    first = members.select("id", "digest", unit.alias("units"), F.col("digest").alias("label"))
-    links = materialize(_joined(docs, first, words, percent))
+    first = members.select("text", "digest", unit.alias("units"), F.col("digest").alias("label"))
+    links = materialize(_joined(first, words, percent))
     found = components(links)
 
-    large = members.where("cells > 1")
+    crowded = members.where("cells > 1")
+    large = crowded.select("family", "digest", "cells", "cell").distinct()
     if not large.isEmpty():
         roots = found.select(F.col("node").alias("digest"), "root")
         large = materialize(large.join(roots, "digest", "left").withColumn("label", F.coalesce("root", "digest")).drop("root"))
@@ -315,8 +316,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         in_cell = F.transform(F.expr("sequence(0L, blocks - 1)"), lambda b: name(b, F.col("cell")))
         in_block = F.transform(F.expr("sequence(0L, cells - 1)"), lambda c: name(block, c))
         units = F.when(stray, F.array_union(in_cell, in_block)).otherwise(in_cell)
-        second = rest.select("id", "digest", units.alias("units"), "label")
-        more = materialize(_joined(docs, second, words, percent))
+        second = crowded.select("text", "digest").join(rest.select("digest", units.alias("units"), "label"), "digest")
+        more = materialize(_joined(second, words, percent))
         if not more.isEmpty():
             found = components(links.unionByName(more))
 
