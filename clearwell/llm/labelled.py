@@ -20,4 +20,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int,
         named = named.where(where)
     named = named.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     few = materialize(named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    return materialize(texts(docs).join(F.broadcast(few), "doc_id").select("text", "label"))
+    return texts(docs).join(F.broadcast(few), "doc_id").select("text", "label")
