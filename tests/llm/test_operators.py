@@ -342,6 +342,34 @@ def test_rare_words_are_joined(spark, monkeypatch):
     assert got == {k: (b, round(d, 6)) for (k, _), (_, b, _, d) in zip(data, brute.base_scores(data))}
 
 
+def test_score_is_the_same_at_any_head(spark, monkeypatch):
+    data = [*near_copies(12, 4), (1000, None), (1001, "w1 never w1 seen")]
+    frame = spark.createDataFrame(data, "doc_id bigint, text string")
+    scores = lambda: {r.doc_id: (r.score, r.bits_per_byte) for r in lm.score(frame, fold("doc_id", 7) != 2).collect()}
+    want = scores()
+    monkeypatch.setattr(lm, "HEAD", 8)
+    got = scores()
+    assert len(got) == len(data) and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+def test_known_word_under_a_new_topic_has_its_overall_share(spark, monkeypatch):
+    """A word counted under one topic only keeps its overall frequency under another."""
+    monkeypatch.setattr(lm, "topics", lambda docs: lm.Topics(np.sort(lm_hashes(b"aa", b"bb")), np.array([1, 2])))
+    data = [(i, "aa " + "word " * 20) for i in range(40)] + [(i, "bb " + "other " * 20) for i in range(40, 80)]
+    frame = spark.createDataFrame([*data, (1000, "bb word")], "doc_id bigint, text string")
+    model = lm.Model.empty().prepare()  # every bit has one half
+    model.share = 0.5
+    monkeypatch.setattr(lm, "fit", lambda *a: model)
+    out = lm.score(frame, F.col("doc_id") < 1000).where("doc_id = 1000").first()
+    assert -10 < out.score < 0  # the spelling of the last word alone is -12
+
+
+def lm_hashes(*words):
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    return lm.slice_hashes(data, np.append(0, ends[:-1]), ends).view(np.int64)
+
+
 def test_chances_of_words_sum_to_at_most_one(spark):
     """All words of one byte, and the end of the word, under a fitted model: bits are a code."""
     vocab = spark.createDataFrame([(b"a", 5, 1, 5), (b"b", 3, 1, 3), (b"ab", 9, 1, 9)], "word binary, count bigint, topic bigint, overall bigint")
