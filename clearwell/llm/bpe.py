@@ -150,13 +150,17 @@ def token_starts(points, lengths):
 
 
 class Pieces:
-    """Numbers byte slices as they come: a table from a 64-bit rolling hash to a number, with the bytes for a check."""
+    """Numbers byte slices as they come: a table from a 64-bit rolling hash to a number, with the bytes for a check.
+
+    The table doubles before it is half full.
+    """
 
     def __init__(self, mask: int = (1 << 64) - 1):
         import numpy as np
 
         self.mask = np.uint64(mask)  # a test narrows the hash
-        self.slots, self.values = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.int32)
+        self.bits = TABLE_BITS
+        self.slots, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.n, self.bytes, self.ends = 0, np.empty(1 << 16, np.uint8), np.zeros(1 << 12, np.int64)
 
     def hashes(self, data, starts, ends):
@@ -169,7 +173,7 @@ class Pieces:
         import numpy as np
 
         found, todo = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
-        slot = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(todo):
             key = self.slots[slot]
             hit = key == hashes[todo]
@@ -193,7 +197,20 @@ class Pieces:
             self.bytes = np.concatenate([self.bytes, np.empty_like(self.bytes)])
         at = np.repeat(starts - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
         self.bytes[old : self.ends[self.n]] = data[at]
-        todo, slot = numbers - numbers[:1], (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        if 2 * self.n > len(self.slots):
+            there = np.flatnonzero(self.slots)
+            old_hashes, old_numbers = self.slots[there], self.values[there]
+            self.bits = max(self.bits + 1, (2 * self.n).bit_length())
+            self.slots, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._place(old_hashes, old_numbers)
+        self._place(hashes, numbers)
+        return numbers
+
+    def _place(self, hashes, numbers):
+        """Enter hashes with their numbers; one that is there already is left as it is."""
+        import numpy as np
+
+        todo, slot = np.arange(len(hashes)), (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(todo):
             free = self.slots[slot] == 0
             self.slots[slot[free]] = hashes[todo[free]]
@@ -201,7 +218,6 @@ class Pieces:
             self.values[slot[mine]] = numbers[todo[mine]]
             on = ~mine & (self.slots[slot] != hashes[todo])
             todo, slot = todo[on], (slot[on] + 1) & (len(self.slots) - 1)
-        return numbers
 
     def differs(self, numbers, data, starts, ends):
         """Slices whose bytes are not those of their number."""

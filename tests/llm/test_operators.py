@@ -5,6 +5,7 @@ import collections
 import hashlib
 import os
 import random
+import signal
 import zlib
 
 import brute
@@ -69,6 +70,21 @@ def test_bpe_survives_hash_clashes(library):
     assert encoded_one_by_one(own, texts) == [library.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_table_grows_with_the_pieces_of_one_text(library, monkeypatch):
+    monkeypatch.setattr(bpe, "TABLE_BITS", 4)
+    text = " ".join(f"piece{i * 7919}" for i in range(3000))
+    previous = signal.signal(signal.SIGALRM, lambda *_: pytest.fail("a full table has no end"))
+    signal.alarm(60)
+    try:
+        own = bpe.Bpe.from_ranks(RANKS)
+        for _ in range(2):
+            ids, counts = own.encode([text, "piece0"])
+            assert ids.tolist() == [x for t in (text, "piece0") for x in library.encode_ordinary(t)]
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, previous)
+
+
 @pytest.mark.parametrize("n", [1, 2, 127, 128, 129, 5000, 40_000])
 def test_scan_is_the_sequential_run(n):
     plain, _, product, state_of = bpe.transitions()
