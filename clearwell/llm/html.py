@@ -45,6 +45,10 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+#: What may stand in an open head; anything else ends it.
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Elements of HTML in these end an open svg or math.
+FOREIGN_TEXT = set("foreignobject desc title annotation-xml template".split())
 SCOPES = {"article", "section", "div", "td", "th", "li", "body", "main", "aside", "nav", "form", "blockquote", "table"}
 PART_TAGS = set("main article section nav aside header footer form fieldset".split())
 SAMPLE_PAGES, VARIANTS = 240, 4
@@ -69,6 +73,8 @@ class Page(HTMLParser):
         self.linked = self.links = 0
         self.last_heading = 0
 
+        if self.hidden and self._ends_hidden(tag):
+            self._show()
     def handle_starttag(self, tag, attrs):
         if self.hidden:
             if tag not in VOID:
@@ -104,11 +110,29 @@ class Page(HTMLParser):
                     del self.open[-i:]
                     self.hidden -= i
                     return
-            return
+            above = [t for t, *_ in self.open[: -self.hidden]]
+            if tag not in BLOCK:
+                above = above[1 + max((i for i, t in enumerate(above) if t in BLOCK), default=-1) :]
+            if tag not in above:
+                return
+            self._show()  # an element around the hidden one ends
         if tag in BLOCK:
             self._end_block()
         self._close_until({tag}, set() if tag in BLOCK else BLOCK)
+    def _ends_hidden(self, tag):
+        """Whether a start tag ends what hides: an open head, svg or math that its end tag was left out of."""
+        root, *inside = (t for t, *_ in self.open[-self.hidden :])
+        if root == "head":
+            return tag == "body" and "template" not in inside or not inside and tag not in IN_HEAD
+        return root in ("svg", "math") and tag in BLOCK and not FOREIGN_TEXT & set(inside)
+
+    def _show(self):
+        del self.open[-self.hidden :]
+        self.hidden = 0
+
 
+        if self.hidden == 1 and self.open[-1][0] == "head" and data.strip():
+            self._show()
     def handle_data(self, data):
         if not self.hidden:
             self.text.append(data)

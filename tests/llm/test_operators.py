@@ -482,6 +482,22 @@ def test_pages(spark):
     assert by_id[3] == by_id[4] == by_id[None] == ""
 
 
+def shown(source):
+    return [b.text for b in html.leaf_blocks(source)]
+
+
+def test_hidden_elements_end_without_their_end_tag():
+    body = "<article><h1>A</h1><p>One.</p></article>"
+    for head in ("<head><title>x</title><body>", "<head><meta charset=u><title>x</title>", "<head><script>1</script><noscript><img></noscript><body>"):
+        assert shown(f"<html>{head}{body}") == ["A", "One."]
+    assert shown("<head><title>x</title>Plain text<p>One.") == ["Plain text", "One."]
+    for tag in ("noscript", "select", "object", "template"):
+        assert shown(f"<body><div><{tag}><b>no</div>{body}") == ["A", "One."]
+    assert shown(f"<body><svg><path/><g>{body}") == ["A", "One."]
+    assert shown("<body><svg><title>no</title><foreignObject><p>no</p></foreignObject></svg><p>One.") == ["One."]
+    assert shown("<head><title>x</title></head><body><select><option>no</option></select><template><p>no</p></template><p>One.") == ["One."]
+
+
 def test_viterbi_is_the_best_path():
     pick = random.Random(2)
     for _ in range(50):
