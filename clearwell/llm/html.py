@@ -5,8 +5,7 @@ features are the tags, class and id words and roles of its ancestors, and figure
 punctuation, place in the page). The field has a weight per feature and one per pair of neighbouring labels; it is
 trained by gradient ascent on the likelihood of labelled pages and decoded by Viterbi.
 
-Labelled pages are made from a bounded sample of the given ones. Where a page says by its elements what its article
-is, that article's blocks are set into layouts drawn at random, in semantic elements or in boxes with the class names
+Labelled pages are made from a bounded sample of those that say by their elements what their article is. That article's blocks are set into layouts drawn at random, in semantic elements or in boxes with the class names
 that sites use, among menus, notices, adverts, forms, sidebars, footers and reader comments; the labels are known
 then. So the field learns from markup that the sample itself may not have.
 
@@ -45,11 +44,11 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+SCOPES = {"article", "section", "div", "td", "th", "li", "body", "main", "aside", "nav", "form", "blockquote", "table"}
 #: What may stand in an open head; anything else ends it.
 IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Elements of HTML in these end an open svg or math.
 FOREIGN_TEXT = set("foreignobject desc title annotation-xml template".split())
-SCOPES = {"article", "section", "div", "td", "th", "li", "body", "main", "aside", "nav", "form", "blockquote", "table"}
 PART_TAGS = set("main article section nav aside header footer form fieldset".split())
 SAMPLE_PAGES, VARIANTS = 240, 4
 
@@ -73,9 +72,9 @@ class Page(HTMLParser):
         self.linked = self.links = 0
         self.last_heading = 0
 
+    def handle_starttag(self, tag, attrs):
         if self.hidden and self._ends_hidden(tag):
             self._show()
-    def handle_starttag(self, tag, attrs):
         if self.hidden:
             if tag not in VOID:
                 self.open.append((tag, (), None))
@@ -119,6 +118,7 @@ class Page(HTMLParser):
         if tag in BLOCK:
             self._end_block()
         self._close_until({tag}, set() if tag in BLOCK else BLOCK)
+
     def _ends_hidden(self, tag):
         """Whether a start tag ends what hides: an open head, svg or math that its end tag was left out of."""
         root, *inside = (t for t, *_ in self.open[-self.hidden :])
@@ -130,10 +130,9 @@ class Page(HTMLParser):
         del self.open[-self.hidden :]
         self.hidden = 0
 
-
+    def handle_data(self, data):
         if self.hidden == 1 and self.open[-1][0] == "head" and data.strip():
             self._show()
-    def handle_data(self, data):
         if not self.hidden:
             self.text.append(data)
             if any(t == "a" for t, *_ in self.open):
@@ -380,14 +379,18 @@ def layout(content: list[tuple[str, str]], other: list[str], pick: random.Random
     return f"<html><body>{some('notice', 'header', 'menu', 'menu')}{inner}{some('comments', 'sidebar', 'notice', 'form', 'footer', 'footer')}</body></html>"
 
 
+def _in_article(block: Block) -> bool:
+    apart = {f"in:{t}" for t in ("nav", "aside", "footer", "form", "button")}
+    return bool({"in:article", "in:main"} & set(block.features)) and not apart & set(block.features)
+
+
 def labelled_pages(sources: list[str], variants: int = VARIANTS, seed: int = 5) -> list[list[Block]]:
     """Blocks with labels: the pages that name their article by an element, as they are and in other layouts."""
     pick, out = random.Random(seed), []
-    apart = {f"in:{t}" for t in ("nav", "aside", "footer", "form", "button")}
     for source in sources:
         blocks = leaf_blocks(source)
         for b in blocks:
-            b.label = int(bool({"in:article", "in:main"} & set(b.features)) and not apart & set(b.features))
+            b.label = int(_in_article(b))
         if not any(b.label for b in blocks):
             continue
         out.append(blocks)
@@ -400,9 +403,31 @@ def labelled_pages(sources: list[str], variants: int = VARIANTS, seed: int = 5)
 
 
 def fit(pages: DataFrame, rows: int = SAMPLE_PAGES) -> Field:
-    """A field from at most ``rows`` of ``pages`` (page_id, html), those whose ids have the smallest hashes."""
-    few = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(rows).select("html")
-    return train(labelled_pages([r.html for r in few.collect()]))
+    """A field from at most ``rows`` of the labelled ``pages`` (page_id, html), those whose ids have the smallest hashes.
+
+    Pages with text of which none is labelled are an error: there is nothing to learn from.
+    """
+
+    def having(labelled: bool):
+        def run(batches: Iterator):
+            import pyarrow as pa
+
+            for batch in batches:
+                blocks = map(leaf_blocks, batch.column(1).to_pylist())
+                yield batch.filter(pa.array([any(map(_in_article, b)) if labelled else bool(b) for b in blocks], pa.bool_()))
+
+        return run
+
+    source = pages.select("page_id", "html").where("html is not null")
+    few = lambda d: d.orderBy(F.xxhash64("page_id"), "page_id").limit(rows).select("html").collect()
+    named = source.where(F.col("html").rlike(r"(?i)<(article|main)[\s/>]"))
+    found = [r.html for r in few(named)]
+    if len(found) == rows and not all(any(map(_in_article, leaf_blocks(h))) for h in found):
+        found = [r.html for r in few(named.mapInArrow(having(True), named.schema))]
+    labelled = labelled_pages(found)
+    if not labelled and source.mapInArrow(having(False), source.schema).limit(1).count():
+        raise ValueError("no page names its article by <article> or <main>, so there is nothing to learn from")
+    return train(labelled)
 
 
 def extract(pages: DataFrame, field: Field) -> DataFrame:

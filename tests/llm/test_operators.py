@@ -498,6 +498,16 @@ def test_hidden_elements_end_without_their_end_tag():
     assert shown("<head><title>x</title></head><body><select><option>no</option></select><template><p>no</p></template><p>One.") == ["One."]
 
 
+def test_rare_labelled_pages_are_found(spark):
+    plain = [(i, f"<body><article></article><div>Page {i} without a mark.</div>") for i in range(300)]
+    marked = [(i, f"<body><nav>Menu</nav><article><h1>Title {i}</h1><p>Text of the page {i}.</p></article>") for i in range(300, 306)]
+    pages = spark.createDataFrame(plain + marked, "page_id bigint, html string")
+    field = html.fit(pages, rows=6)
+    assert field.weights and any(field.decode(html.leaf_blocks(marked[0][1])))
+    with pytest.raises(ValueError, match="nothing to learn"):
+        html.fit(pages.where("page_id < 300"))
+
+
 def test_viterbi_is_the_best_path():
     pick = random.Random(2)
     for _ in range(50):
