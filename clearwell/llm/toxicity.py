@@ -3,7 +3,8 @@
 A text's terms are its words (letters and digits, A to Z in lower case) and their beginnings, hashed into buckets and
 taken once each. The score is the logistic of a bias, a weight per bucket and, for each pair of buckets of the text,
 the inner product of their factors, so an insult can weigh more next to a mention of a group than both do apart.
-Buckets that the labels say nothing about have neither weight nor factors.
+Every bucket that the sample has gets a weight and factors, also one that says nothing by itself. What keeps them in
+bounds is decay, and steps that are the smaller the fewer texts a bucket stands in and the more terms a text has.
 
 The machine is fitted on a sample of labelled rows whose size is a parameter; scoring is one pass over all rows with
 the fitted numbers. Only the text enters a score. Null and empty texts have no terms and get the bias's score;
@@ -26,8 +27,10 @@ BUCKET_BITS, FACTORS = 20, 6
 #: Beginnings of words, in bytes; 0 is the whole word.
 PIECES = (0, 4, 5, 6)
 SAMPLE_ROWS = 40_000
-#: A bucket counts if it stands in so many texts of the sample, and its z-score against the label is so large.
-LEAST_TEXTS, LEAST_Z = 5, 4.0
+#: Rows that a step looks at, and texts at which a bucket's steps are half as long as they can be.
+STEP_ROWS, HALF_TEXTS = 2048, 5
+#: Length of a step, in units of ``rate`` over the root of the mean number of terms.
+SCALE = 4.0
 
 
 @dataclass
@@ -72,21 +75,9 @@ def terms(strings: list[str]):
 
 
 def fit(sample: DataFrame, rounds: int = 150, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Machine:
-    """A machine from ``sample`` (text, label), by Adam on the logistic loss of all its rows."""
+    """A machine from ``sample`` (text, label), by Adam on the logistic loss of its rows, ``STEP_ROWS`` at a time."""
     import numpy as np
 
-    def count(batches: Iterator):
-        import pyarrow as pa
-
-        found = np.zeros((2, 1 << BUCKET_BITS), np.int64)
-        for batch in chunks(batches, CHUNK_BYTES):
-            owner, bucket = terms(batch.column(0).to_pylist())
-            label = np.asarray(batch.column(1))[owner]
-            for k in (0, 1):
-                np.add.at(found[k], bucket[label == k], 1)
-        at = np.flatnonzero(found.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, found[0, at], found[1, at])], ["bucket", "clean", "toxic"])
-
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     share = (toxic + 0.5) / (clean + toxic + 1)
@@ -94,50 +85,57 @@ def fit(sample: DataFrame, rounds: int = 150, rate: float = 0.05, decay: float =
     machine = Machine(place, float(np.log(share / (1 - share))), np.zeros(1), np.zeros((1, FACTORS)))
     if not clean or not toxic:
         return machine
-    counted = sample.mapInArrow(count, "bucket bigint, clean bigint, toxic bigint").groupBy("bucket")
-    counted = counted.agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    both = F.col("c") + F.col("t")
-    mean = both * F.lit(toxic / (clean + toxic))
-    z = (F.col("t") - mean) / F.sqrt(mean * F.lit(clean / (clean + toxic)))
-    useful = counted.where((both >= LEAST_TEXTS) & (F.abs(z) >= LEAST_Z)).select("bucket").toArrow()
-    chosen = np.sort(useful.column("bucket").to_numpy())
-    if not len(chosen):
-        return machine
-    place[chosen] = np.arange(len(chosen))
-
     def encode(batches: Iterator):
         import pyarrow as pa
 
         for batch in chunks(batches, CHUNK_BYTES):
             owner, bucket = terms(batch.column(0).to_pylist())
-            index = place[bucket]
-            owner, index = owner[index >= 0], index[index >= 0]
             cut = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(index.astype(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(bucket.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(1), lists], ["label", "terms"])
 
     rows = sample.mapInArrow(encode, "label int, terms array<int>").toArrow()
     label = rows.column("label").to_numpy().astype(np.float64)
     lists = rows.column("terms").combine_chunks()
-    index = lists.flatten().to_numpy()
-    owner = np.repeat(np.arange(len(label)), lists.value_lengths().to_numpy())
-    n, k = len(label), len(chosen)
-    values = np.concatenate([np.zeros((k, 1)), np.random.default_rng(seed).normal(0, 0.05, (k, FACTORS))], axis=1)
-    first, second, bias = np.zeros_like(values), np.zeros_like(values), machine.bias
+    del rows
+    bucket, ends = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64))
+    found = np.bincount(bucket, minlength=len(place))
+    chosen = np.flatnonzero(found)
+    if not len(chosen):
+        return machine
+    place[chosen] = np.arange(len(chosen))
+    found, n, k = found[chosen], len(label), len(chosen)
+    reach = np.float32(rate * SCALE) / np.sqrt(np.float32(len(bucket) / n))
+    often = np.minimum(1, np.log2(n / found)) if n > 1 else 1.0
+    reach = (reach * (found / (found + HALF_TEXTS)) * often).astype(np.float32)[:, None]
+    random = np.random.default_rng(seed)
+    values = np.zeros((1 + FACTORS, k), np.float32).T  # a column after the other
+    values[:, 1:] = random.normal(0, 1, (FACTORS, k)).T * reach
+    first, second, slope = (np.zeros((1 + FACTORS, k), np.float32).T for _ in range(3))
+    bias, todo = machine.bias, np.empty(0, np.int64)
     for step in range(1, rounds + 1):
+        if not len(todo):
+            todo = random.permutation(n)
+        part, todo = np.sort(todo[:STEP_ROWS]), todo[STEP_ROWS:]
+        lens = ends[part + 1] - ends[part]
+        owner = np.repeat(np.arange(len(part)), lens)
+        index = place[bucket[np.arange(lens.sum()) + np.repeat(ends[part] - np.cumsum(lens) + lens, lens)]]
         machine.weights, machine.factors, machine.bias = values[:, 0], values[:, 1:], bias
-        miss = machine.score(owner, index, n) - label
-        slope = np.empty_like(values)
+        miss = machine.score(owner, index, len(part)) - label[part]
         slope[:, 0] = np.bincount(index, miss[owner], k)
         for f in range(FACTORS):
             v = values[index, 1 + f]
-            total = np.bincount(owner, v, n)
+            total = np.bincount(owner, v, len(part))
             slope[:, 1 + f] = np.bincount(index, miss[owner] * (total[owner] - v), k)
-        slope = slope / n + decay * values
+        slope /= len(part)
+        slope += decay * values
         bias -= rate * 4 * miss.mean()
-        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
-        values -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
-    machine.weights, machine.factors, machine.bias = values[:, 0].copy(), values[:, 1:].copy(), float(bias)
+        first *= 0.9
+        first += 0.1 * slope
+        second *= 0.99
+        second += 0.01 * slope * slope
+        values -= reach * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+    machine.weights, machine.factors, machine.bias = values[:, 0].copy(), values[:, 1:].copy(order="F"), float(bias)
     return machine
 
 

@@ -447,6 +447,23 @@ def test_log_ratio_is_that_of_the_counts(spark):
     a, b = resampling.counts(good), resampling.counts(every)
     assert a.sum() == 3 + 2 + 3 + 3 and b.sum() == a.sum() + 2 + 1 + 2 + 2
     ratio = resampling.log_ratio(good, every)
+def test_machine_learns_pairs_of_neutral_words(spark):
+    """The label is whether just one of two words is there, so each of them is as common in clean as in toxic texts."""
+    pick = random.Random(15)
+    data = []
+    for i in range(1600):
+        a, b = i % 2, i // 2 % 2
+        words = [pick.choice("one two three four five six".split()) for _ in range(10)] + ["insult"] * a + ["people"] * b
+        pick.shuffle(words)
+        data.append((" ".join(words), a ^ b))
+    data += [("rarest insult of two", 1)] * 3  # in fewer texts than were looked at before
+    machine = toxicity.fit(spark.createDataFrame(data, "text string, label int"), rounds=300)
+    docs = spark.createDataFrame([(0, "insult one"), (1, "people two"), (2, "an insult to people"), (3, "one two")], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, machine).collect()}
+    assert min(got[0], got[1]) > 0.5 > max(got[2], got[3])
+    assert (machine.place[toxicity.terms(["rarest"])[1]] >= 0).all()
+
+
     owner, bucket = resampling.ngrams(["a b a", "c c"])
     weights = np.bincount(owner, ratio[bucket])
     assert weights[0] > 0 > weights[1]
