@@ -7,8 +7,8 @@ anew, which never raises the determinant. One step is one aggregation: moments a
 bucket, so buckets up to the wanted share give the next estimate, and a hot source is combined before its shuffle.
 Cholesky factors and Mahalanobis distances are column expressions. Rows beyond ``cut`` are rejected.
 
-Groups of fewer than ``MIN_ROWS`` rows are pooled by language, and if those are too few, all together; what is still
-too small rejects nothing. Null language or source is a value of its own. Null and empty texts have no words and fail
+Groups of fewer than ``MIN_ROWS`` rows are pooled by language, and if those are too few, judged by an estimate over all
+rows. The cut follows the number of rows behind an estimate, so that a small table rejects little. Null language or source is a value of its own. Null and empty texts have no words and fail
 the base rules. Repeated rows count and are judged as often as they come.
 """
 
@@ -25,7 +25,7 @@ from .common import query, table
 
 SHARE, STEPS, MIN_ROWS = 0.6, 6, 200
 #: The chance of a regular row to be rejected, were the transformed statistics normal.
-FALSE_ALARM = 1e-12
+FALSE_ALARM = 1e-4
 #: A text without words has none of them. Transformed statistic -> (expression, smallest standard deviation it is taken to have).
 FEATURES = {
     "f_words": ("ln(nullif(n_words, 0))", 0.1),
@@ -33,8 +33,8 @@ FEATURES = {
     "f_variety": ("ln(n_distinct / nullif(n_words, 0))", 0.1),
     "f_symbols": ("ln(1 + 100 * n_symbols / nullif(word_chars, 0))", 0.2),
     "f_capitals": ("ln(1 + 100 * n_capitals / nullif(word_chars, 0))", 0.3),
-    "f_dup_lines": ("ln(1 + 100 * n_dup_lines / nullif(n_lines, 0))", 0.8),
-    "f_repeats": ("ln(1 + 100 * n_repeat_words / nullif(n_words, 0))", 0.8),
+    "f_dup_lines": ("ln(1 + 100 * n_dup_lines / nullif(n_lines, 0))", 0.5),
+    "f_repeats": ("ln(1 + 100 * n_repeat_words / nullif(n_words, 0))", 0.5),
 }
 WINDOW = 8
 
@@ -45,6 +45,16 @@ def _chi2(p: int, share: float) -> float:
     return p * (1 - v + z * v**0.5) ** 3
 
 
+def _cut(false_alarm: float) -> str:
+    """Largest distance of a regular row, given the ``__n`` rows of its estimate: by an F distribution, approximated."""
+    p, z = len(FEATURES), NormalDist().inv_cdf(1 - false_alarm)
+    h, a, b = f"({SHARE}D * __n)", 2 / (9 * p), f"(2D / (9 * ({SHARE}D * __n - {p})))"
+    below = f"((1 - {b}) * (1 - {b}) - {b} * {z * z}D)"
+    root = f"(((1 - {b}) * {1 - a}D + {z}D * sqrt((1 - {b}) * (1 - {b}) * {a}D + {b} * {(1 - a) ** 2 - a * z * z}D)) / {below})"
+    few = f"{h} <= {p + 1} or {below} <= 0"
+    return f"if({few}, double('Infinity'), {p} * ({h} * {h} - 1) / ({h} * ({h} - {p})) * pow({root}, 3))"
+
+
 def consistency(p: int, share: float) -> float:
     """What the covariance of the nearest ``share`` of normal rows must be multiplied with."""
     x, v = _chi2(p, share) / (p + 2), 2 / (9 * (p + 2))
@@ -204,17 +214,21 @@ def judge(docs: DataFrame, false_alarm: float = FALSE_ALARM) -> DataFrame:
     in_lang = F.sum(F.when(F.col("n") < MIN_ROWS, F.col("n"))).over(W.partitionBy("lang"))
     key = F.when(F.col("n") >= MIN_ROWS, own).when(in_lang >= MIN_ROWS, pooled).otherwise(F.lit("all"))
     keys = sizes.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), key.alias("key"), "n")
-    large = keys.groupBy("key").agg(F.sum("n").alias("__n"))
-    keys = materialize(keys.join(large.where(F.col("__n") >= MIN_ROWS), "key").select("key", "__lang", "__source"))
+    keys = materialize(keys)
+    fitted = keys.where("key != 'all'")
+    if keys.where("key = 'all'").limit(1).count():  # what is too small is judged by all rows
+        fitted = fitted.unionByName(keys.withColumn("key", F.lit("all")))
+    large = fitted.groupBy("key").agg(F.sum("n").alias("__n"))
+    large = materialize(large.select("key", F.expr(_cut(false_alarm)).alias("__cut")))
     same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
     features = {name: F.expr(e) for name, (e, _) in FEATURES.items()}
-    rows = good.join(keys, same).withColumns(features).select("key", *FEATURES)
+    rows = good.join(fitted, same).withColumns(features).select("key", *FEATURES)
     estimate = materialize(_start(rows))
     for _ in range(STEPS):
         estimate = materialize(_concentrate(rows, estimate))
-    judged = stats.join(keys.join(estimate, "key"), same, "left").withColumns(features)
+    judged = stats.join(keys.drop("n").join(estimate, "key").join(large, "key"), same, "left").withColumns(features)
     judged = _whiten(judged)
-    inside = F.coalesce(F.col("distance") <= _chi2(len(FEATURES), 1 - false_alarm), F.lit(True))
+    inside = F.coalesce(F.col("distance") <= F.col("__cut"), F.lit(True))
     return judged.withColumn("kept", ~F.col("base_failed") & inside).select(*stats.columns, "distance", "kept")
 
 

@@ -230,6 +230,28 @@ def test_outliers_go_and_regular_rows_stay(spark):
     assert rules.reject(frame).count() == sum(kept.values())
 
 
+def test_repeats_alone_and_small_groups_are_judged(spark):
+    pick = random.Random(16)
+    vocab = [f"{a}{b}{c}" for a in ("al", "be", "cor") for b in ("mi", "to", "sen") for c in ("", "da", "ver")]
+    say = lambda n, end="": " ".join(pick.choice(vocab) + end for _ in range(n))
+    data = [(i, say(pick.randint(60, 300)), "en", "s") for i in range(500)]
+    for i in range(500, 510):  # a quarter of the words come again
+        text, again = say(110), say(18)
+        data.append((i, f"{text} {again} {say(9)} {again}", "en", "s"))
+    data += [(i, say(pick.randint(60, 300)), "de", "small") for i in range(510, 550)]
+    data += [(i, say(120, "%%%"), "de", "small") for i in range(550, 555)]
+    frame = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string")
+    out = {r.doc_id: r for r in rules.judge(frame).collect()}
+    assert not any(out[i].base_failed for i in out) and all(out[i].distance is not None for i in out)
+    assert not any(out[i].kept for i in (*range(500, 510), *range(550, 555)))
+    assert sum(out[i].kept for i in (*range(500), *range(510, 550))) >= 535
+
+
+def test_cut_follows_the_rows_of_the_estimate(spark):
+    rows = spark.createDataFrame([(5,), (30,), (100,), (10**9,)], "__n bigint").selectExpr(f"{rules._cut(0.001)} as c").collect()
+    assert rows[0].c == float("inf") and rows[1].c > rows[2].c > rows[3].c == pytest.approx(rules._chi2(7, 0.999), rel=1e-6)
+
+
 def test_consistency_factor():
     sample = np.random.default_rng(1).normal(size=(200_000, 7))
     distance = (sample**2).sum(axis=1)
@@ -425,6 +447,23 @@ def test_machine_learns_pairs(spark):
     assert got[2] > 0.5 > max(got[0], got[1], got[3]) and got[3] == got[4]
 
 
+def test_machine_learns_pairs_of_neutral_words(spark):
+    """The label is whether just one of two words is there, so each of them is as common in clean as in toxic texts."""
+    pick = random.Random(15)
+    data = []
+    for i in range(1600):
+        a, b = i % 2, i // 2 % 2
+        words = [pick.choice("one two three four five six".split()) for _ in range(10)] + ["insult"] * a + ["people"] * b
+        pick.shuffle(words)
+        data.append((" ".join(words), a ^ b))
+    data += [("rarest insult of two", 1)] * 3  # in fewer texts than were looked at before
+    machine = toxicity.fit(spark.createDataFrame(data, "text string, label int"), rounds=300)
+    docs = spark.createDataFrame([(0, "insult one"), (1, "people two"), (2, "an insult to people"), (3, "one two")], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, machine).collect()}
+    assert min(got[0], got[1]) > 0.5 > max(got[2], got[3])
+    assert (machine.place[toxicity.terms(["rarest"])[1]] >= 0).all()
+
+
 def test_toxicity_held_out(spark):
     path = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
@@ -447,23 +486,6 @@ def test_log_ratio_is_that_of_the_counts(spark):
     a, b = resampling.counts(good), resampling.counts(every)
     assert a.sum() == 3 + 2 + 3 + 3 and b.sum() == a.sum() + 2 + 1 + 2 + 2
     ratio = resampling.log_ratio(good, every)
-def test_machine_learns_pairs_of_neutral_words(spark):
-    """The label is whether just one of two words is there, so each of them is as common in clean as in toxic texts."""
-    pick = random.Random(15)
-    data = []
-    for i in range(1600):
-        a, b = i % 2, i // 2 % 2
-        words = [pick.choice("one two three four five six".split()) for _ in range(10)] + ["insult"] * a + ["people"] * b
-        pick.shuffle(words)
-        data.append((" ".join(words), a ^ b))
-    data += [("rarest insult of two", 1)] * 3  # in fewer texts than were looked at before
-    machine = toxicity.fit(spark.createDataFrame(data, "text string, label int"), rounds=300)
-    docs = spark.createDataFrame([(0, "insult one"), (1, "people two"), (2, "an insult to people"), (3, "one two")], "doc_id bigint, text string")
-    got = {r.doc_id: r.score for r in toxicity.score(docs, machine).collect()}
-    assert min(got[0], got[1]) > 0.5 > max(got[2], got[3])
-    assert (machine.place[toxicity.terms(["rarest"])[1]] >= 0).all()
-
-
     owner, bucket = resampling.ngrams(["a b a", "c c"])
     weights = np.bincount(owner, ratio[bucket])
     assert weights[0] > 0 > weights[1]
