@@ -7,8 +7,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tests"))
 
-SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -63,7 +61,3 @@ def bad_stock(stock):
         F.when(n < 5, F.col("hall")).alias("hall"),
     )
     return damaged.unionByName(damaged.where("sku in ('sku-01', 'sku-02')"))
-
-
-def values(df, column):
-    return [r[column] for r in df.collect()]

@@ -1,7 +1,7 @@
 """Every named query against its SQL."""
 
 import pytest
-from conftest import SF_DIR
+from support import SF_DIR
 
 import __spark_entry__ as entry
 import oracle

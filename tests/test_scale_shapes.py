@@ -147,7 +147,7 @@ RULE_QUERIES = [
 
 @pytest.mark.parametrize("name", RULE_QUERIES)
 def test_no_python_and_no_cross_join(spark, name):
-    from conftest import SF_DIR
+    from support import SF_DIR
 
     plan = physical_plan(QUERIES[name](spark, SF_DIR))
     for operator in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
@@ -155,7 +155,7 @@ def test_no_python_and_no_cross_join(spark, name):
 
 
 def test_filter_and_columns_reach_the_scan(spark):
-    from conftest import SF_DIR
+    from support import SF_DIR
 
     plan = physical_plan(QUERIES["checkpoint_filter"](spark, SF_DIR))
     assert "GreaterThan(o_orderdate" in plan
@@ -167,7 +167,7 @@ def test_filter_and_columns_reach_the_scan(spark):
 
 @pytest.mark.parametrize("name", ["dedup_full", "dedup_subset_first", "dedup_keep_none", "duplicate_summary"])
 def test_duplicates_are_combined_before_the_shuffle(spark, name):
-    from conftest import SF_DIR
+    from support import SF_DIR
 
     plan = physical_plan(QUERIES[name](spark, SF_DIR)).split("\n\n")[0]
     below = plan.rsplit("Exchange", 1)[1]
