@@ -1,4 +1,4 @@
 """All queries of this subpackage and their SQL."""
 
-from . import bpe, exact, html, jaccard, lm, packing, resampling, rules, secrets, toxicity  # noqa: F401
+from . import bpe, exact, html, jaccard, lm, manifest, packing, resampling, rules, secrets, toxicity  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
