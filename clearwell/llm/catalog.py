@@ -1,4 +1,5 @@
 """All queries of this subpackage and their SQL."""
 
-from . import bpe, exact, html, jaccard, lm, manifest, packing, resampling, rules, secrets, toxicity  # noqa: F401
+from . import balltree, bpe, exact, html, jaccard, lm, manifest  # noqa: F401
+from . import packing, resampling, rules, secrets, toxicity, whitening  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
