@@ -1,4 +1,8 @@
-"""Bookkeeping tables as folders of Parquet: runs, tasks, checks, checkpoints, alerts, logs, sources."""
+"""Bookkeeping tables as folders of Parquet: runs, tasks, checks, checkpoints, alerts, logs, sources.
+
+Every run appends a few rows to several tables. The commit log of a table (:mod:`clearwell.sinks.tables`) compacts them,
+so that a report reads a number of files that grows with the logarithm of the runs.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sinks.tables import exists, read_table, upsert_table
+from ..sinks.tables import append_table, exists, read_table, upsert_table
 from ..streaming.incremental import CHECKPOINT_KEYS, CHECKPOINT_SCHEMA, checkpoint_row, read_checkpoint
 
 # Table layouts and the configuration keys whose values are never stored.
@@ -46,8 +50,11 @@ SCHEMAS = {
         "created_at timestamp, updated_at timestamp"
     ),
 }
-# Runs are kept by start day, so that reports over recent days read those days only.
-PARTITIONS = {"pipeline_runs": "run_date"}
+# Compacted rows are sorted by time, so that a report over recent days skips most of the older ones.
+SORTED = {
+    "pipeline_runs": ["started_at"], "pipeline_tasks": ["started_at"], "data_quality_metrics": ["evaluated_at"],
+    "alert_history": ["sent_at"], "pipeline_logs": ["logged_at"],
+}
 SECRET_KEYS = ("password", "token", "secret", "api_key")
 
 
@@ -62,9 +69,7 @@ class Bookkeeping:
         schema = T.StructType.fromDDL(SCHEMAS[table])
         if not exists(self.spark, self.path(table)):
             return self.spark.createDataFrame([], schema)
-        if table == "etl_checkpoints":
-            return read_table(self.spark, self.path(table))
-        return self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.names)
+        return read_table(self.spark, self.path(table)).select(*schema.names)
 
     def frame(self, table: str, rows: list[dict]) -> DataFrame:
         """A few rows of a table, in one partition."""
@@ -82,11 +87,7 @@ class Bookkeeping:
                     for f in schema.fields
                 ]
             )
-        if table in PARTITIONS:
-            writer = rows.withColumn(PARTITIONS[table], F.to_date("started_at")).write.partitionBy(PARTITIONS[table])
-        else:
-            writer = rows.write
-        writer.mode("append").parquet(self.path(table))
+        append_table(self.spark, self.path(table), rows, SORTED.get(table))
 
     def append_checks(self, checks: DataFrame, run_id: str, pipeline_name: str, at: dt.datetime) -> None:
         """Check rows of a run. The expected value is the threshold."""
@@ -115,7 +116,7 @@ class Bookkeeping:
         self, pipeline_name: str, source_name: str, value: str, value_type: str, at: dt.datetime
     ) -> None:
         row = checkpoint_row(self.spark, pipeline_name, source_name, value, value_type, at)
-        upsert_table(self.spark, self.path("etl_checkpoints"), row, CHECKPOINT_KEYS, ["updated_at"])
+        upsert_table(self.spark, self.path("etl_checkpoints"), row, CHECKPOINT_KEYS, ["updated_at"], buckets=1)
 
 
 def mask_secrets(sources: DataFrame, column: str = "connection_config") -> DataFrame:

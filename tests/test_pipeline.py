@@ -1,3 +1,4 @@
+import concurrent.futures
 import datetime as dt
 
 import pytest
@@ -9,6 +10,8 @@ from clearwell.operators.runs import filter_runs, platform_health
 from clearwell.plans.bookkeeping import Bookkeeping, active_sources, mask_secrets
 from clearwell.plans.pipeline import build, clean_upload, discover, run_folder, run_pipeline
 from clearwell.sinks import get_sink, load
+from clearwell.sinks import tables
+from clearwell.sinks.commitlog import SNAPSHOT, CommitLog, Part, State
 from clearwell.sinks.tables import read_table, upsert_table
 from clearwell.sinks.writers import merge_statement
 from clearwell.streaming.incremental import larger_mark, load_new_files
@@ -73,12 +76,135 @@ def test_upsert_rules(spark):
     assert rows(upsert(target, spark.createDataFrame([(1,)], "k int"), ["k"]).filter("k = 1")) == [(1, None, None)]
 
 
-def test_upsert_table_versions(spark, tmp_path):
+def test_upsert_table_keeps_untouched_files(spark, tmp_path):
+    path = tmp_path / "t"
+    upsert_table(spark, str(path), spark.range(1000).selectExpr("id as k", "0 as v"), ["k"], buckets=16)
+    before = {p.bucket: p.path for p in CommitLog(spark, str(path)).state().parts}
+    assert len(before) == 16
+    upsert_table(spark, str(path), spark.createDataFrame([(7, 1), (5000, 1)], "k long, v int"), ["k"])
+    after = {p.bucket: p.path for p in CommitLog(spark, str(path)).state().parts}
+    assert 1 <= sum(after[b] != before[b] for b in before) <= 2
+    assert all((path / p).is_dir() for p in before.values())  # for readers that have started on them
+    got = rows(read_table(spark, str(path)))
+    assert got == sorted([(i, 1 if i == 7 else 0) for i in range(1000)] + [(5000, 1)], key=str)
+    upsert_table(spark, str(path), spark.createDataFrame([(7, 2)], "k long, v int"), ["k"])
+    assert sum(not (path / p).is_dir() for p in before.values()) >= 1  # gone with the commit after
+    assert read_table(spark, str(path)).where("k = 7").first()["v"] == 2
+
+
+def test_upsert_table_rules(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first = spark.createDataFrame([(1, "a", 1.0), (None, "n", 1.0), (2, "b", None)], "k int, v string, w double")
+    upsert_table(spark, path, first, ["k"])
+    upsert_table(spark, path, spark.createDataFrame([(2, "x"), (None, "m"), (3, "z"), (3, "y")], "k long, v string"), ["k"])
+    assert rows(read_table(spark, path)) == sorted(
+        [(1, "a", 1.0), (None, "n", 1.0), (2, "x", None), (None, "m", None), (3, "z", None)], key=str
+    )
+    with pytest.raises(ValueError):
+        upsert_table(spark, path, spark.createDataFrame([(1, 1)], "k int, extra int"), ["k"])
+    # another key than the table's: all of it is matched
+    upsert_table(spark, path, spark.createDataFrame([(9, "a", 5.0)], "k int, v string, w double"), ["v"])
+    assert sorted(r["k"] for r in read_table(spark, path).where("v = 'a'").collect()) == [9]
+    upsert_table(spark, path, first.limit(0), ["k"])
+    assert read_table(spark, path).count() == 5
+    assert not list((tmp_path / "t" / "_staging").iterdir())
+
+
+def test_upsert_takes_over_a_plain_folder(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.parquet(path)
+    upsert_table(spark, path, spark.createDataFrame([(2, "c")], "k int, v string"), ["k"])
+    assert rows(read_table(spark, path)) == [(1, "a"), (2, "c")]
+    assert not list((tmp_path / "t").glob("part-*"))
+
+
+def test_two_writers_of_one_bucket(spark, tmp_path, monkeypatch):
+    """The second commit of the same bucket is a conflict and starts again from what the first left."""
+    path = str(tmp_path / "t")
+    upsert_table(spark, path, spark.createDataFrame([(1, 0)], "k int, v int"), ["k"], buckets=1)
+    real, met = tables._write, []
+
+    def write(log, rows, layout):
+        parts = real(log, rows, layout)
+        if not met:
+            met.append(True)
+            upsert_table(spark, path, spark.createDataFrame([(2, 2)], "k int, v int"), ["k"])
+        met.append(True)
+        return parts
+
+    monkeypatch.setattr(tables, "_write", write)
+    upsert_table(spark, path, spark.createDataFrame([(1, 1)], "k int, v int"), ["k"])
+    assert rows(read_table(spark, path)) == [(1, 1), (2, 2)]
+    assert len(met) == 4  # the outer merge wrote twice, the inner once
+
+
+def test_two_writers_of_other_buckets(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    upsert_table(spark, path, spark.range(200).selectExpr("id as k", "0 as v"), ["k"], buckets=64)
+    bucket = spark.range(200).selectExpr("id as k").withColumn("b", tables._bucket(spark.range(200).toDF("k"), ["k"], 64))
+    by = {r["k"]: r["b"] for r in bucket.collect()}
+    one, other = 0, next(k for k in by if by[k] != by[0])
+    real, met = tables._write, []
+
+    def write(log, rows, layout):
+        parts = real(log, rows, layout)
+        met.append(True)
+        if len(met) == 1:
+            upsert_table(spark, path, spark.createDataFrame([(other, 2)], "k long, v int"), ["k"])
+        return parts
+
+    monkeypatch.setattr(tables, "_write", write)
+    upsert_table(spark, path, spark.createDataFrame([(one, 1)], "k long, v int"), ["k"])
+    assert len(met) == 2  # nobody wrote twice
+    changed = {r["k"]: r["v"] for r in read_table(spark, path).where("v > 0").collect()}
+    assert changed == {one: 1, other: 2} and read_table(spark, path).count() == 200
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    frames = [spark.createDataFrame([(n, n), (100, n)], "k int, v int") for n in range(6)]
+    with concurrent.futures.ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda df: upsert_table(spark, path, df, ["k"], buckets=4), frames))
+    got = {r["k"]: r["v"] for r in read_table(spark, path).collect()}
+    assert got.pop(100) in range(6) and got == {n: n for n in range(6)}
+
+
+def test_rebucket_keeps_rows(spark, tmp_path):
     path = str(tmp_path / "t")
-    for n in range(4):
-        upsert_table(spark, path, spark.createDataFrame([(1, n), (n + 10, n)], "k int, v int"), ["k"])
-    assert rows(read_table(spark, path)) == sorted([(1, 3), (10, 0), (11, 1), (12, 2), (13, 3)], key=str)
-    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.is_dir()) == ["v00000003", "v00000004"]
+    upsert_table(spark, path, spark.range(100).selectExpr("id as k", "0 as v"), ["k"], buckets=2)
+    tables.rebucket(spark, path, 8)
+    upsert_table(spark, path, spark.range(100).selectExpr("id as k", "1 as v"), ["k"])
+    got = read_table(spark, path)
+    assert got.count() == 100 and got.where("v = 1").count() == 100
+    assert len({p.bucket for p in CommitLog(spark, path).state().parts}) == 8
+
+
+def test_a_commit_number_is_taken_once(spark, tmp_path):
+    log = CommitLog(spark, str(tmp_path))
+    assert log._publish(1, "{}") and not log._publish(1, "{}")
+    assert log.names("_log") == ["000000000001.json"]
+
+
+def test_state_needs_few_log_files(spark, tmp_path):
+    log, state = CommitLog(spark, str(tmp_path)), State()
+    layout = {"schema": "", "keys": [], "buckets": 0}
+    for n in range(100):
+        state = log.commit(state, [Part(f"data/{n}")], [Part(f"data/{n - 1}")] if n % 2 else [], set(), layout)
+    assert log.state().parts == state.parts and log.state().version == 100
+    assert len(state.parts) == 50 and len(log.versions()) <= 3 * SNAPSHOT
+
+
+def test_books_of_many_runs_stay_few_files(spark, tmp_path):
+    """Reads do not grow with the runs: after 100 runs a table has a few parts, and all of its rows."""
+    store = Bookkeeping(spark, str(tmp_path))
+    start = dt.datetime(2024, 5, 1)
+    for n in range(100):
+        store.append("pipeline_logs", [{"run_id": f"r{n}", "message": "m", "logged_at": start + dt.timedelta(days=n)}])
+    parts = CommitLog(spark, store.path("pipeline_logs")).state().parts
+    assert len(parts) <= 3 * 7 and max(p.level for p in parts) >= 2
+    assert sorted(r["run_id"] for r in store.read("pipeline_logs").collect()) == sorted(f"r{n}" for n in range(100))
+    files = [f for f in (tmp_path / "pipeline_logs").rglob("*.parquet")]
+    assert len(files) <= 40
 
 
 def test_upsert_sink_counts_rows(spark, tmp_path):
