@@ -72,7 +72,8 @@ def aggregate_daily(df: DataFrame, config: dict) -> DataFrame:
     ]
     key_cols = [col(k) for k in keys]
     out = rows.groupBy(*key_cols).agg(*plain) if plain else rows.select(*key_cols).distinct()
-    for c in medians:
-        table = grouped_quantiles(rows, keys, c, [0.5]).select(*key_cols, F.col("q")[0].alias(c))
+    if medians:
+        table = grouped_quantiles(rows, keys, medians, [0.5])
+        table = table.select(*key_cols, *[F.col(f"q{i}")[0].alias(c) for i, c in enumerate(medians)])
         out = out.join(table, keys, "left")
     return out.select(*key_cols, *[col(c) for c in wanted])

@@ -13,14 +13,16 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import col, nan_to_null
+from ..session import materialize
 
 SKETCH_ACCURACY = 10_000
-# Grouped ranks are bracketed once only, so more tightly: about one value in 8,000 of a group is ranked.
-GROUP_ACCURACY = 50_000
+GROUP_ACCURACY = 10_000
+# Distinct values that one task ranks for one group at most.
+MOST_RANKED = 1_000_000
 # Brackets with more values than this are narrowed before they are ranked.
 MOST_INSIDE = 2_000_000
 
@@ -28,71 +30,152 @@ MOST_INSIDE = 2_000_000
 def grouped_quantiles(
     rows: DataFrame,
     keys: Sequence[str],
-    value: str,
+    values: Sequence[str],
     probs: Sequence[float],
     accuracy: int = GROUP_ACCURACY,
+    most_ranked: int = MOST_RANKED,
 ) -> DataFrame:
-    """One row per key group: the keys, ``n`` (non-null values) and ``q`` (array, one entry per probability).
+    """One row per key group: the keys and, for the i-th of ``values``, ``n{i}`` (known values) and ``q{i}`` (array,
+    one entry per probability, null without values). Keys must not be null.
 
-    Keys must not be null. How the brackets are joined back is left to the planner; AQE splits a hot key.
+    One aggregation sketches all columns and is written, one row per group. Groups so large that a bracket may hold more
+    than ``most_ranked`` values are narrowed in rounds that read these groups only; there are at most
+    ``rows / (most_ranked * accuracy / 16)`` of them. At last each group ranks what is left in its brackets, at most
+    ``most_ranked`` distinct values a task, whatever the group's size.
     """
     keys = list(keys)
+    data = rows.select(
+        *[col(k) for k in keys],
+        *[F.nanvl(col(c).cast("double"), F.lit(None).cast("double")).alias(f"__v{i}") for i, c in enumerate(values)],
+    )
+    sketches = materialize(data.groupBy(*keys).agg(*_sketches(len(values), probs, accuracy)))
+    brackets = _narrowed(data, sketches, keys, len(values), probs, accuracy, most_ranked)
+    ranked = _ranked(data, brackets, keys, len(values), probs)
+    m = len(probs)
+    out = sketches.select(*keys, *[f"__n{i}" for i in range(len(values))]).join(ranked, keys, "left")
+    entries = [[F.col("__q")[i * m + j] for j in range(m)] for i in range(len(values))]
+    return out.select(
+        *keys,
+        *[F.col(f"__n{i}").alias(f"n{i}") for i in range(len(values))],
+        *[F.when(F.col(f"__n{i}") > 0, F.array(*entries[i])).alias(f"q{i}") for i in range(len(values))],
+    )
+
+
+def _sketches(columns: int, probs: Sequence[float], accuracy: int) -> list[Column]:
     # Three times the rank error the sketch guarantees.
     margin = 3.0 / accuracy
-    lo_at = [max(0.0, p - margin) for p in probs]
-    hi_at = [min(1.0, p + margin) for p in probs]
-    data = rows.select(*[col(k) for k in keys], col(value).cast("double").alias("__v"))
-    data = data.withColumn("__v", F.nanvl("__v", F.lit(None).cast("double"))).filter("__v is not null")
-    sketch = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", lo_at + hi_at, accuracy).alias("__b"),
+    ends = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+    out = []
+    for i in range(columns):
+        v = F.col(f"__v{i}")
+        out += [F.count(v).alias(f"__n{i}"), F.percentile_approx(v, ends, accuracy).alias(f"__b{i}")]
+    return out
+
+
+def _positions(columns: int, probs: Sequence[float]) -> list[Column]:
+    return [F.lit(float(p)) * (F.col("__n")[i] - 1) for i in range(columns) for p in probs]
+
+
+def _narrowed(data, sketches, keys, columns: int, probs, accuracy: int, most_ranked: int) -> DataFrame:
+    """Per group ``__n`` (by column), ``__lo`` and ``__hi`` (by rank): each rank's values lie in its bracket, and no more
+    than ``most_ranked`` others."""
+    margin, m = 3.0 / accuracy, len(probs)
+    lows, highs = [], []
+    for i in range(columns):
+        # up to so many values the margin is less than the distance to the next rank, and a sketch holds them all
+        whole, bounds = F.col(f"__n{i}") <= accuracy, F.col(f"__b{i}")
+        for j, p in enumerate(probs):
+            lows.append(F.when(whole | F.lit(p <= margin), float("-inf")).otherwise(bounds[j]))
+            highs.append(F.when(whole | F.lit(p >= 1 - margin), float("inf")).otherwise(bounds[m + j]))
+    sizes = [F.col(f"__n{i}") for i in range(columns)]
+    # beside the ends of a bracket, the margins and the sketch's errors leave less than 16 / accuracy of the values
+    large = F.greatest(*sizes, F.lit(0)) > F.lit(max(accuracy, most_ranked * accuracy // 16))
+    brackets = sketches.select(
+        *keys, F.array(*sizes).alias("__n"), F.array(*lows).alias("__lo"), F.array(*highs).alias("__hi"), large.alias("__full")
     )
+    done = [brackets.filter("not __full").drop("__full")]
+    full = brackets.filter("__full")
+    for _ in range(64):
+        if full.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done)
+        halved = materialize(_halved(data, full.drop("__full"), keys, columns, probs, accuracy, most_ranked))
+        done.append(halved.filter("not __full").drop("__full"))
+        full = halved.filter("__full")
+    raise RuntimeError("quantile brackets do not get narrower")
+
+
+def _halved(data, brackets, keys, columns: int, probs, accuracy: int, most_ranked: int) -> DataFrame:
+    """One round: values below, at and inside each bracket are counted and those inside sketched; ``__full`` marks groups
+    whose brackets became narrower and are to be looked at again."""
+    m, grid = len(probs), max(4, min(256, accuracy // 8))
+    joined = data.join(F.broadcast(brackets), keys)
+    counts = []
+    for r in range(columns * m):
+        v, lo, hi = F.col(f"__v{r // m}"), F.col("__lo")[r], F.col("__hi")[r]
+        inner = (v > lo) & (v < hi)
+        steps = [k / grid for k in range(grid + 1)]
+        counts += [
+            F.count_if(v <= lo).alias(f"__to{r}"),
+            F.count_if(inner).alias(f"__in{r}"),
+            F.percentile_approx(F.when(inner, v), steps, accuracy).alias(f"__g{r}"),
+        ]
+    first = [F.first(c).alias(c) for c in ("__n", "__lo", "__hi")]
+    seen = joined.groupBy(*keys).agg(*first, *counts)
+    lows, highs, full = [], [], []
+    for r, position in enumerate(_positions(columns, probs)):
+        lo, hi = F.col("__lo")[r], F.col("__hi")[r]
+        to, inside, cells = F.col(f"__to{r}"), F.col(f"__in{r}"), F.col(f"__g{r}")
+        # indexes, among the values inside, of the two the quantile lies between
+        first_at, last_at = F.floor(position) - to, F.ceil(position) - to
+        left = F.floor(F.try_divide(first_at * grid, inside)).cast("int") - 1
+        right = F.ceil(F.try_divide(last_at * grid, inside)).cast("int") + 1
+        narrow = inside > most_ranked
+        none = F.col("__n")[r // m] == 0
+        lows.append(
+            F.when(none | (last_at < 0), lo).when(first_at >= inside, hi)
+            .when(narrow & (left > 0), F.get(cells, left)).otherwise(lo)
+        )
+        highs.append(
+            F.when(none | (first_at >= inside), hi).when(last_at < 0, lo)
+            .when(narrow & (right < grid), F.get(cells, right)).otherwise(hi)
+        )
+        full.append(~none & narrow & (last_at >= 0) & (first_at < inside))
+    return seen.select(
+        *keys, "__n", F.array(*lows).alias("__lo"), F.array(*highs).alias("__hi"),
+        functools.reduce(lambda a, b: a | b, full).alias("__full"),
+    )
+
+
+def _ranked(data, brackets, keys, columns: int, probs) -> DataFrame:
+    """Per group ``__q``: the quantile of each rank."""
     m = len(probs)
-    # up to so many values the margin is less than the distance to the next rank, and a sketch holds them all
-    whole = F.col("__n") <= accuracy
-    lows = [F.when(whole | F.lit(lo_at[i] <= 0.0), float("-inf")).otherwise(F.col("__b")[i]) for i in range(m)]
-    highs = [F.when(whole | F.lit(hi_at[i] >= 1.0), float("inf")).otherwise(F.col("__b")[m + i]) for i in range(m)]
-    brackets = sketch.select(
-        *keys, "__n", F.array(*lows).alias("__lo"), F.array(*highs).alias("__hi")
-    )
     joined = data.join(brackets, keys)
-    marks = F.array(
-        *[
-            F.when(
-                F.col("__v") <= F.col("__hi")[i],
-                F.struct(
-                    F.lit(i).alias("__i"),
-                    F.when(F.col("__v") >= F.col("__lo")[i], F.col("__v")).alias("__x"),
-                ),
-            )
-            for i in range(m)
-        ]
-    )
+    marks = []
+    for r in range(columns * m):
+        v = F.col(f"__v{r // m}")
+        inside = F.when(v >= F.col("__lo")[r], v)
+        marks.append(F.when(v <= F.col("__hi")[r], F.struct(F.lit(r).alias("r"), inside.alias("x"))))
+    # values below a bracket are the one null value of its rank: counted, not kept apart
     counted = (
-        joined.select(*keys, "__n", F.explode(marks).alias("__m"))
+        joined.select(*keys, "__n", F.explode(F.array(*marks)).alias("__m"))
         .filter("__m is not null")
-        .groupBy(*keys, "__n", F.col("__m.__i").alias("__i"), F.col("__m.__x").alias("__x"))
-        .agg(F.count(F.lit(1)).alias("__c"))
+        .groupBy(*keys, F.col("__m.r").alias("__r"), F.col("__m.x").alias("__x"))
+        .agg(F.first("__n").alias("__n"), F.count(F.lit(1)).alias("__c"))
     )
-    # Below-bracket rows are the one null value per rank and sort first.
-    w = Window.partitionBy(*keys, "__i").orderBy(F.asc_nulls_first("__x"))
-    ranked = counted.withColumn(
-        "__cum", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    )
-    position = F.element_at(F.lit(list(map(float, probs))), F.col("__i") + 1) * (F.col("__n") - 1)
-    ranked = ranked.withColumn("__pos", position)
-    lower, upper = F.floor("__pos"), F.ceil("__pos")
-    found = ranked.groupBy(*keys, "__n", "__i", "__pos").agg(
-        F.min(F.when(F.col("__cum") > lower, F.col("__x"))).alias("__a"),
-        F.min(F.when(F.col("__cum") > upper, F.col("__x"))).alias("__z"),
+    w = Window.partitionBy(*keys, "__r").orderBy(F.asc_nulls_first("__x"))
+    running = F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    position = F.element_at(F.array(*_positions(columns, probs)), F.col("__r") + 1)
+    placed = counted.select(*keys, "__r", "__x", "__c", running.alias("__cum"), position.alias("__pos"))
+    found = placed.groupBy(*keys, "__r", "__pos").agg(
+        F.min(F.when(F.col("__cum") > F.floor("__pos"), F.col("__x"))).alias("__a"),
+        F.min(F.when(F.col("__cum") > F.ceil("__pos"), F.col("__x"))).alias("__z"),
         F.coalesce(F.max(F.when(F.col("__x").isNull(), F.col("__c"))), F.lit(0)).alias("__below"),
     )
     ok = (F.col("__below") <= F.floor("__pos")) & F.col("__z").isNotNull()
     exact = F.when(ok, _between("__a", "__z", "__pos")).otherwise(_missed())
-    per_rank = found.select(*keys, "__n", "__i", exact.alias("__q"))
-    return per_rank.groupBy(*keys, "__n").agg(
-        *[F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(f"__q{i}") for i in range(m)]
-    ).select(*keys, F.col("__n").alias("n"), F.array(*[F.col(f"__q{i}") for i in range(m)]).alias("q"))
+    return found.select(*keys, "__r", exact.alias("__q")).groupBy(*keys).agg(
+        F.array(*[F.max(F.when(F.col("__r") == r, F.col("__q"))) for r in range(columns * m)]).alias("__q")
+    )
 
 
 @dataclass

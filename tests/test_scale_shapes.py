@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from clearwell.catalog.base import QUERIES
-from clearwell.operators import carry
+from clearwell.operators import carry, quantiles
 from clearwell.operators.carry import carry_fill
 from clearwell.operators.fill import most_frequent
 from clearwell.operators.quantiles import column_quantiles, grouped_quantiles
+from clearwell.session import materialize
 
 
 def exact(values, p):
@@ -33,13 +34,46 @@ def test_grouped_quantiles(spark, shape):
     rows += [("big", None), ("small", float("nan"))]
     df = spark.createDataFrame(rows, "k string, v double").repartition(6)
     probs = [0.0, 0.25, 0.5, 0.95, 1.0]
-    # Small limits, so that the brackets and not the whole-group path do the work.
-    out = grouped_quantiles(df, ["k"], "v", probs, accuracy=500).collect()
-    assert {r["k"] for r in out} == {"big", "small", "single"}
-    for r in out:
-        known = [v for k, v in rows if k == r["k"] and v is not None and v == v]
-        assert r["n"] == len(known)
-        assert r["q"] == pytest.approx([exact(known, p) for p in probs])
+    # Small limits, so that the brackets and not the whole-group path do the work; the second one narrows them.
+    for accuracy, most_ranked in ((500, 1_000_000), (64, 20)):
+        out = grouped_quantiles(df.withColumn("w", -F.col("v")), ["k"], ["v", "w"], probs, accuracy, most_ranked).collect()
+        assert {r["k"] for r in out} == {"big", "small", "single"}
+        for r in out:
+            known = [v for k, v in rows if k == r["k"] and v is not None and v == v]
+            assert r["n0"] == r["n1"] == len(known)
+            assert r["q0"] == pytest.approx([exact(known, p) for p in probs])
+            assert r["q1"] == pytest.approx([exact([-v for v in known], p) for p in probs])
+
+
+def test_a_task_ranks_few_values_of_any_group(spark):
+    """Brackets hold at most the stated number of values besides their ends, however large the group is."""
+    df = spark.range(60_000).selectExpr("id % 2 as k", "cast(hash(id) as double) as __v0").repartition(4)
+    probs, accuracy, most = [0.05, 0.5, 0.95], 64, 50
+    sketches = materialize(df.groupBy("k").agg(*quantiles._sketches(1, probs, accuracy)))
+    brackets = quantiles._narrowed(df, sketches, ["k"], 1, probs, accuracy, most)
+    joined = df.join(brackets, "k")
+    counts = [F.count_if((F.col("__v0") > F.col("__lo")[r]) & (F.col("__v0") < F.col("__hi")[r])) for r in range(3)]
+    row = joined.groupBy("k").agg(F.greatest(*counts).alias("most")).agg(F.max("most")).first()[0]
+    assert 0 < row <= most
+
+
+def test_medians_of_several_columns_read_the_table_twice(spark, tmp_path):
+    """One scan for the sketches, one for the ranking, whatever the number of columns."""
+    spark.range(1000).selectExpr("id % 3 as k", "id as a", "-id as b", "id * 2 as c").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    out = grouped_quantiles(df, ["k"], ["a", "b", "c"], [0.5])
+    plan = physical_plan(out)
+    assert plan.count(f"{tmp_path}/t]") == 1 and "Python" not in plan
+    got = {r["k"]: (r["q0"][0], r["q1"][0], r["q2"][0]) for r in out.collect()}
+    assert got[0] == (pytest.approx(499.5), pytest.approx(-499.5), pytest.approx(999.0))
+
+
+def test_groups_without_values(spark):
+    df = spark.createDataFrame([("a", None, 1.0), ("a", None, 2.0), ("b", 3.0, None)], "k string, v double, w double")
+    got = {r["k"]: r for r in grouped_quantiles(df, ["k"], ["v", "w"], [0.5]).collect()}
+    assert got["a"]["n0"] == 0 and got["a"]["q0"] is None and got["a"]["q1"] == [1.5]
+    assert got["b"]["q0"] == [3.0] and got["b"]["q1"] is None
+    assert grouped_quantiles(df.limit(0), ["k"], ["v"], [0.5]).collect() == []
 
 
 def test_column_quantiles_leave_out_unknown_columns(spark):
