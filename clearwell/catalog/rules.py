@@ -171,7 +171,7 @@ def _carry_sql(partition: str, back: bool) -> str:
         last_value(kind ignore nulls) {over} as kind from {GAPPY_EVENTS_SQL}"""
 
 
-CARRY = {"columns": ["reading", "kind"], "order_by": ["ts", "event_id"], "rows_per_bucket": 1500}
+CARRY = {"columns": ["reading", "kind"], "order_by": ["ts", "event_id"], "rows_per_block": 1500}
 
 
 @query("fill_ffill", _carry_sql("", False))

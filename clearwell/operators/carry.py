@@ -1,58 +1,27 @@
-"""Forward and backward fill that splits a long sequence over many tasks.
-
-A window ordered over a whole table, or over one partition key that owns much of it, runs in a single task.
-Here the rows are cut at fixed bounds of (partition, order) into buckets of bounded size. Each bucket is filled
-on its own, and only a bucket's last (first) known value per column travels on, in a table with one row per
-bucket.
+"""Forward and backward fill as a segmented prefix scan.
+
+A window ordered over a whole table, or over one partition key that owns much of it, runs in a single task. Here the
+rows are dealt by ranges of (partition, order) and written once, so each has a place in the whole order: the rows of the
+parts before it and those before it in its own. Places are cut into blocks of a fixed number of rows, whatever their
+keys. A block fills itself; its last known values, with the partition they belong to, are one row of a table of tails,
+which is filled in the same way, blocks of blocks, until one block is left. What a block's predecessor ends with then
+goes into the block. Copies of a row have places of their own, so no key and no group of copies can be too large.
 """
 
 from __future__ import annotations
 
+import itertools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.values import col, is_orderable, nan_to_null
+from ..session import materialize
 
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 16_384
-SAMPLES_PER_BUCKET = 10
-JSON_OPTIONS = {
-    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
-    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-}
-
-
-def _bounds(keyed: DataFrame, rows_per_bucket: int) -> tuple[list[str], list[str]]:
-    """Bucket bounds as JSON texts, cut from a sorted sample whose size depends on the bucket count only.
-
-    Also the keys that fill more than one bucket alone. A key ends in a hash of its row, so these are copies.
-    """
-    total = keyed.count()
-    buckets = min(MAX_BUCKETS, -(-total // rows_per_bucket))
-    if buckets <= 1:
-        return [], []
-    share = min(1.0, buckets * SAMPLES_PER_BUCKET / total)
-    sample = keyed.sample(withReplacement=False, fraction=share, seed=7).orderBy("__key")
-    texts = [r[0] for r in sample.select(F.to_json("__key", JSON_OPTIONS)).collect()]
-    step = len(texts) / buckets
-    picked = [texts[int(i * step)] for i in range(1, buckets)] if texts else []
-    cuts = list(dict.fromkeys(picked))
-    return cuts, [c for c in cuts if picked.count(c) > 1]
-
-
-def _bucket_of(key: Column, bounds: Column, count: int) -> Column:
-    """How many bounds are <= key, by binary search. The key travels in the accumulator: a lambda that reads an
-    outer column can end up in a filter inferred for the other side of a join, where there is no such column."""
-    steps = [2**i for i in reversed(range(count.bit_length()))]
-
-    def probe(state: Column, step: Column) -> Column:
-        at, wanted = state["at"], state["key"]
-        fits = (at + step <= count) & (F.element_at(bounds, at + step) <= wanted)
-        return F.struct(F.when(fits, at + step).otherwise(at).alias("at"), wanted.alias("key"))
-
-    start = F.struct(F.lit(0).alias("at"), key.alias("key"))
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), start, probe, lambda state: state["at"])
+ROWS_PER_BLOCK = 1_000_000
+# Tails in a block of the levels above.
+FAN = 1024
 
 
 def carry_fill(
@@ -61,12 +30,12 @@ def carry_fill(
     order_by: list[str],
     partition_by: list[str] | None = None,
     forward: bool = True,
-    rows_per_bucket: int | None = None,
+    rows_per_block: int | None = None,
 ) -> DataFrame:
     """Fill gaps of ``columns`` with the nearest earlier (later) known value in ``order_by`` order.
 
     Rows that tie on ``order_by`` are ordered by a hash of the whole row, so the result does not depend on how
-    the rows are distributed.
+    the rows are distributed. Runs the jobs that put the rows in order; the filled frame reads what they wrote.
     """
     if not order_by:
         raise ValueError("ffill/bfill needs order_by: rows of a DataFrame have no position")
@@ -75,117 +44,73 @@ def carry_fill(
     if unknown:
         raise ValueError(f"ffill/bfill: unknown columns {unknown}")
     types = {f.name: f.dataType for f in df.schema.fields}
+    known = [nan_to_null(col(c), types[c]).alias(c) if c in columns else col(c) for c in df.columns]
+    placed = _placed(df.select(*known), order_by, parts, forward)
+    segment = [col(c) for c in parts]
+    values = {f"__v{i}": col(c) for i, c in enumerate(columns)}
+    rows = placed.withColumns(values | {f"__p{i}": c for i, c in enumerate(segment)})
+    size = rows_per_block or ROWS_PER_BLOCK
+    count = placed.agg(F.max("__place")).first()[0]
+    filled = _filled(rows, list(values), [f"__p{i}" for i in range(len(parts))], size, 0 if count is None else count + 1)
+    at = {c: f"__v{i}" for i, c in enumerate(columns)}
+    return filled.select(*[F.col(at[c]).alias(c) if c in at else col(c) for c in df.columns])
+
+
+def _placed(df: DataFrame, order_by: list[str], parts: list[str], forward: bool) -> DataFrame:
+    """The rows, written in order, with ``__place``: how many rows come before."""
+    spark = df.sparkSession
+    types = {f.name: f.dataType for f in df.schema.fields}
     fingerprint = F.xxhash64(*[col(c) for c in df.columns if is_orderable(types[c])])
-    key = F.struct(
-        *[col(c).alias(f"p{i}") for i, c in enumerate(parts)],
-        *[col(c).alias(f"o{i}") for i, c in enumerate(order_by)],
-        fingerprint.alias("h"),
-    )
-    work = df.select(
-        *[nan_to_null(col(c), types[c]).alias(c) if c in columns else col(c) for c in df.columns],
-        key.alias("__key"),
-    )
-    cuts, copied = _bounds(work.select("__key"), rows_per_bucket or ROWS_PER_BUCKET)
-    n = len(cuts)
-    if n == 0:
-        # The whole table fits one bucket by count.
-        group = [F.lit(0)] + [F.col(f"__key.p{i}") for i in range(len(parts))]
-        return work.withColumns(_local(columns, group, forward)).drop("__key")
-
-    key_type = work.schema["__key"].dataType
-    bounds = _keys_literal(cuts, key_type)
-    if not copied:
-        return _fill_buckets(work, columns, bounds, n, len(parts), forward).drop("__key")
-
-    # Copies of one row all get the same values: fill one of each and hand its values to the others.
-    hot = F.array_contains(_keys_literal(copied, key_type), F.col("__key"))
-    first_copies = work.filter(hot).dropDuplicates()
-    filled = _fill_buckets(
-        work.filter(~hot).unionByName(first_copies), columns, bounds, n, len(parts), forward
-    )
-    values = filled.filter(hot).select("__key", *[col(c).alias(f"__v{i}") for i, c in enumerate(columns)])
-    copies = work.filter(hot).join(F.broadcast(values), "__key").select(
-        *[F.col(f"__v{columns.index(c)}").alias(c) if c in columns else col(c) for c in df.columns], "__key"
-    )
-    return filled.filter(~hot).unionByName(copies).drop("__key")
-
-
-def _keys_literal(texts: list[str], key_type: T.DataType) -> Column:
-    return F.from_json(F.lit("[" + ",".join(texts) + "]"), T.ArrayType(key_type), JSON_OPTIONS)
-
-
-def _fill_buckets(
-    work: DataFrame, columns: list[str], bounds: Column, n: int, part_count: int, forward: bool
-) -> DataFrame:
-    names = [c for c in work.columns if c != "__key"]
-    work = work.withColumn("__b", _bucket_of(F.col("__key"), bounds, n))
-    carried = _carried(work, columns, bounds, n, part_count, forward)
-
-    same = F.col("w.__b") == F.col("k.__to")
-    for i in range(part_count):
-        same = same & F.col(f"w.__key.p{i}").eqNullSafe(F.col(f"k.__p{i}"))
-    local = work.withColumns(
-        _local(columns, [F.col("__b")] + [F.col(f"__key.p{i}") for i in range(part_count)], forward)
-    )
-    joined = local.alias("w").join(F.broadcast(carried).alias("k"), same, "left")
-    return joined.select(
-        *[
-            F.coalesce(F.col(f"w.`{c}`"), F.col(f"k.__v{columns.index(c)}")).alias(c)
-            if c in columns
-            else F.col(f"w.`{c}`")
-            for c in names
-        ],
-        F.col("w.__key").alias("__key"),
-    )
-
-
-def _local(columns: list[str], group: list[Column], forward: bool) -> dict[str, Column]:
-    w = Window.partitionBy(*group).orderBy("__key")
-    if forward:
-        frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return {c: F.last(col(c), ignorenulls=True).over(frame) for c in columns}
-    # Running backwards keeps the frame a growing one, which needs no look-ahead buffer.
-    w = Window.partitionBy(*group).orderBy(F.col("__key").desc())
-    frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return {c: F.last(col(c), ignorenulls=True).over(frame) for c in columns}
-
-
-def _carried(
-    work: DataFrame, columns: list[str], bounds: Column, n: int, part_count: int, forward: bool
-) -> DataFrame:
-    """What enters each bucket: at most one row per bound (``n`` <= MAX_BUCKETS), so it may be broadcast.
-
-    Only the partition value at a bucket's edge can go on into the next bucket.
+    keyed = df.withColumn("__hash", fingerprint)
+    order = [col(c) for c in [*parts, *order_by, "__hash"]]
+    # equal rows are dealt over several parts as well
+    keyed = materialize(keyed.withColumn("__copy", F.monotonically_increasing_id()))
+    order.append(F.col("__copy"))
+    order = [c.asc() if forward else c.desc() for c in order]
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("__hash", "__copy")
+    number = F.monotonically_increasing_id()
+    staged = materialize(ordered.withColumn("__id", number))
+    part, row = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    # one number per part of the range partitioning goes through the driver
+    sizes = sorted(tuple(r) for r in staged.groupBy(part.alias("part")).agg(F.max(row) + 1).collect())
+    ends = list(itertools.accumulate(size for _, size in sizes))
+    starts = {"__part": [p for p, _ in sizes], "__start": [0, *ends][: len(sizes)]}
+    known = spark.createDataFrame(pa.table(starts, schema=pa.schema([(c, pa.int64()) for c in starts])))
+    placed = staged.withColumn("__part", part).withColumn("__row", row)
+    placed = placed.join(F.broadcast(known), "__part").withColumn("__place", F.col("__start") + F.col("__row"))
+    return placed.drop("__id", "__part", "__row", "__start")
+
+
+def _filled(rows: DataFrame, values: list[str], segment: list[str], size: int, count: int) -> DataFrame:
+    """``rows`` (``__place`` from 0 up to ``count``, values, segment) with each value's gaps filled within its segment.
+
+    The rows of a segment lie together in the order of their places.
     """
-    # Bound i (0-based) separates bucket i from bucket i + 1.
-    edge_no = F.col("__b") if forward else F.col("__b") - 1
-    inside = (F.col("__b") < n) if forward else (F.col("__b") > 0)
-    edge = work.filter(inside).withColumn("__edge", edge_no)
-    at_edge = F.element_at(bounds, F.col("__edge") + 1)
-    for i in range(part_count):
-        edge = edge.filter(F.col(f"__key.p{i}").eqNullSafe(at_edge.getField(f"p{i}")))
-    pick = F.max_by if forward else F.min_by
-    tails = edge.groupBy("__edge").agg(
-        *[
-            pick(col(c), F.when(col(c).isNotNull(), F.col("__key"))).alias(f"__t{i}")
-            for i, c in enumerate(columns)
-        ]
-    )
-    spine = work.sparkSession.range(n).select(F.col("id").cast("int").alias("__edge"))
-    spine = spine.select(
-        "__edge",
-        *[F.element_at(bounds, F.col("__edge") + 1).getField(f"p{i}").alias(f"__p{i}") for i in range(part_count)],
-    )
-    chain = spine.join(tails, "__edge", "left")
-    order = F.col("__edge") if forward else F.col("__edge").desc()
-    w = (
-        Window.partitionBy(F.lit(0), *[F.col(f"__p{i}") for i in range(part_count)])
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    target = F.col("__edge") + 1 if forward else F.col("__edge")
-    return chain.select(
-        target.alias("__to"),
-        *[F.col(f"__p{i}") for i in range(part_count)],
-        *[F.last(f"__t{i}", ignorenulls=True).over(w).alias(f"__v{i}") for i in range(len(columns))],
+    block = F.expr(f"__place div {size}")
+    w = Window.partitionBy("__block", *segment).orderBy("__place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumn("__block", block).withColumns({v: F.last(v, ignorenulls=True).over(w) for v in values})
+    blocks = -(-count // size)
+    if blocks <= 1:
+        return local.drop("__block")
+    tails = materialize(_tails(rows.withColumn("__block", block), values, segment))
+    carried = materialize(_filled(tails, values, segment, FAN, blocks))
+    carried = carried.select(
+        (F.col("__place") + 1).alias("__into"),
+        *[F.col(p).alias(f"__of{i}") for i, p in enumerate(segment)],
+        *[F.col(v).alias(f"__in{i}") for i, v in enumerate(values)],
     )
+    same: Column = F.col("__block") == F.col("__into")
+    for i, p in enumerate(segment):
+        same = same & F.col(p).eqNullSafe(F.col(f"__of{i}"))
+    joined = local.join(carried, same, "left")
+    taken = {v: F.coalesce(F.col(v), F.col(f"__in{i}")) for i, v in enumerate(values)}
+    return joined.withColumns(taken).select(*rows.columns)
+
+
+def _tails(rows: DataFrame, values: list[str], segment: list[str]) -> DataFrame:
+    """One row per block, ``__place`` its number: the segment it ends in and that segment's last known values there."""
+    known = [F.max_by(v, F.when(F.col(v).isNotNull(), F.col("__place"))).alias(v) for v in values]
+    per_segment = rows.groupBy("__block", *segment).agg(F.max("__place").alias("__end"), *known)
+    picked = F.max_by(F.struct(*segment, *values), "__end") if segment else F.first(F.struct(*values))
+    last = per_segment.groupBy("__block").agg(picked.alias("__tail"))
+    return last.select(F.col("__block").alias("__place"), "__tail.*")

@@ -137,7 +137,7 @@ def _mode(df: DataFrame, columns: list[str], fill_value, widen: bool) -> DataFra
 
 def fill_missing(df: DataFrame, config: dict) -> DataFrame:
     """Config: ``columns`` (default all), ``strategy``, ``fill_value`` ('UNKNOWN'), ``threshold``, and here also
-    ``order_by``/``partition_by``/``rows_per_bucket`` (carried values), ``approx`` (median), ``widen``.
+    ``order_by``/``partition_by``/``rows_per_block`` (carried values), ``approx`` (median), ``widen``.
 
     ``threshold`` first drops rows whose share of missing values over the columns exceeds it. Mean and median
     apply to numeric columns; other columns get the constant, as with the default strategy. The exact median and
@@ -168,7 +168,7 @@ def fill_missing(df: DataFrame, config: dict) -> DataFrame:
             order_by=_as_list(config.get("order_by")),
             partition_by=_as_list(config.get("partition_by")),
             forward=strategy == "ffill",
-            rows_per_bucket=config.get("rows_per_bucket"),
+            rows_per_block=config.get("rows_per_block"),
         )
     if strategy == "mode":
         return _mode(df, columns, fill_value, widen)

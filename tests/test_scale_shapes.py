@@ -118,48 +118,67 @@ def brute_carry(rows, forward, keyed):
 
 @pytest.mark.parametrize("forward", [True, False])
 @pytest.mark.parametrize("keyed", [True, False])
-@pytest.mark.parametrize("rows_per_bucket", [7, 40, 10_000])
-def test_carry_fill(spark, forward, keyed, rows_per_bucket):
+@pytest.mark.parametrize("rows_per_block, fan", [(7, 3), (40, 1024), (10_000, 1024)])
+def test_carry_fill(spark, monkeypatch, forward, keyed, rows_per_block, fan):
+    """The first case fills tails of tails, four levels up."""
+    monkeypatch.setattr(carry, "FAN", fan)
     rng = random.Random(11)
-    # One key owns most rows, one is null, and gaps are longer than a bucket.
+    # One key owns most rows, one is null, and gaps are longer than a block.
     rows = [
         (rng.choice(["hot"] * 6 + ["a", "b", None]), i, float(i) if rng.random() < 0.08 else None) for i in range(600)
     ]
     df = spark.createDataFrame(rows, "p string, o int, v double").repartition(5)
-    out = carry_fill(df, ["v"], ["o"], ["p"] if keyed else [], forward, rows_per_bucket)
+    out = carry_fill(df, ["v"], ["o"], ["p"] if keyed else [], forward, rows_per_block)
     # "!" marks an operator that refers to a column its input lacks.
     assert "!Filter" not in out._jdf.queryExecution().optimizedPlan().toString()
     got = {r["o"]: r["v"] for r in out.collect()}
     assert len(got) == 600 and got == brute_carry(rows, forward, keyed)
 
 
-def test_carry_fill_with_copies(spark):
-    """Copies of one row fill many buckets alone; each still gets its value and none is lost."""
+@pytest.mark.parametrize("forward", [True, False])
+def test_carry_fill_with_copies(spark, forward):
+    """Copies of one row have places of their own; each gets its value and none is lost."""
     rows = [("k", 0, 1.0)] + [("k", 5, None)] * 500 + [("k", 9, None), ("k", 10, 4.0), ("k", 11, None)]
     df = spark.createDataFrame(rows, "p string, o int, v double").repartition(4)
-    texts, copied = carry._bounds(
-        df.select(F.struct(F.col("p").alias("p0"), F.col("o").alias("o0")).alias("__key")), 20
-    )
-    assert copied
-    out = sorted((r["o"], r["v"]) for r in carry_fill(df, ["v"], ["o"], ["p"], True, 20).collect())
-    assert out == sorted([(0, 1.0)] + [(5, 1.0)] * 500 + [(9, 1.0), (10, 4.0), (11, 4.0)])
-
-
-def test_copies_are_found_by_exact_time(spark):
-    rows = spark.range(400).selectExpr(
-        "cast(if(id < 300, 1, id) as bigint) as o", "if(id = 399, 5.0D, null) as v"
-    ).selectExpr("cast(timestamp_micros(o * 1000003) as timestamp_ntz) as t", "v")
-    key = F.struct(F.col("t").alias("o0"), F.xxhash64("t", "v").alias("h"))
-    texts, copied = carry._bounds(rows.select(key.alias("__key")), 20)
-    literal = carry._keys_literal(copied, rows.select(key.alias("k")).schema["k"].dataType)
-    assert rows.filter(F.array_contains(literal, key)).count() == 300
-    out = carry_fill(rows, ["v"], ["t"], forward=False, rows_per_bucket=20)
-    assert out.count() == 400 and out.filter("v = 5").count() == 400
+    out = sorted(((r["o"], r["v"]) for r in carry_fill(df, ["v"], ["o"], ["p"], forward, 20).collect()), key=str)
+    want = [(0, 1.0)] + [(5, 1.0)] * 500 + [(9, 1.0), (10, 4.0), (11, 4.0)]
+    if not forward:
+        want = [(0, 1.0)] + [(5, 4.0)] * 500 + [(9, 4.0), (10, 4.0), (11, None)]
+    assert out == sorted(want, key=str)
+
+
+def test_places_are_dense_and_copies_are_dealt_out(spark):
+    df = spark.range(4000).selectExpr("if(id % 2 = 0, 7, id) as o", "1 as v").repartition(4)
+    placed = carry._placed(df, ["o"], [], True)
+    got = [(r["__place"], r["o"]) for r in placed.collect()]
+    assert sorted(p for p, _ in got) == list(range(4000))
+    assert [o for _, o in sorted(got)] == sorted(o for _, o in got)
+
+
+def test_no_window_of_a_fill_is_larger_than_a_block(spark):
+    """Whatever the keys: windows run by block, joins by block number, and nothing of the table's size is in the plan."""
+    df = spark.range(5000).selectExpr("0 as p", "id as o", "if(id % 50 = 0, id, null) as v")
+    out = carry_fill(df, ["v"], ["o"], ["p"], True, 100)
+    plan = physical_plan(out)
+    assert "SinglePartition" not in plan and "from_json" not in plan
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert out.where("v = o div 50 * 50").count() == 5000
+
+
+def test_carry_fill_of_odd_tables(spark):
+    schema = "p string, o int, v double"
+    assert carry_fill(spark.createDataFrame([], schema), ["v"], ["o"]).collect() == []
+    one = carry_fill(spark.createDataFrame([(None, None, None)], schema), ["v"], ["o"], ["p"])
+    assert [tuple(r) for r in one.collect()] == [(None, None, None)]
+    # a column may be filled and order or part the rows as well
+    rows = [("a", 1, 1.0), ("a", None, None), (None, 3, 2.0)]
+    out = carry_fill(spark.createDataFrame(rows, schema), ["p", "v"], ["o"], rows_per_block=1).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([("a", 1, 1.0), ("a", None, None), ("a", 3, 2.0)], key=str)
 
 
 def test_carry_fill_keeps_leading_gaps_and_types(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "x", None), (3, None, None)], "o int, v string, w string")
-    out = sorted(tuple(r) for r in carry_fill(df, ["v", "w"], ["o"], rows_per_bucket=1).collect())
+    out = sorted(tuple(r) for r in carry_fill(df, ["v", "w"], ["o"], rows_per_block=1).collect())
     assert out == [(1, None, "a"), (2, "x", "a"), (3, "x", "a")]
 
 
