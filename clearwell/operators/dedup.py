@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import col, is_orderable
 
@@ -66,10 +67,48 @@ def remove_duplicates(df: DataFrame, config: dict) -> DataFrame:
     )
 
 
+def _first_hash(columns: list[Column]) -> Column:
+    return F.xxhash64(*columns)
+
+
+def _second_hash(columns: list[Column]) -> Column:
+    """64 bits of another family of hashes."""
+    high, low = F.hash(F.lit(1), *columns), F.hash(F.lit(2), *columns)
+    return F.shiftleft(high.cast("long"), 32).bitwiseXOR(low.cast("long"))
+
+
+def _hashable(dtype: T.DataType) -> bool:
+    """Hashes leave nulls out, which can be told for a column but not for what is inside one."""
+    return not isinstance(dtype, (T.StructType, T.ArrayType, T.MapType, T.VariantType))
+
+
 def duplicate_counts(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row: ``total`` rows and ``repeats`` (rows beyond the first of their group)."""
-    columns = [col(c) for c in (keys or df.columns)]
-    groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
+    """One row: ``total`` rows and ``repeats`` (rows beyond the first of their group).
+
+    Rows are counted by a 64-bit hash, and only hashes and counts are shuffled. A group in which a second hash, of
+    another family, differs holds rows that are not equal; the rows of such groups alone are compared in full. Their
+    hashes, which are broadcast, are as many as collisions of 64 bits: one at a billion rows, some 30,000 at 10**12.
+    Where there are none, the second scan is left out at run time. Equal rows hash alike whatever happens; for unequal
+    ones to be taken as equal both hashes must collide at once.
+    """
+    names = keys or df.columns
+    types = {f.name: f.dataType for f in df.schema.fields}
+    columns = [col(c) for c in names]
+    if not all(_hashable(types[c]) for c in names):
+        return _totals(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")))
+    hashed = columns + [c.isNull() for c in columns]
+    first, second = _first_hash(hashed).alias("__h"), _second_hash(hashed).alias("__g")
+    groups = df.select(first, second).groupBy("__h").agg(
+        F.count(F.lit(1)).alias("__n"), (F.min("__g") != F.max("__g")).alias("__met")
+    )
+    apart = groups.filter("__met").select("__h")
+    rows = df.select(*[c.alias(f"__c{i}") for i, c in enumerate(columns)], first)
+    compared = rows.join(F.broadcast(apart), "__h", "left_semi").drop("__h")
+    compared = compared.groupBy(*compared.columns).agg(F.count(F.lit(1)).alias("__n"))
+    return _totals(groups.filter("not __met").select("__n").unionByName(compared.select("__n")))
+
+
+def _totals(groups: DataFrame) -> DataFrame:
     return groups.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("total"),
         F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias("repeats"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clearwell.catalog.base import QUERIES
-from clearwell.operators import carry, quantiles
+from clearwell.operators import carry, dedup, quantiles
 from clearwell.operators.carry import carry_fill
 from clearwell.operators.fill import most_frequent
 from clearwell.operators.quantiles import column_quantiles, grouped_quantiles
@@ -182,6 +182,49 @@ def test_carry_fill_keeps_leading_gaps_and_types(spark):
     assert out == [(1, None, "a"), (2, "x", "a"), (3, "x", "a")]
 
 
+# -- duplicate counts
+
+
+def some_copies(spark):
+    rows = [("a", 1, 1.0), ("a", 1, 1.0), ("a", None, 1.0), (None, 1, 1.0), (None, 1, 1.0), (None, None, None)]
+    rows += [(None, None, None), ("b", 2, float("nan")), ("b", 2, float("nan")), ("c", 3, 0.0), ("c", 3, -0.0)]
+    rows += [(f"t{i % 40}", i % 20, None) for i in range(200)]
+    return spark.createDataFrame(rows, "s string, n int, x double").repartition(4)
+
+
+@pytest.mark.parametrize("collide", ["none", "first", "some"])
+@pytest.mark.parametrize("keys", [None, ["s"], ["n", "x"]])
+def test_duplicate_counts(spark, monkeypatch, collide, keys):
+    """Also when the first hash puts rows together that differ."""
+    if collide == "first":
+        monkeypatch.setattr(dedup, "_first_hash", lambda columns: F.lit(1).cast("long"))
+    if collide == "some":
+        monkeypatch.setattr(dedup, "_first_hash", lambda columns: F.pmod(F.xxhash64(*columns), F.lit(7)))
+    df = some_copies(spark)
+    want = df.count() - df.groupBy(*(keys or df.columns)).count().count()
+    got = dedup.duplicate_counts(df, keys).first()
+    assert (got["total"], got["repeats"]) == (df.count(), want)
+    assert tuple(dedup.duplicate_counts(df.limit(0), keys).first()) == (0, 0)
+
+
+def test_duplicate_counts_of_nested_columns(spark):
+    df = spark.createDataFrame([([None, "a"],), (["a", None],), (["a", None],)], "v array<string>")
+    assert tuple(dedup.duplicate_counts(df).first()) == (3, 1)
+
+
+def test_duplicate_counts_shuffle_hashes_only(spark, tmp_path):
+    """No text goes through an exchange, and without collisions the table is read once."""
+    spark.range(500).selectExpr("repeat(string(id % 300), 50) as t", "id % 3 as n").write.parquet(str(tmp_path / "t"))
+    out = dedup.duplicate_counts(spark.read.parquet(str(tmp_path / "t")))
+    assert out.first()["repeats"] == 500 - len({(i % 300, i % 3) for i in range(500)})
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString()
+    final = final[final.index("Final Plan") : final.index("Initial Plan")]
+    assert final.count("FileScan") == 1
+    exchanges = [x for x in final.splitlines() if "Exchange" in x and "Reused" not in x]
+    assert exchanges and not any("__c0" in x or "t#" in x for x in exchanges)
+
+
 # -- plans
 
 
