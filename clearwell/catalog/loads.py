@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.merge import upsert
@@ -230,8 +231,8 @@ def _(spark, d):
     """Lines with too many fields come back as rejects, the others as rows."""
     path = staging_path(spark, "csv")
     lines = DAMAGED.format(bad="concat(s_suppkey, ',too,many')", good="concat(s_suppkey, ',', s_nationkey)")
-    header = spark.range(1).selectExpr("'k,n' as value")
-    header.unionAll(table(spark, d, "supplier").selectExpr(lines)).coalesce(1).write.text(path)
+    # one column whose name is the header line; a separator that no line holds keeps the writer from quoting
+    table(spark, d, "supplier").selectExpr(lines).toDF("k,n").write.csv(path, header=True, sep="\u0001")
     read = read_table_file(spark, {"path": path})
     return read.data.selectExpr("false as rejected", "concat(k, ',', n) as line").unionAll(
         read.rejects.selectExpr("true as rejected", "line")
@@ -265,13 +266,37 @@ def _(spark, d):
 def _(spark, d):
     """Documents that hold a list of objects over several lines."""
     path = staging_path(spark, "array") + ".json"
-    rows = table(spark, d, "supplier").groupBy((F.col("s_suppkey") % 4).alias("g")).agg(
+    rows = table(spark, d, "supplier").groupBy(F.expr("s_suppkey div 100").alias("g")).agg(
         F.to_json(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("value")
     )
-    rows.selectExpr("replace(value, '},{', '},\n{') as value").repartition(4).write.text(path)
+    rows.selectExpr("g", "replace(value, '},{', '},\n{') as value").write.partitionBy("g").text(path)
     return read_json(spark, path, "s_suppkey bigint, s_name string")[0]
 
 
+@query("file_json_pages", "select page_id, url, html from pages")
+def _(spark, d):
+    """One list per task, on one line, of objects whose texts hold brackets, quotes and commas: split all the same."""
+    path = staging_path(spark, "pages") + ".json"
+    one = F.to_json(F.struct("page_id", "url", "html"))
+    lists = table(spark, d, "pages").select(F.spark_partition_id().alias("g"), F.col("page_id").alias("k"), one.alias("value"))
+    # an element a line, each but the last of its file with a comma; brackets at the ends
+    w = Window.partitionBy("g").orderBy("k")
+    first, last = F.lag("k").over(w).isNull(), F.lead("k").over(w).isNull()
+    line = F.concat(F.when(first, "[").otherwise(""), "value", F.when(last, "]").otherwise(","))
+    lists = lists.select("g", "k", line.alias("value")).repartition("g").sortWithinPartitions("g", "k")
+    lists.drop("k").write.partitionBy("g").option("lineSep", " ").text(path)
+    return read_json(spark, path, "page_id bigint, url string, html string")[0]
+
+
+@query("file_csv_breaks", "select doc_id, case when trim(text) = '' then null else text end as text from documents")
+def _(spark, d):
+    """Whole texts with line breaks, quotes and separators in them; the files are split nevertheless."""
+    path = staging_path(spark, "breaks")
+    options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table(spark, d, "documents").select("doc_id", "text").write.options(**options).csv(path)
+    return extract(spark, {"type": "csv", "path": path, "multiline": True, "schema": "doc_id bigint, text string"})
+
+
 @query("upload_encodings", "select n_nationkey, n_name || 'é' as label from nation")
 def _(spark, d):
     """A folder whose files are UTF-8 and Latin-1."""

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.values import col, parse_timestamp
 from ..operators.dedup import _as_list
+from .splits import quoted_records
 from .typing import infer_types, na_to_null, typed
 
 WHOLE_LINE = "__line"
@@ -88,11 +89,23 @@ def _by_header(lines: DataFrame, path, skip: int) -> list[tuple[str, object]]:
     return [(r["value"], list(r["files"])) for r in found]
 
 
+def _cut_anywhere(spark: SparkSession, path, encoding: str) -> bool:
+    """Whether a byte 10 is a line break and nothing else is: not in encodings of two bytes or more for every
+    character, and not in files whose lines end in carriage returns alone."""
+    if encoding.lower().replace("_", "-").startswith(("utf-16", "utf-32", "ucs")):
+        return False
+    lines = spark.read.option("encoding", encoding).option("lineSep", "\n").text(path)
+    return not any("\r" in r[0].rstrip("\r") and not '"' in r[0] for r in lines.limit(1).collect())
+
+
 def _read_texts(spark, path, names: list[str], sep: str, skip: int, multiline: bool, options: dict) -> DelimitedTable:
     """Files of one header as text columns, and the lines with more fields than it."""
     raw_schema = ", ".join(f"{c} string" for c in [*(f"c{i}" for i in range(len(names))), WHOLE_LINE])
-    if skip and multiline:
-        # a file with quoted line breaks is one block, so a record's place is its id less the file's first one
+    if multiline and _cut_anywhere(spark, path, options["encoding"]):
+        records = quoted_records(spark, path, sep, options["encoding"], skip)
+        raw = records.select(F.from_csv("value", raw_schema, options).alias("r")).select("r.*")
+    elif skip and multiline:
+        # a file read as one block: a record's place is its id less the file's first one
         reader = spark.read.options(header=False, multiLine=True, **options).schema(raw_schema).csv(path)
         ids = reader.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__id"))
         starts = ids.groupBy("__file").agg(F.min("__id").alias("__start"))
@@ -116,8 +129,8 @@ def _read_texts(spark, path, names: list[str], sep: str, skip: int, multiline: b
 
 def read_delimited(spark: SparkSession, path, config: dict | None = None) -> DelimitedTable:
     """Config: ``encoding`` ('utf-8'), ``separator`` (','), ``skip_rows`` (0), ``columns``, ``date_columns``,
-    ``schema`` (DDL or StructType; spares the inference pass), ``multiline`` (quoted line breaks; such files are
-    not split).
+    ``schema`` (DDL or StructType; spares the inference pass), ``multiline`` (quoted line breaks: files are still
+    split, at the cost of a scan that finds out in which state each split begins).
 
     Each file is read by its own header, and columns meet by name. Lines with too many fields are rejected; short
     lines are padded with nulls.

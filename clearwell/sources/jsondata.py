@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import col
+from .splits import array_elements, holds_one_value
 
 # Keys that may hold the records of a document, in order.
 RECORD_KEYS = ("data", "results", "records", "items", "rows")
@@ -76,23 +77,32 @@ def read_json_lines(spark: SparkSession, path: str, schema=None) -> tuple[DataFr
     return parsed.filter(~bad).select("r.*").drop("__bad"), parsed.filter(bad).select(F.col("value").alias("line"))
 
 
-def _check_one_value(spark: SparkSession, path: str) -> None:
-    """A document reader stops after the first value; what follows it would be lost."""
-    whole = spark.read.text(path, wholetext=True)
-    text = F.regexp_replace("value", "^\ufeff", "")
-    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))  # in a list, what follows a value needs a comma
-    if not whole.filter(parsed.isNull()).isEmpty():
-        raise ValueError(f"{path} is neither one JSON value nor one object per line")
+def _read_list(spark: SparkSession, path: str, schema, of_objects: bool) -> DataFrame:
+    """The elements of documents that are one list, each document read by many tasks."""
+    found = array_elements(spark, path, of_objects)
+    wrong = F.raise_error(F.lit(f"{path} is neither one JSON value nor one object per line")).cast("string")
+    values = found.select(F.when(F.col("bad"), wrong).otherwise(F.col("value")).alias("value"))
+    reader = spark.read.option("mode", "FAILFAST")
+    reader = reader.schema(schema) if schema is not None else reader
+    strings = spark.sparkContext._jvm.org.apache.spark.sql.Encoders.STRING()
+    return DataFrame(reader._jreader.json(getattr(values._jdf, "as")(strings)), spark)
 
 
 def read_json(spark: SparkSession, path: str, schema=None) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of a JSON file, and its lines that could not be read (None for a document)."""
+    """Rows of a JSON file, and its lines that could not be read (None for a document).
+
+    A document that is a list is split over tasks; one that is an object is read whole, as the one row it is.
+    """
     first = [r[0] for r in spark.read.text(path).filter(F.trim("value") != "").limit(FIRST_LINES).collect()]
     if not first:
         raise ValueError(f"no JSON in {path}")
     if holds_lines(path, first):
         return read_json_lines(spark, path, schema)
-    _check_one_value(spark, path)
+    start = "".join(first).lstrip("\ufeff \t\r\n")
+    if start.startswith("["):
+        return _read_list(spark, path, schema, start[1:].lstrip().startswith("{")), None
+    if not holds_one_value(spark, path):
+        raise ValueError(f"{path} is neither one JSON value nor one object per line")
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
     return (reader.schema(schema) if schema is not None else reader).json(path), None
 
