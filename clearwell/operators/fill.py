@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import functools
+import math
 import operator
 import warnings
 
@@ -72,17 +73,35 @@ def _constant(df: DataFrame, columns: list[str], value, widen: bool) -> DataFram
     return df.withColumns(new) if new else df
 
 
-def _mean(df: DataFrame, columns: list[str]) -> DataFrame:
+def _exact_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """The type in which a column takes a fractional fill without changing what is known: double, a wider decimal for
+    decimals, and a decimal for whole numbers that a double does not hold."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    stats = F.struct(*[F.avg(nan_to_null(col(c), types[c])).cast("double").alias(c) for c in columns])
+    longs = [c for c in columns if isinstance(types[c], T.LongType)]
+    large = df.agg(*[F.max(F.abs(col(c).cast("decimal(20,0)"))) for c in longs]).first() if longs else ()
+    out = {c: "double" for c in columns}
+    for c, most in zip(longs, large):
+        if most is not None and most > 2**53:
+            out[c] = "decimal(23,4)"
+    for c in columns:
+        if isinstance(types[c], T.DecimalType):
+            digits, scale = types[c].precision, types[c].scale
+            more = min(4, 38 - digits)
+            out[c] = f"decimal({digits + more},{scale + more})"
+    return out
+
+
+def _mean(df: DataFrame, columns: list[str]) -> DataFrame:
+    types, wide = {f.name: f.dataType for f in df.schema.fields}, _exact_types(df, columns)
+    stats = F.struct(*[F.avg(nan_to_null(col(c), types[c]).cast(wide[c])).cast(wide[c]).alias(c) for c in columns])
     row = df.agg(stats.alias("__s")).scalar()
     return df.withColumns(
-        {c: F.coalesce(nan_to_null(col(c), types[c]).cast("double"), row.getField(c)) for c in columns}
+        {c: F.coalesce(nan_to_null(col(c), types[c]).cast(wide[c]), row.getField(c)) for c in columns}
     )
 
 
 def _median(df: DataFrame, columns: list[str], approx: bool) -> DataFrame:
-    types = {f.name: f.dataType for f in df.schema.fields}
+    types, wide = {f.name: f.dataType for f in df.schema.fields}, _exact_types(df, columns)
     if approx:
         stats = F.struct(
             *[
@@ -96,18 +115,65 @@ def _median(df: DataFrame, columns: list[str], approx: bool) -> DataFrame:
         medians = column_quantiles(df, columns, [0.5])
         value = {c: F.lit(medians.get(c, [None])[0]).cast("double") for c in columns}
     return df.withColumns(
-        {c: F.coalesce(nan_to_null(col(c), types[c]).cast("double"), value[c]) for c in columns}
+        {c: F.coalesce(nan_to_null(col(c), types[c]).cast(wide[c]), value[c].cast(wide[c])) for c in columns}
     )
 
 
-def most_frequent(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row with the most frequent non-null value of each column, the smallest one on ties.
+# Values tracked per column, those of them looked at, and the sketch's error per row: 3.5 over its size, a power of two.
+TRACKED, LOOKED_AT = 10_000, 32
 
-    One scan: grouping sets count the values of all columns, combined map-side, so a frequent value costs
-    one row per task and no task holds the distinct values of a column.
+
+def _sketchable(dtype: T.DataType) -> bool:
+    return is_numeric(dtype) or is_text(dtype) or is_temporal(dtype) or isinstance(dtype, T.BooleanType)
+
+
+def most_frequent(df: DataFrame, columns: list[str], tracked: int = TRACKED) -> dict[str, Column]:
+    """The most frequent known value of each column as a literal, the smallest one on ties; null without any.
+
+    One aggregation sketches the frequent values of all columns, in bounded memory and with a bounded error; a second one
+    counts those exactly that may be the most frequent. Only columns in which a value outside the sketch could be as
+    frequent as the best one inside, such as columns of distinct values, are grouped in full.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    slim = df.select(*[nan_to_null(col(c), types[c]).alias(f"__c{i}") for i, c in enumerate(columns)])
+    slim = df.select(*[nan_to_null(col(c), types[c]).alias(f"c{i}") for i, c in enumerate(columns)])
+    sketched = [i for i, c in enumerate(columns) if _sketchable(types[c])]
+    asked = []
+    for i in sketched:
+        top = f"approx_top_k(c{i}, {min(LOOKED_AT, tracked)}, {tracked}) filter (where c{i} is not null)"
+        texts = f"transform({top}, x -> struct(cast(x.item as string) as item, x.count as n))"
+        asked += [F.expr(texts).alias(f"t{i}"), F.count(f"c{i}").alias(f"n{i}")]
+    row = slim.agg(*asked).first() if asked else {}
+    error = 3.5 / 2 ** math.ceil(math.log2(tracked / 0.75))
+    found: dict[int, Column] = {}
+    counts, others = [], {}
+    for i in sketched:
+        n, top = row[f"n{i}"], row[f"t{i}"] or []
+        kind = types[columns[i]].simpleString()
+        if not n:
+            found[i] = F.lit(None).cast(kind)
+        if not n or not top:
+            continue
+        best = max(t["n"] for t in top)
+        near = [F.lit(t["item"]).cast(kind) for t in top if t["n"] >= best - error * n]
+        entries = [F.struct((-F.count_if(F.col(f"c{i}") == v)).alias("n"), v.alias("v")) for v in near]
+        smallest = F.array_min(F.array(*entries))
+        counts += [smallest["n"].alias(f"n{i}"), smallest["v"].cast("string").alias(f"v{i}")]
+        # what the list leaves out is at most as frequent as its last entry, or as the sketch's error allows
+        others[i] = max(2 * error * n, min(t["n"] for t in top) if len(top) >= min(LOOKED_AT, tracked) else 0)
+    exact = slim.agg(*counts).first() if counts else {}
+    for i, most in others.items():
+        if -exact[f"n{i}"] > most:
+            found[i] = F.lit(exact[f"v{i}"]).cast(types[columns[i]].simpleString())
+    rest = [i for i in range(len(columns)) if i not in found]
+    for start in range(0, len(rest), 30):
+        part = rest[start : start + 30]
+        picked = _grouped_modes(slim.select(*[f"c{i}" for i in part])).scalar()
+        found |= {i: picked.getField(f"c{i}") for i in part}
+    return {c: found[i] for i, c in enumerate(columns)}
+
+
+def _grouped_modes(slim: DataFrame) -> DataFrame:
+    """One row with a struct of modes: grouping sets count all values of all columns, combined map-side."""
     names = slim.columns
     counted = slim.groupingSets([[F.col(n)] for n in names], *[F.col(n) for n in names]).agg(
         F.grouping_id().alias("__g"), F.count(F.lit(1)).alias("__n")
@@ -118,19 +184,15 @@ def most_frequent(df: DataFrame, columns: list[str]) -> DataFrame:
         mine = (2 ** len(names) - 1) ^ (1 << (len(names) - 1 - i))
         chosen = (F.col("__g") == mine) & F.col(name).isNotNull()
         order = F.when(chosen, F.struct(-F.col("__n"), F.col(name)))
-        picks.append(F.min_by(F.col(name), order).alias(columns[i]))
+        picks.append(F.min_by(F.col(name), order).alias(name))
     return counted.agg(F.struct(*picks).alias("__m"))
 
 
 def _mode(df: DataFrame, columns: list[str], fill_value, widen: bool) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
-    new = {}
-    for start in range(0, len(columns), 30):
-        part = columns[start : start + 30]
-        row = most_frequent(df, part).scalar()
-        new.update({c: F.coalesce(nan_to_null(col(c), types[c]), row.getField(c)) for c in part})
+    modes = most_frequent(df, columns)
     # Only an all-null column still has gaps after this; it takes the constant.
-    filled = df.withColumns(new)
+    filled = df.withColumns({c: F.coalesce(nan_to_null(col(c), types[c]), modes[c]) for c in columns})
     fits = [c for c in columns if _literal(fill_value, types[c]) or widen]
     return _constant(filled, fits, fill_value, widen)
 
@@ -140,8 +202,8 @@ def fill_missing(df: DataFrame, config: dict) -> DataFrame:
     ``order_by``/``partition_by``/``rows_per_block`` (carried values), ``approx`` (median), ``widen``.
 
     ``threshold`` first drops rows whose share of missing values over the columns exceeds it. Mean and median
-    apply to numeric columns; other columns get the constant, as with the default strategy. The exact median and
-    the carried values run small-result jobs when the plan is built; ``approx`` avoids that for the median.
+    apply to numeric columns; other columns get the constant, as with the default strategy; filled decimals stay
+    decimals. The exact median, the mode and the carried values run small-result jobs when the plan is built.
     Statistics and carried values read the input more than once: ``stage`` writes it to the shared folder first,
     which pays when expensive rules come before.
     """

@@ -1,6 +1,9 @@
 """The operators that split what would otherwise be one task, against brute force on small data, and the plans."""
 
+import collections
+import datetime as dt
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 from clearwell.catalog.base import QUERIES
 from clearwell.operators import carry, dedup, quantiles
 from clearwell.operators.carry import carry_fill
-from clearwell.operators.fill import most_frequent
+from clearwell.operators.fill import fill_missing, most_frequent
 from clearwell.operators.quantiles import column_quantiles, grouped_quantiles
 from clearwell.session import materialize
 
@@ -99,10 +102,55 @@ def test_column_quantiles(spark, most_inside):
         assert got[c] == pytest.approx([exact(known, p) for p in probs])
 
 
+def modes(df, **options):
+    found = most_frequent(df, df.columns, **options)
+    return tuple(df.sparkSession.range(1).select(*[v.alias(c) for c, v in found.items()]).first())
+
+
 def test_most_frequent_breaks_ties_by_value(spark):
     df = spark.createDataFrame([("b", 1, None), ("a", 1, None), ("a", 2, None), ("b", 2, None)], "s string, n int, x double")
-    row = most_frequent(df, ["s", "n", "x"]).first()[0]
-    assert tuple(row) == ("a", 1, None)
+    assert modes(df) == ("a", 1, None)
+    assert modes(df.limit(0)) == (None, None, None)
+
+
+@pytest.mark.parametrize("tracked", [16, 10_000])
+def test_most_frequent_of_many_values(spark, tracked):
+    """A small sketch forgets values; what it can't decide is grouped."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(6000):
+        hot = rng.random()
+        rows.append((
+            7 if hot < 0.3 else i, f"t{rng.randrange(400):03d}", i, -1.5 if hot < 0.02 else float(rng.randrange(3000)),
+            dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=rng.randrange(5)), bytes([i % 9]),
+        ))
+    df = spark.createDataFrame(rows, "a int, b string, c bigint, d double, e timestamp, f binary").repartition(5)
+    want = []
+    for i in range(6):
+        counted = collections.Counter(r[i] for r in rows)
+        most = max(counted.values())
+        want.append(min(v for v, n in counted.items() if n == most))
+    got = modes(df, tracked=tracked)
+    assert tuple(bytes(v) if isinstance(v, bytearray) else v for v in got) == tuple(want)
+
+
+def test_only_undecided_columns_are_grouped(spark):
+    df = spark.range(2000).selectExpr("id as k", "id % 3 as few", "if(id % 2 = 0, 'x', string(id)) as half")
+    plan = physical_plan(df.select(*[v.alias(c) for c, v in most_frequent(df, ["few", "half"]).items()]))
+    assert "Expand" not in plan
+    plan = physical_plan(df.select(*[v.alias(c) for c, v in most_frequent(df, df.columns).items()]))
+    assert "Aggregate" in plan
+
+
+def test_fills_keep_the_digits_of_known_values(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, Decimal("0.1234567890123456789"), 1)] * 2 + [(None, None, None)], "a long, b decimal(20,19), c long")
+    for strategy in ("mean", "median"):
+        out = fill_missing(df, {"strategy": strategy})
+        known = out.where("c = 1").first()
+        assert known["a"] == big and known["b"] == Decimal("0.1234567890123456789")
+        assert dict(out.dtypes)["c"] == "double"
+        assert None not in tuple(out.orderBy("c").collect()[0])
 
 
 def brute_carry(rows, forward, keyed):
