@@ -12,6 +12,7 @@ from clearwell.catalog.base import QUERIES
 from clearwell.operators import carry, dedup, quantiles
 from clearwell.operators.carry import carry_fill
 from clearwell.operators.fill import fill_missing, most_frequent
+from clearwell.operators.profile import column_samples, profile_columns
 from clearwell.operators.quantiles import column_quantiles, grouped_quantiles
 from clearwell.session import materialize
 
@@ -273,6 +274,51 @@ def test_duplicate_counts_shuffle_hashes_only(spark, tmp_path):
     assert exchanges and not any("__c0" in x or "t#" in x for x in exchanges)
 
 
+# -- profiles
+
+
+def some_columns(spark):
+    rng = random.Random(4)
+    rows = [
+        (i, rng.choice(["a", "b", None]), rng.choice([1.5, 0.0, -0.0, float("nan"), None]), i if i > 700 else None,
+         [None, "x"] if i % 2 else ["x", None], Decimal(i % 7) / 4, None)
+        for i in range(900)
+    ]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "k int, s string, x double, late int, l array<string>, d decimal(10,2), no string").repartition(5)
+
+
+def test_profile_measures(spark):
+    df = some_columns(spark)
+    got = {r["name"]: r for r in profile_columns(df, order_by="k").collect()}
+    rows = sorted(df.collect())
+    for i, name in enumerate(df.columns):
+        known = [r[i] for r in rows if r[i] is not None and r[i] == r[i]]
+        g = got[name]
+        assert g["null_count"] == 900 - len(known) and g["unique_count"] == len({str(v).replace("-0.0", "0.0") for v in known})
+        if name in ("k", "x", "late", "d"):
+            assert (g["min_val"], g["max_val"]) == (float(min(known)), float(max(known)))
+            assert g["mean_val"] == pytest.approx(float(sum(known)) / len(known), abs=1e-4)
+        assert len(g["sample_values"]) == min(3, len(known))
+    assert got["k"]["sample_values"] == ["0", "1", "2"] and got["late"]["sample_values"] == ["701", "702", "703"]
+    assert got["s"]["sample_values"] == [r[1] for r in rows if r[1]][:3] and got["no"]["sample_values"] == []
+
+
+def test_samples_of_ties_go_by_value(spark):
+    df = spark.range(1000).selectExpr("0 as o", "1000 - id as v", "if(id < 2, string(id), null) as w").repartition(4)
+    got = {r["name"]: r["sample_values"] for r in column_samples(df, "o").collect()}
+    assert got["v"] == ["1", "2", "3"] and got["w"] == ["0", "1"] and got["o"] == ["0", "0", "0"]
+
+
+def test_a_profile_reads_the_table_once(spark, tmp_path):
+    some_columns(spark).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = physical_plan(profile_columns(df, samples=False))
+    assert plan.count(f"{tmp_path}/t]") == 1 and "Expand" not in plan
+    samples = physical_plan(column_samples(df, "k"))
+    assert samples.count(f"{tmp_path}/t]") == 2  # the late column and the empty one; the first rows had all others
+
+
 # -- plans
 
 
