@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -360,18 +362,26 @@ def _(spark, d):
     return read_table(spark, path)
 
 
+@functools.lru_cache(maxsize=1)
+def _rows_of(url: str):
+    import pyarrow.parquet as pq
+
+    return pq.read_table(url, columns=["s_suppkey", "s_name"])
+
+
 @query("api_pages", "select s_suppkey, s_name from supplier")
 def _(spark, d):
-    def fetch(url, params):
-        import pyarrow.parquet as pq
+    """A service that does not say how many pages it has; several tasks fetch them."""
 
+    def fetch(url, params):
         size, page = params["per_page"], params["page"]
-        rows = pq.read_table(url, columns=["s_suppkey", "s_name"]).slice((page - 1) * size, size).to_pylist()
-        return {"results": rows, "next": page + 1 if len(rows) == size else None}
+        table = _rows_of(url)
+        rows = table.slice((page - 1) * size, size).to_pylist()
+        return {"results": rows, "next": page + 1 if page * size < len(table) else None}
 
     config = {
         "url": f"{d}/supplier.parquet", "data_key": "results", "schema": "struct<s_suppkey: bigint, s_name: string>",
-        "pagination": {"size": 250, "max_pages": None},
+        "pagination": {"size": 20, "max_pages": None},
     }
     return read_api(spark, config, fetch)
 

@@ -25,8 +25,10 @@ BODY_SCHEMA = "page int, body string"
 
 
 class Pages(InputPartition):
-    def __init__(self, first: int, last: int):
-        self.first, self.last = first, last
+    """``sure``: the pages are known to have successors, so a page without one is an error."""
+
+    def __init__(self, first: int, last: int, sure: bool = False):
+        self.first, self.last, self.sure = first, last, sure
 
 
 def records_in(body, data_key: str | None) -> list:
@@ -39,6 +41,22 @@ def records_in(body, data_key: str | None) -> list:
     return [body] if body else []
 
 
+def _body(fetch: Callable, config: dict, params: dict, page: int):
+    paging = config["pagination"]
+    query = {
+        **params,
+        paging.get("size_param", "per_page"): paging.get("size", PAGE_SIZE),
+        paging.get("page_param", "page"): page,
+    }
+    return fetch(config["url"], query)
+
+
+def _goes_on(body, config: dict) -> bool:
+    """Whether a page has records and names a successor."""
+    following = isinstance(body, dict) and body.get(config["pagination"].get("next_key", "next"))
+    return bool(records_in(body, config.get("data_key")) and following)
+
+
 def _pages(fetch: Callable, config: dict, params: dict, span: Pages):
     """Pages of a span until an empty page or one without a successor."""
     paging = config.get("pagination") or {}
@@ -46,41 +64,67 @@ def _pages(fetch: Callable, config: dict, params: dict, span: Pages):
         yield 1, fetch(config["url"], dict(params))
         return
     for page in range(span.first, span.last + 1):
-        query = {
-            **params,
-            paging.get("size_param", "per_page"): paging.get("size", PAGE_SIZE),
-            paging.get("page_param", "page"): page,
-        }
-        body = fetch(config["url"], query)
-        if not records_in(body, config.get("data_key")):
+        body = _body(fetch, config, params, page)
+        if records_in(body, config.get("data_key")):
+            yield page, body
+        if not _goes_on(body, config):
+            if span.sure:
+                raise RuntimeError(f"page {page} is the last of {config['url']}, but there were pages after {span.last}")
             return
-        yield page, body
-        if not (isinstance(body, dict) and body.get(paging.get("next_key", "next"))):
-            return
-    if paging.get("max_pages") and span.last == paging["max_pages"] != paging.get("total_pages"):
+    if not span.sure and paging.get("max_pages") and span.last == paging["max_pages"] != paging.get("total_pages"):
         raise RuntimeError(f"there are pages after max_pages, {span.last}")
 
 
+def last_page(fetch: Callable, config: dict, params: dict, limit: int) -> int:
+    """The first page without a successor, found by doubling and bisection: about twice the logarithm of the pages in
+    requests. A request that fails counts as behind the end; the walk over the last pages does not rely on it."""
+
+    def goes_on(page: int) -> bool:
+        try:
+            return _goes_on(_body(fetch, config, params, page), config)
+        except Exception:  # noqa: BLE001 - services answer in many ways to a page that is not there
+            return page == 1
+
+    low, high = 0, 1
+    while high < limit and goes_on(high):
+        low, high = high, min(2 * high, limit)
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if goes_on(middle) else (low, middle)
+    return high
+
+
+def spans(fetch: Callable, config: dict, params: dict) -> list[Pages]:
+    """Ranges of pages, one per task. Without a stated number of pages the end is looked for, all ranges but the last
+    are known to go on, and the last one is walked to its end, wherever that is."""
+    paging = config.get("pagination") or {}
+    limit = paging.get("max_pages") or sys.maxsize
+    stated, tasks = paging.get("total_pages"), paging.get("tasks", 8)
+    if not paging or (not stated and tasks == 1):
+        return [Pages(1, limit)]
+    total = min(stated, limit) if stated else last_page(fetch, config, params, limit)
+    tasks = min(tasks, total)
+    edges = [1 + total * i // tasks for i in range(tasks)] + [total + 1]
+    found = [Pages(a, b - 1, sure=not stated) for a, b in zip(edges, edges[1:])]
+    if not stated:
+        found[-1] = Pages(found[-1].first, limit)
+    return found
+
+
 def read_bodies(spark: SparkSession, config: dict, fetch: Callable, checkpoint: str | None = None) -> DataFrame:
-    """(page, body) rows. Which page is the last is only known from the page before it, so one task walks the
-    pages and hands each on at once. When the service states its number of pages, ``pagination.total_pages``
-    lets several tasks (``pagination.tasks``) each walk a range. ``pagination.max_pages`` is a safety limit against
-    services that never end; the job fails when pages are left beyond it. There is none by default.
+    """(page, body) rows, fetched by several tasks (``pagination.tasks``, 8), each walking a range of pages and handing
+    each page on at once. The number of pages is ``pagination.total_pages`` or found with a few requests when the job is
+    planned; one task makes none of these. ``pagination.max_pages`` is a safety limit against services that never end;
+    the job fails when pages are left beyond it. There is none by default.
     """
     require(config, "url")
     params = dict(config.get("params") or {})
     if checkpoint:
         params["since"] = checkpoint
-    paging = config.get("pagination") or {}
-    limit = paging.get("max_pages") or sys.maxsize
-    total = min(paging.get("total_pages") or limit, limit)
-    tasks = min(paging.get("tasks", 8), total) if paging.get("total_pages") else 1
-    edges = [1 + total * i // tasks for i in range(tasks)] + [total + 1]
-    spans = [Pages(a, b - 1) for a, b in zip(edges, edges[1:])]
 
     class Reader(DataSourceReader):
         def partitions(self):
-            return spans
+            return spans(fetch, config, params)
 
         def read(self, partition):
             for page, body in _pages(fetch, config, params, partition):

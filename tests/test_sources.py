@@ -9,6 +9,7 @@ from clearwell.sources.files import read_delimited, read_file, read_table, read_
 from clearwell.sources.jdbc import bind, jdbc_options, query_params
 from clearwell.sources.jsondata import flatten, read_json, read_json_records, records_from_bodies
 from clearwell.sources.office import read_docx, read_excel
+from clearwell.sources import rest
 from clearwell.sources.rest import read_api, read_bodies
 from clearwell.sources.textlines import numbered_lines, read_text_table, read_text_tables, sniff_separator, split_lines
 
@@ -264,6 +265,57 @@ def test_paged_source_in_ranges(spark):
     assert sorted(r["page"] for r in bodies.collect()) == list(range(1, 10))
 
 
+@pytest.mark.parametrize("pages", [0, 1, 2, 3, 7, 8, 9, 64, 1000])
+def test_last_page_by_bisection(pages):
+    asked = []
+    fetch = make_fetch(pages)
+
+    def counted(url, params):
+        asked.append(params["page"])
+        return fetch(url, params)
+
+    config = {"url": "u", "pagination": {"size": 1}, "data_key": "data"}
+    assert rest.last_page(counted, config, {}, 10**9) == max(pages, 1)
+    assert len(asked) <= 2 * max(pages, 1).bit_length() + 2
+    ranges = rest.spans(fetch, config, {})
+    assert len(ranges) == min(8, max(pages, 1)) and [r.first for r in ranges] == sorted({r.first for r in ranges})
+    assert [a.last + 1 for a in ranges[:-1]] == [b.first for b in ranges[1:]]
+
+
+@pytest.mark.parametrize("pages", [1, 5, 23])
+def test_pages_of_unknown_number_in_several_tasks(spark, pages):
+    config = {"url": "u", "pagination": {"size": 2}, "data_key": "data"}
+    bodies = read_bodies(spark, config, make_fetch(pages))
+    assert bodies.rdd.getNumPartitions() == min(8, pages)
+    assert sorted(r["page"] for r in bodies.collect()) == list(range(1, pages + 1))
+
+
+def test_pages_that_fail_behind_the_end(spark):
+    """A failing probe shortens the ranges, never the result."""
+    base = make_fetch(10)
+
+    def fetch(url, params):
+        if params["page"] in (4, 16) and "walk" not in params:
+            raise OSError("no such page")
+        return base(url, params)
+
+    config = {"url": "u", "pagination": {"size": 2}, "data_key": "data"}
+    assert rest.last_page(fetch, config, {}, 10**9) <= 10
+    ranges = rest.spans(fetch, config, {})
+    got = [p for r in ranges for p, _ in rest._pages(base, config, {}, r)]
+    assert got == list(range(1, 11))
+
+
+def test_a_page_without_successor_amid_others_is_an_error():
+    def fetch(url, params):
+        page = params["page"]
+        return {"data": [page] if page <= 20 else [], "next": page < 20 and page != 3}
+
+    config = {"url": "u", "pagination": {"size": 1}, "data_key": "data"}
+    with pytest.raises(RuntimeError, match="page 3 is the last"):
+        [p for r in rest.spans(fetch, config, {}) for p in rest._pages(fetch, config, {}, r)]
+
+
 def test_page_limit(spark):
     config = {"url": "u", "pagination": {"size": 1, "max_pages": 4}, "data_key": "data"}
     with pytest.raises(Exception, match="pages after max_pages"):
