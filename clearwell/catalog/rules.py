@@ -300,6 +300,26 @@ def _(spark, d):
     return cast_types(dated, {"mappings": {"t": "datetime"}, "formats": formats})
 
 
+WRITTEN_DATES = [
+    "o_orderkey", "date_format(o_orderdate, 'd/M/yyyy') as day_first", "date_format(o_orderdate, 'MM-dd-yyyy') as month_first",
+    "case o_orderkey % 3 when 0 then date_format(o_orderdate, 'yyyy-MM-dd') when 1 then date_format(o_orderdate, 'd MMM yyyy') "
+    "else 'soon' end as mixed",
+]
+
+
+@query(
+    "cast_datetime_inferred",
+    """select o_orderkey, cast(cast(o_orderdate as date) as timestamp) as day_first,
+            cast(cast(o_orderdate as date) as timestamp) as month_first,
+            case when o_orderkey % 3 < 2 then cast(cast(o_orderdate as date) as timestamp) end as mixed
+        from orders""",
+)
+def _(spark, d):
+    """Formats found from the values: day first, month first, several in one column."""
+    written = table(spark, d, "orders").selectExpr(*WRITTEN_DATES)
+    return cast_types(written, {"mappings": {c: "datetime" for c in ("day_first", "month_first", "mixed")}})
+
+
 BOOL_TEXT = [
     "o_orderkey",
     "case o_orderkey % 6 when 0 then 'True' when 1 then '0' when 2 then ' no ' when 3 then 'maybe' when 4 then '' "

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import col, is_numeric, parse_bool, parse_timestamp, to_number, to_whole_number
+from ..functions.values import col, is_numeric, is_text, parse_bool, parse_timestamp, to_number, to_whole_number
+from .dateformats import Formats, infer_formats, parse_inferred, warn_of
 
 # Array-library type names that differ from Spark's.
 TYPE_NAMES = {
@@ -25,7 +26,7 @@ TYPE_NAMES = {
 }
 
 
-def _cast(df: DataFrame, name: str, target: str, config: dict) -> Column | None:
+def _cast(df: DataFrame, name: str, target: str, config: dict, inferred: dict[str, Formats]) -> Column | None:
     dtype = df.schema[name].dataType
     c = col(name)
     if target in ("int", "int64"):
@@ -40,6 +41,9 @@ def _cast(df: DataFrame, name: str, target: str, config: dict) -> Column | None:
     if target in ("float", "float64"):
         return to_number(c, dtype)
     if target in ("datetime", "date"):
+        if name in inferred:
+            warn_of(name, inferred[name])
+            return parse_inferred(name, inferred[name])
         return parse_timestamp(c, dtype, config.get("formats") or ())
     if target == "bool":
         return parse_bool(c, dtype, bool(config.get("truthy", False)))
@@ -55,14 +59,19 @@ def cast_types(df: DataFrame, config: dict) -> DataFrame:
     """Config: ``mappings`` {column: type}, ``errors`` ('coerce' or 'raise').
 
     Types: int, float, datetime/date, bool, str or any Spark DDL type. Values that do not fit become null; with
-    ``errors='raise'`` they fail the job. Also ``formats`` (timestamp patterns tried in turn, else ISO),
-    ``truthy`` (Boolean by emptiness), ``fractional='keep'`` (leave an int column that holds fractions).
+    ``errors='raise'`` they fail the job. Also ``formats`` (timestamp patterns tried in turn; without them they are
+    inferred from all values of the column, which runs one job, and what is uncertain is warned of), ``truthy`` (Boolean by emptiness), ``fractional='keep'`` (leave an int column that holds fractions).
     """
     new = {}
-    for name, target in (config.get("mappings") or {}).items():
+    mappings = config.get("mappings") or {}
+    types = {f.name: f.dataType for f in df.schema.fields}
+    dated = [c for c, t in mappings.items() if t in ("datetime", "date") and c in types and is_text(types[c])]
+    # a stream has no whole column to look at: it is read by ISO, or by the formats given
+    inferred = infer_formats(df, dated) if dated and not config.get("formats") and not df.isStreaming else {}
+    for name, target in mappings.items():
         if name not in df.columns:
             continue
-        value = _cast(df, name, target, config)
+        value = _cast(df, name, target, config, inferred)
         if value is None:
             continue
         if config.get("errors", "coerce") == "raise":

@@ -1,4 +1,5 @@
 import datetime as dt
+import warnings
 
 import pytest
 from support import values
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from clearwell.operators import rules
 from clearwell.operators.aggregate import aggregate_daily
 from clearwell.operators.casts import cast_types
+from clearwell.operators.dateformats import infer_formats
 from clearwell.operators.dedup import remove_duplicates
 from clearwell.operators.fill import fill_missing
 from clearwell.operators.rules import apply_rules, register_transformation
@@ -308,3 +310,51 @@ def test_failed_jobs_fail(people):
     register_transformation("reads", reads)
     with pytest.raises(Exception, match="no"):
         apply_rules(people, ["reads"])
+
+
+# -- date formats
+
+
+def dated(spark, texts):
+    return spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+
+
+def test_the_order_of_day_and_month_is_voted_on(spark):
+    found = infer_formats(dated(spark, ["01/02/2024", "03/04/2024", "25/12/2023", None, " "]), ["t"])["t"]
+    assert found.formats == ["d/M/yyyy"] and (found.known, found.read) == (3, 3) and not found.unsettled
+    assert found.votes["M/d/yyyy"] == 2
+    found = infer_formats(dated(spark, ["01-02-2024 10:30", "12-25-2023"]), ["t"])["t"]
+    assert found.formats == ["M-d-yyyy"]
+
+
+def test_unsettled_orders_and_odd_values_are_reported(spark):
+    with pytest.warns(UserWarning, match="reads as M/d/yyyy and as d/M/yyyy"):
+        out = cast_types(dated(spark, ["01/02/2024"]), {"mappings": {"t": "datetime"}})
+    assert values(out, "t") == [dt.datetime(2024, 1, 2)]
+    with pytest.warns(UserWarning, match="1 values of t are no dates"):
+        out = cast_types(dated(spark, ["13.02.2024", "soon"]), {"mappings": {"t": "date"}})
+    assert sorted(values(out, "t"), key=str) == [dt.datetime(2024, 2, 13), None]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("2024-02-03", (2024, 2, 3)), ("2024-02-03T04:05:06", (2024, 2, 3, 4, 5, 6)), ("2024/2/3", (2024, 2, 3)),
+        ("3 Feb 2024", (2024, 2, 3)), ("3-Feb-2024", (2024, 2, 3)), ("Feb 3, 2024", (2024, 2, 3)), ("20240203", (2024, 2, 3)),
+        ("3 February 2024 14:15", (2024, 2, 3, 14, 15)), ("February 3, 2024", (2024, 2, 3)), ("23.02.24", (2024, 2, 23)),
+        ("2024", (2024, 1, 1)), ("99/99/2024", None), ("20249999", None),
+    ],
+)
+def test_formats_that_are_recognised(spark, text, want):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        out = cast_types(dated(spark, [text]), {"mappings": {"t": "datetime"}})
+    assert values(out, "t") == [want and dt.datetime(*want)]
+
+
+def test_columns_vote_apart_and_given_formats_stand(spark):
+    df = spark.createDataFrame([("13/01/2024", "01/13/2024"), ("02/01/2024", "01/02/2024")], "a string, b string")
+    out = cast_types(df, {"mappings": {"a": "datetime", "b": "datetime"}})
+    assert sorted(tuple(r) for r in out.collect()) == [(dt.datetime(2024, 1, 2),) * 2, (dt.datetime(2024, 1, 13),) * 2]
+    given = cast_types(df, {"mappings": {"a": "datetime"}, "formats": ["MM/dd/yyyy"]})
+    assert sorted(values(given, "a"), key=str) == [dt.datetime(2024, 2, 1), None]
