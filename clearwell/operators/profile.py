@@ -14,12 +14,18 @@ MAX_NULL_PCT = 0.80
 SAMPLE_SIZE = 3
 
 
+# What a profile says about a column, and the share of distinct values from which it may be a key.
+TOO_SPARSE, MAY_BE_KEY, CONSTANT, KEEP = "drop (too many nulls)", "possible ID column", "constant — consider dropping", "keep"
+KEY_SHARE = 0.99
+
+
 def suggested_action(null_pct: Column, unique_count: Column, unique_pct: Column, max_null_pct: float) -> Column:
+    complete = null_pct == 0
     return (
-        F.when(null_pct >= max_null_pct, "drop (too many nulls)")
-        .when((unique_pct >= 0.99) & (null_pct == 0), "possible ID column")
-        .when(unique_count == 1, "constant — consider dropping")
-        .otherwise("keep")
+        F.when(null_pct >= max_null_pct, TOO_SPARSE)
+        .when(complete & (unique_pct >= KEY_SHARE), MAY_BE_KEY)
+        .when(unique_count == 1, CONSTANT)
+        .otherwise(KEEP)
     )
 
 

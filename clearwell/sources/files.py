@@ -223,10 +223,11 @@ def read_upload(spark: SparkSession, path, config: dict | None = None) -> DataFr
     """Delimited files of unknown encoding: UTF-8, else Latin-1, which reads any bytes."""
     config = dict(config or {})
     utf8, other = split_by_encoding(spark, path)
+    all_tabs = isinstance(path, str) and suffix_of(path) == ".tsv"  # a folder of part files has its own extension
     parts = []
     for files, encoding in ((utf8, "utf-8"), (other, "iso-8859-1")):
         for sep in ("\t", ","):
-            group = [f for f in files if (suffix_of(f) == ".tsv") == (sep == "\t")]
+            group = [f for f in files if (all_tabs or suffix_of(f) == ".tsv") == (sep == "\t")]
             if group:
                 part = {"separator": sep, **config, "encoding": encoding}
                 parts.append(read_delimited(spark, group, part).data)
