@@ -6,12 +6,13 @@ two nodes share bound the overlap of any two of their leaves. Both ends of a joi
 nodes that can't reach the overlap which their smallest sets need, whose sizes exclude each other, or whose leaves are
 all connected already. What is left is counted exactly.
 
-Which sets meet in a tree: for two sets within the threshold the symmetric difference is bounded by their sizes. With
-more segments of the hash space than that, one segment at least holds the same tokens in both. Sets of one size class
-and its neighbour with an equal segment are joined to a family, which therefore holds all links of its members; a
-family holds mostly true links, so each set is shipped to one family only, not to each segment. Families of many sets
-are cut into cells: every cell meets the first one, then the sets outside the largest component meet every cell, in
-blocks. No link is lost, and copies (equal sets) count once.
+Which sets meet in a tree: order all tokens in any one way, the same for all sets. Two sets within the threshold then
+share one of their first tokens, counted up to what they may lack of each other. Rare tokens come first here: among a
+share of the hash space twice as large as such a beginning, tokens of one set only, then by the number of sets, then all
+other tokens by hash. So most sets share none of their first tokens with anyone and are done, and passages that many
+texts quote decide little. Sets that share one are joined to a family, which therefore holds all links of its members;
+each set is shipped to its family once. Families of many sets are cut into cells: every cell meets the first one, then
+the sets outside the largest component meet every cell, in blocks. No link is lost, and copies (equal sets) count once.
 
 Nulls, empty texts and texts without words have the empty set and link with nothing. With fewer words than a shingle
 the whole sequence is the only shingle. Repeated rows are copies. Tokens are 64-bit hashes, sets 128-bit digests.
@@ -33,6 +34,9 @@ from .components import components
 
 CHUNK_BYTES = 1 << 19
 CELL_SETS, CELL_TOKENS, FANOUT, UNARY = 1024, 400_000, 8, 4
+#: The share of the hash space in which tokens are ranked, in beginnings; the number of sets from which tokens are all
+#: alike; bytes of the bitmaps of a tree's leaves.
+RANKED, ALIKE, BITMAP_BYTES = 2, 1000, 1 << 26
 
 
 def shingle_sets(strings: list[str], words: int) -> list:
@@ -67,50 +71,14 @@ def overlap_needed(total, percent: int):
     return -(-percent * total // (100 + percent))
 
 
-class Segments:
-    """Size classes and, for pairs whose smaller set is in a class, the number of segments."""
+def first_tokens(n: int, percent: int) -> int:
+    """How many of its first tokens a set of ``n`` must show, so that any set within the threshold shows one of them."""
+    return n + (-percent * n // 100) + 1
 
-    def __init__(self, percent: int):
-        self.percent, self.lower = percent, [0, 1]
 
-    def size_class(self, n: int) -> int:
-        import bisect
-
-        while self.lower[-1] <= n:
-            low = self.lower[-1]
-            self.lower.append(max(low + 1, (low - 1) * 100 // self.percent + 1))
-        return bisect.bisect_right(self.lower, n) - 1
-
-    @functools.cache  # noqa: B019  one object for each task
-    def segments(self, cls: int) -> tuple[int, int]:
-        """Segments, and how many of them agree at least; (0, 0) if such sets must be equal."""
-        self.size_class(self.lower[cls] + 1)
-        small = self.lower[cls + 1] - 1
-        most = small + small * 100 // self.percent
-        apart = max(s - 2 * overlap_needed(s, self.percent) for s in range(max(2, most - 40), most + 1))
-        if apart <= 0:
-            return 0, 0
-        spare = 2 + (apart + 1) // 20  # so that a set with some empty segments needn't offer them
-        return apart + 1 + spare, 1 + spare
-
-    def keys(self, tokens):
-        """Hashes of class, segment and the tokens in it, for the set's own class and the one below."""
-        import numpy as np
-
-        own = self.size_class(len(tokens))
-        for cls in (own - 1, own):
-            if cls < 1:
-                continue
-            count, agree = self.segments(cls)
-            if not count:
-                continue
-            segment = ((tokens >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-            begin = np.flatnonzero(np.diff(segment, prepend=np.uint64(count)) != 0)
-            at, value = segment[begin], np.add.reduceat(mixed(tokens), begin)
-            if count - len(begin) >= agree:
-                empty = np.setdiff1d(np.arange(count, dtype=np.uint64), at)
-                at, value = np.concatenate([at, empty]), np.concatenate([value, np.zeros(len(empty), np.uint64)])
-            yield mixed(mixed(value + np.uint64(cls << 32)) + at)
+def ranked_below(percent: int) -> int:
+    """Tokens under this hash are ordered by the number of their sets."""
+    return min(2**64 - 1, RANKED * (100 - percent) * 2**64 // 100)
 
 
 def tree_links(sets: list, percent: int, labels=None) -> list[tuple[int, int]]:
@@ -125,6 +93,8 @@ def tree_links(sets: list, percent: int, labels=None) -> list[tuple[int, int]]:
     sets, sizes = [sets[i] for i in order], sizes[order]
     labels = (np.arange(n) if labels is None else np.asarray(labels))[order].copy()
     buckets = max(64, 1 << int(sizes.max() // 2).bit_length())
+    while buckets > 64 and n * buckets > BITMAP_BYTES:
+        buckets >>= 1
     cells = np.repeat(np.arange(n), sizes) * buckets + (np.concatenate(sets) & np.uint64(buckets - 1)).astype(np.int64)
     cell, count = np.unique(cells, return_counts=True)
     unary = np.zeros(n * buckets, np.uint8)
@@ -176,12 +146,15 @@ def tree_links(sets: list, percent: int, labels=None) -> list[tuple[int, int]]:
     return links
 
 
-def shingle_table(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``n_shingles``, ``digest`` of each set, and ``node``, the first bytes of the digest."""
+def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``n_shingles``, ``digest`` of each set, ``node``, the first bytes of the digest, and
+    ``short``, how many more tokens its beginning has than are ranked."""
 
     def run(batches: Iterator):
+        import numpy as np
         import pyarrow as pa
 
+        limit = np.uint64(ranked_below(percent))
         for batch in chunks(batches, CHUNK_BYTES):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             digests = [digest(s) for s in sets]
@@ -190,38 +163,95 @@ def shingle_table(docs: DataFrame, words: int) -> DataFrame:
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.array([_node(d) for d in digests], pa.int64()),
+                pa.array([first_tokens(len(s), percent) - int(np.searchsorted(s, limit)) for s in sets], pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), *out], names)
 
-    names = ["doc_id", "text_hash", "n_shingles", "digest", "node"]
+    names = ["doc_id", "text_hash", "n_shingles", "digest", "node", "short"]
     rows = texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, node bigint")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, node bigint, short bigint")
 
 
 def _node(d: bytes) -> int:
     return int.from_bytes(d[:8], "little", signed=True)
 
 
-def segment_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``key``, ``node``: what each distinct set offers for comparison; copies in one task offer it once."""
+def offered_tokens(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``token``, ``node``: the ranked tokens of each distinct set, and the next ones of sets that have too few of them;
+    copies in one task offer theirs once."""
 
     def run(batches: Iterator):
         import numpy as np
         import pyarrow as pa
 
-        plan, seen = Segments(percent), set()
+        limit, seen = np.uint64(ranked_below(percent)), set()
         for batch in chunks(batches, CHUNK_BYTES):
-            keys, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for tokens in shingle_sets(batch.column(1).to_pylist(), words):
-                if len(tokens) and (node := _node(digest(tokens))) not in seen:
+            tokens, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for own in shingle_sets(batch.column(1).to_pylist(), words):
+                if len(own) and (node := _node(digest(own))) not in seen:
                     seen.add(node)
-                    for k in plan.keys(tokens):
-                        keys.append(k)
-                        nodes.append(np.full(len(k), node))
-            columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "node"])
+                    tokens.append(own[: max(int(np.searchsorted(own, limit)), first_tokens(len(own), percent))])
+                    nodes.append(np.full(len(tokens[-1]), node))
+            columns = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes))]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "node"])
+
+    return texts(docs).mapInArrow(run, "token bigint, node bigint")
 
-    return texts(docs).mapInArrow(run, "key bigint, node bigint")
+
+def _shared_runs(batches: Iterator):
+    """From (token, node) in order: those of tokens with two nodes at least, with ``sets``, their number up to ALIKE."""
+    import numpy as np
+    import pyarrow as pa
+
+    token, node, alike = np.empty(0, np.int64), np.empty(0, np.int64), None
+
+    def out(t, n, sets):
+        return pa.RecordBatch.from_arrays([pa.array(t), pa.array(n), pa.array(sets)], ["token", "node", "sets"])
+
+    def finished(t, n):
+        new = np.r_[True, t[1:] != t[:-1]] if len(t) else np.empty(0, bool)
+        sets = np.minimum(np.diff(np.flatnonzero(np.r_[new, True])), ALIKE)[np.cumsum(new) - 1]
+        if alike is not None:
+            sets[t == alike] = ALIKE
+        some = sets > 1
+        return out(t[some], n[some], sets[some])
+
+    for batch in batches:
+        token = np.concatenate([token, batch.column(0).to_numpy()])
+        node = np.concatenate([node, batch.column(1).to_numpy()])
+        other = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])] if len(token) else np.empty(0, bool)
+        token, node = token[other], node[other]
+        if not len(token):
+            continue
+        # the last token may go on; once it has so many sets, what comes is alike
+        last = token[-1]
+        begin = int(np.searchsorted(token, last))
+        yield finished(token[:begin], node[:begin])
+        token, node = token[begin:], node[begin:]
+        if len(token) >= ALIKE or last == alike:
+            alike = last
+            yield finished(token[:-1], node[:-1])
+            token, node = token[-1:], node[-1:]
+    yield finished(token, node)
+
+
+def _family_links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (nodes a, b) between sets that share one of their first tokens."""
+    offers = offered_tokens(docs, words, percent).repartition("token").sortWithinPartitions("token", "node")
+    shared = materialize(offers.mapInArrow(_shared_runs, "token bigint, node bigint, sets bigint"))
+    # hashes as signed numbers: the ranked ones are those that are not negative and under the limit, or wrap around
+    limit = ranked_below(percent)
+    high = F.col("token") < 0
+    ranked = (~high & (F.col("token") < limit)) if limit < 2**63 else (~high | (F.col("token") < limit - 2**64))
+    by_rank = shared.where(ranked).join(classes.select("node", "short"), "node")
+    order = W.partitionBy("node").orderBy("sets", "token")
+    count = F.count(F.lit(1)).over(W.partitionBy("node"))
+    placed = by_rank.withColumn("place", F.row_number().over(order)).withColumn("shared", count)
+    # tokens that no other set has come first, and there are so many of the beginning left for shared ones
+    keys = placed.where(F.col("place") <= F.col("short") + F.col("shared")).select("token", "node")
+    keys = materialize(keys.unionByName(shared.where(~ranked).select("token", "node")))
+    least = keys.groupBy("token").agg(F.min("node").alias("least"))
+    return keys.join(least, "token").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
 
 
 def _joined(members: DataFrame, words: int, percent: int) -> DataFrame:
@@ -272,15 +302,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     ``root`` is one digest of the component, null for the empty set.
     """
-    sets = materialize(shingle_table(docs, words))
-    offers = segment_keys(docs, words, percent).repartition("key")
-    offers = offers.withColumn("least", F.min("node").over(W.partitionBy("key"))).where("node <> least")
-    families = components(offers.select(F.col("node").alias("a"), F.col("least").alias("b")))
-
+    sets = materialize(shingle_table(docs, words, percent))
     classes = sets.where("n_shingles > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("node").alias("node")
+        F.min("doc_id").alias("id"), *[F.first(c).alias(d) for c, d in (("n_shingles", "n"), ("node", "node"), ("short", "short"))]
     )
     classes = materialize(classes)
+    families = components(_family_links(docs, classes, words, percent))
     members = classes.join(families, "node").select("digest", "id", "n", F.col("root").alias("family"))
     load = members.groupBy("family").agg(
         F.ceil(F.greatest(F.sum("n") / CELL_TOKENS, F.count(F.lit(1)) / CELL_SETS)).alias("cells")

@@ -11,6 +11,7 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -347,18 +348,56 @@ def test_tree_finds_all_links(sets, percent):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.sets(st.integers(0, 2**63), min_size=1, max_size=120), st.data())
-def test_linked_sets_share_a_segment(tokens, data):
-    percent = data.draw(st.sampled_from([80, 85]))
+@given(st.sets(st.integers(0, 500), min_size=1, max_size=120), st.data())
+def test_linked_sets_share_a_first_token(tokens, data):
+    """In whatever order the tokens stand."""
+    percent = data.draw(st.sampled_from([60, 80, 85]))
     some = data.draw(st.sets(st.sampled_from(sorted(tokens)), max_size=len(tokens) // 6))
-    more = data.draw(st.sets(st.integers(0, 2**63), max_size=len(tokens) // 6))
+    more = data.draw(st.sets(st.integers(0, 500), max_size=len(tokens) // 6))
     other = (tokens - some) | more
-    if other == tokens or not other or 100 * len(tokens & other) < percent * len(tokens | other):
+    if not other or 100 * len(tokens & other) < percent * len(tokens | other):
         return
-    plan = jaccard.Segments(percent)
-    mix = lambda s: np.sort(jaccard.mixed(np.array(sorted(s), dtype=np.uint64)))
-    a, b = ({int(k) for keys in plan.keys(mix(s)) for k in keys} for s in (tokens, other))
-    assert a & b
+    order = data.draw(st.permutations(sorted(tokens | other)))
+    a, b = ([t for t in order if t in s][: jaccard.first_tokens(len(s), percent)] for s in (tokens, other))
+    assert set(a) & set(b)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(-3, 3), st.integers(0, 12)), max_size=120), st.integers(2, 6), st.data())
+def test_runs_of_shared_tokens(rows, alike, data):
+    """Whatever the batches are, tokens of several nodes come out once for each node, with their number up to a limit."""
+    rows = sorted(rows)
+    cuts = sorted(data.draw(st.lists(st.integers(0, len(rows)), max_size=5)))
+    parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+    batches = [pa.RecordBatch.from_pydict({"token": [t for t, _ in p], "node": [n for _, n in p]},
+                                          pa.schema([("token", pa.int64()), ("node", pa.int64())])) for p in parts]
+    before, jaccard.ALIKE = jaccard.ALIKE, alike
+    try:
+        got = sorted(tuple(r.values()) for b in jaccard._shared_runs(iter(batches)) for r in b.to_pylist())
+    finally:
+        jaccard.ALIKE = before
+    nodes = collections.defaultdict(set)
+    for t, n in rows:
+        nodes[t].add(n)
+    assert got == sorted((t, n, min(len(own), alike)) for t, own in nodes.items() if len(own) > 1 for n in own)
+
+
+def test_common_passages_do_not_chain_texts(spark):
+    """Texts that quote the same passages, each with words of its own, show no first tokens to each other."""
+    pick = random.Random(9)
+    passages = [" ".join(f"p{i}x{j}" for j in range(50)) for i in range(6)]
+    data = []
+    for k in range(300):
+        own = [f"w{k}y{j}" for j in range(120)]
+        at = pick.randrange(120)
+        data.append((k, " ".join([*own[:at], pick.choice(passages), *own[at:], pick.choice(passages)])))
+    data += [(1000 + k, f"{text} end") for k, text in data[:20]]
+    frame = spark.createDataFrame(data, "doc_id bigint, text string")
+    classes = jaccard.shingle_table(frame, 5, 80)
+    links = jaccard._family_links(frame, classes, 5, 80).collect()
+    assert 20 <= len({r.a for r in links} | {r.b for r in links}) <= 80
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame, 5, 80).collect()}
+    assert got == {k: k - 1000 if k >= 1000 else k for k, _ in data}
 
 
 # language model
