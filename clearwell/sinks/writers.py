@@ -68,17 +68,28 @@ def _upsert_key(config: dict) -> list[str]:
     return key
 
 
-def merge_statement(table: str, staging: str, columns: list[str], keys: list[str]) -> str:
-    """One standard MERGE from a staging table."""
-    quoted = [f'"{c}"' for c in columns]
-    match = " AND ".join(f't."{k}" = s."{k}"' for k in keys)
-    updates = ", ".join(f'"{c}" = s."{c}"' for c in columns if c not in keys)
-    update = f"WHEN MATCHED THEN UPDATE SET {updates} " if updates else ""
-    values = ", ".join(f"s.{q}" for q in quoted)
-    return (
-        f"MERGE INTO {table} t USING {staging} s ON {match} {update}"
-        f"WHEN NOT MATCHED THEN INSERT ({', '.join(quoted)}) VALUES ({values})"
-    )
+def merge_statement(table: str, staging: str, columns: list[str], keys: list[str], url: str = "") -> str:
+    """One statement that merges a staging table, in the words of the database that ``url`` names: its own form of
+    insert-or-update for MySQL, MariaDB and SQLite, which need a unique index on the keys, else the standard MERGE."""
+    kind = url.removeprefix("jdbc:").split(":", 1)[0].lower()
+    mark = "`" if kind in ("mysql", "mariadb") else '"'
+    quoted = {c: f"{mark}{c}{mark}" for c in columns}
+    names = ", ".join(quoted.values())
+    rest = [quoted[c] for c in columns if c not in keys]
+    if kind in ("mysql", "mariadb"):
+        first = quoted[keys[0]]
+        updates = ", ".join(f"{q} = VALUES({q})" for q in rest) or f"{first} = VALUES({first})"
+        return f"INSERT INTO {table} ({names}) SELECT {names} FROM {staging} ON DUPLICATE KEY UPDATE {updates}"
+    if kind == "sqlite":
+        updates = ", ".join(f"{q} = excluded.{q}" for q in rest)
+        action = f"UPDATE SET {updates}" if updates else "NOTHING"
+        match = ", ".join(quoted[k] for k in keys)
+        # without a condition the parser takes ON for that of a join
+        return f"INSERT INTO {table} ({names}) SELECT {names} FROM {staging} WHERE true ON CONFLICT ({match}) DO {action}"
+    match = " AND ".join(f"t.{quoted[k]} = s.{quoted[k]}" for k in keys)
+    update = f"WHEN MATCHED THEN UPDATE SET {', '.join(f'{q} = s.{q}' for q in rest)} " if rest else ""
+    values = ", ".join(f"s.{q}" for q in quoted.values())
+    return f"MERGE INTO {table} t USING {staging} s ON {match} {update}WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({values})"
 
 
 def write_jdbc(df: DataFrame, config: dict) -> str:
@@ -114,7 +125,7 @@ def write_jdbc(df: DataFrame, config: dict) -> str:
     connection = jvm.java.sql.DriverManager.getConnection(url, properties)
     try:
         statement = connection.createStatement()
-        statement.executeUpdate(merge_statement(table, staging, df.columns, keys))
+        statement.executeUpdate(merge_statement(table, staging, df.columns, keys, url))
         statement.executeUpdate(f"DROP TABLE {staging}")
     finally:
         connection.close()

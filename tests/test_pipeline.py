@@ -63,6 +63,18 @@ def test_merge_statement():
     )
 
 
+def test_merge_in_the_words_of_the_database():
+    assert merge_statement("t", "i", ["k", "v"], ["k"], "jdbc:mysql://host/db") == (
+        "INSERT INTO t (`k`, `v`) SELECT `k`, `v` FROM i ON DUPLICATE KEY UPDATE `v` = VALUES(`v`)"
+    )
+    assert merge_statement("t", "i", ["k"], ["k"], "jdbc:mariadb://host/db").endswith("UPDATE `k` = VALUES(`k`)")
+    assert merge_statement("t", "i", ["k", "v"], ["k"], "jdbc:sqlite:file") == (
+        'INSERT INTO t ("k", "v") SELECT "k", "v" FROM i WHERE true ON CONFLICT ("k") DO UPDATE SET "v" = excluded."v"'
+    )
+    assert merge_statement("t", "i", ["k"], ["k"], "jdbc:sqlite:file").endswith('ON CONFLICT ("k") DO NOTHING')
+    assert merge_statement("t", "i", ["k", "v"], ["k"], "jdbc:postgresql://host/db").startswith("MERGE INTO t t USING i s")
+
+
 def test_upsert_rules(spark):
     target = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (None, "n", 1)], "k int, v string, o int")
     incoming = spark.createDataFrame([(2, "x", 1), (2, "y", 2), (3, "z", 1), (None, "m", 1), (None, "m", 1)], "k int, v string, o int")
