@@ -3,7 +3,8 @@
 A page is cut into leaf blocks: runs of text between the boundaries of block elements, in page order. A block's
 features are the tags, class and id words and roles of its ancestors, and figures of its text (length, share of links,
 punctuation, place in the page). The field has a weight per feature and one per pair of neighbouring labels; it is
-trained by gradient ascent on the likelihood of labelled pages and decoded by Viterbi.
+trained by gradient ascent on the likelihood of labelled pages and decoded by Viterbi, where menus, sidebars, footers
+and forms, if elements name them, and what stands beside a named article are held to the label 0. Elements that say they are not shown have no text.
 
 Labelled pages are made from a bounded sample of those that say by their elements what their article is. That article's blocks are set into layouts drawn at random, in semantic elements or in boxes with the class names
 that sites use, among menus, notices, adverts, forms, sidebars, footers and reader comments; the labels are known
@@ -50,6 +51,8 @@ IN_HEAD = set("base basefont bgsound link meta noframes noscript script style te
 #: Elements of HTML in these end an open svg or math.
 FOREIGN_TEXT = set("foreignobject desc title annotation-xml template".split())
 PART_TAGS = set("main article section nav aside header footer form fieldset".split())
+#: Elements whose blocks are no article, wherever they stand: menus, sidebars, footers, forms.
+APART = frozenset(f"in:{t}" for t in "nav aside footer form button".split())
 SAMPLE_PAGES, VARIANTS = 240, 4
 
 
@@ -94,7 +97,7 @@ class Page(HTMLParser):
         if tag == "a":
             self.links += 1
         self.open.append((tag, _told(tag, attrs), next((int(v) for k, v in attrs if k == "data-y" and v), None)))
-        if tag in HIDDEN:
+        if tag in HIDDEN or _unseen(attrs):
             self.hidden = 1
 
     def handle_startendtag(self, tag, attrs):
@@ -124,6 +127,10 @@ class Page(HTMLParser):
         root, *inside = (t for t, *_ in self.open[-self.hidden :])
         if root == "head":
             return tag == "body" and "template" not in inside or not inside and tag not in IN_HEAD
+        if tag in CLOSES and root in CLOSES[tag][0]:
+            return not CLOSES[tag][1] & set(inside)
+        if root == "p":
+            return tag in BLOCK and not SCOPES & set(inside)
         return root in ("svg", "math") and tag in BLOCK and not FOREIGN_TEXT & set(inside)
 
     def _show(self):
@@ -163,10 +170,20 @@ def _told(tag: str, attrs) -> tuple:
     for key, value in attrs:
         if value and key in ("class", "id", "role", "itemprop"):
             spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-            out.extend(f"name:{w}" for w in re.findall(r"[a-z]+", spaced)[:12])
+            out.extend(f"name:{w}" for w in re.findall(r"[a-z]+", spaced))
     return tuple(out)
 
 
+def _unseen(attrs) -> bool:
+    """Whether an element says that it is not shown."""
+    for key, value in attrs:
+        if key == "hidden" and (value or "").lower() != "until-found":
+            return True
+        if key == "style" and value and re.search(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", value.lower()):
+            return True
+    return False
+
+
 def leaf_blocks(source: str | None) -> list[Block]:
     """The blocks of a page with their features."""
     page = Page()
@@ -205,11 +222,22 @@ class Field:
     bias: float = 0.0
 
     def decode(self, blocks: list[Block]) -> list[int]:
-        """The likeliest labels, by Viterbi."""
+        """The likeliest labels, by Viterbi, under two constraints: menus, sidebars, footers and forms are 0; and where
+        half of the text found lies in an element that names the article, so is what stands beside it."""
+        barred = [not APART.isdisjoint(b.features) for b in blocks]
+        labels = self._best(blocks, barred)
+        named = [_in_article(b) for b in blocks]
+        found = [len(b.text) * y for b, y in zip(blocks, labels)]
+        within = sum(n for n, own in zip(found, named) if own)
+        if 0 < within < sum(found) <= 2 * within:
+            labels = self._best(blocks, [x or not own for x, own in zip(barred, named)])
+        return labels
+
+    def _best(self, blocks: list[Block], barred: list[bool]) -> list[int]:
         get, pairs, back = self.weights.get, self.pairs, []
         zero, one = 0.0, self.first
         for i, b in enumerate(blocks):
-            score = self.bias + sum(get(f, 0.0) for f in b.features)
+            score = -1e9 if barred[i] else self.bias + sum(get(f, 0.0) for f in b.features)
             if i:
                 to_zero = (zero + pairs[0][0], one + pairs[1][0])
                 to_one = (zero + pairs[0][1], one + pairs[1][1])
@@ -380,8 +408,7 @@ def layout(content: list[tuple[str, str]], other: list[str], pick: random.Random
 
 
 def _in_article(block: Block) -> bool:
-    apart = {f"in:{t}" for t in ("nav", "aside", "footer", "form", "button")}
-    return bool({"in:article", "in:main"} & set(block.features)) and not apart & set(block.features)
+    return APART.isdisjoint(block.features) and bool({"in:article", "in:main"} & set(block.features))
 
 
 def labelled_pages(sources: list[str], variants: int = VARIANTS, seed: int = 5) -> list[list[Block]]:

@@ -560,6 +560,30 @@ def test_pages(spark):
     assert by_id[3] == by_id[4] == by_id[None] == ""
 
 
+def test_parts_around_and_within_an_article(spark):
+    """Site headers and bare notices beside a named article, forms in it, elements that are not shown."""
+    field = html.fit(html.table(spark, "/root/testdata/sf0.01", "pages"), rows=60)
+
+    def text(source):
+        blocks = html.leaf_blocks(source)
+        return [b.text for b, y in zip(blocks, field.decode(blocks)) if y]
+
+    body = "<h1>On rivers</h1><p>Rivers carry water, sand and stories to the sea.</p>{}<p>They have done so for long, and will go on.</p>"
+    want = ["On rivers", "Rivers carry water, sand and stories to the sea.", "They have done so for long, and will go on."]
+    page = "<body><header><h1>Site</h1></header><p>We use cookies to improve your visit, as all do.</p><article>" + body + "</article></body>"
+    assert text(page.format("")) == want
+    assert text(page.format("<form><p>Give us your address, and we will write to you every day.</p><input></form>")) == want
+    assert text(page.format("<p hidden>Not shown to anyone who reads this page.</p>")) == want
+    assert text(page.format("<div style='color: red; display:none'><p>Nor is this shown.</p></div>")) == want
+    assert text(page.format("<aside><p>Elsewhere: a long text about something else, with commas.</p></aside>")) == want
+
+
+def test_elements_that_are_not_shown():
+    assert shown("<p hidden>no<p>yes") == ["yes"] and shown("<ul><li hidden>no<li>yes</ul>") == ["yes"]
+    assert shown("<div style='DISPLAY : none'><p>no</p><div>no</div></div>yes") == ["yes"]
+    assert shown("<p style='display:block'>a</p><p hidden=until-found>b</p><p style='visibility:hidden'>no</p>") == ["a", "b"]
+
+
 def shown(source):
     return [b.text for b in html.leaf_blocks(source)]
 
