@@ -441,6 +441,24 @@ def test_known_word_under_a_new_topic_has_its_overall_share(spark, monkeypatch):
     assert -10 < out.score < 0  # the spelling of the last word alone is -12
 
 
+def test_anchors_are_the_most_frequent_words_of_the_corpus(spark, monkeypatch):
+    """A word that comes once in each of 40 texts counts 40, where each text has 5000 words of its own that come twice."""
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 1 << 10)  # each text by itself
+    data = [(i, " ".join(f"w{i}x{k} w{i}x{k}" for k in range(5000)) + " common") for i in range(40)]
+    frame = spark.createDataFrame(data, "doc_id bigint, text string").repartition(4)
+    assert lm_hashes(b"common")[0] in lm.topics(frame).hashes
+
+
+def test_counts_survive_being_passed_on_early(spark, monkeypatch):
+    data = near_copies(6, 4)
+    frame = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 1 << 8)
+    want = lm.topics(frame)
+    monkeypatch.setattr(lm, "HELD", 4)
+    got = lm.topics(frame)
+    assert got.hashes.tolist() == want.hashes.tolist() and got.groups.tolist() == want.groups.tolist()
+
+
 def lm_hashes(*words):
     data = np.frombuffer(b"".join(words), np.uint8)
     ends = np.cumsum([len(w) for w in words])
