@@ -459,6 +459,38 @@ def test_counts_survive_being_passed_on_early(spark, monkeypatch):
     assert got.hashes.tolist() == want.hashes.tolist() and got.groups.tolist() == want.groups.tolist()
 
 
+def test_bytes_after_the_same_beginning_are_held_once():
+    words, topics = [b"abcdefg", b"abcdxyz", b"abcdefg", b"", b"a"], [1, 1, 2, 1, 1]
+    ends = np.cumsum([len(w) for w in words])
+    data, starts = np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1])
+    spelled = lm.Spelled(data, starts, ends, np.array(topics))
+    assert spelled.size == len({(t, w[:i], (w + b" ")[i]) for w, t in zip(words, topics) for i in range(len(w) + 1)})
+    assert spelled.words(np.ones(spelled.size)).tolist() == [len(w) + 1 for w in words]
+    want = {}
+    for w, t, n in zip(words, topics, (3, 5, 7, 11, 13)):
+        for i in range(len(w) + 1):
+            want[t, w[:i], (w + b" ")[i]] = want.get((t, w[:i], (w + b" ")[i]), 0) + n
+    assert sorted(spelled.weights(np.array([3.0, 5, 7, 11, 13]))) == sorted(want.values())
+    model = lm.Model.empty()
+    for k, t in enumerate(model.counts):
+        t[:] = np.random.default_rng(k).integers(0, 9, t.shape)
+    each = [model.log10(data, starts[i : i + 1], ends[i : i + 1], np.array(topics[i : i + 1]))[0] for i in range(5)]
+    assert model.log10(data, starts, ends, np.array(topics)) == pytest.approx(each, rel=1e-6)
+
+
+def test_bits_that_are_certain_have_a_finite_chance():
+    assert np.isfinite(lm._log10(np.array([[0, 1] * 4], np.float32), np.array([[1, 0] * 4], np.uint8))).all()
+
+
+def test_the_head_has_all_rows_of_its_least_count(spark, monkeypatch):
+    frame = spark.createDataFrame([(5,), (4,), (4,), (2,), (2,), (2,)], "n bigint")
+    for head, want in ((1, 5), (2, 5), (3, 4), (6, 2), (9, 2)):
+        monkeypatch.setattr(lm, "HEAD", head)
+        assert lm._least(frame, "n") == want
+    monkeypatch.setattr(lm, "HEAD", 0)
+    assert lm._least(frame, "n") > 5
+
+
 def lm_hashes(*words):
     data = np.frombuffer(b"".join(words), np.uint8)
     ends = np.cumsum([len(w) for w in words])
