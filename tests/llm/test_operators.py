@@ -5,6 +5,7 @@ import collections
 import hashlib
 import os
 import random
+import re
 import signal
 import zlib
 
@@ -467,6 +468,53 @@ def test_counts_survive_being_passed_on_early(spark, monkeypatch):
     assert got.hashes.tolist() == want.hashes.tolist() and got.groups.tolist() == want.groups.tolist()
 
 
+def test_vocabulary_survives_being_passed_on_early(spark, monkeypatch):
+    data = [*near_copies(6, 4), (1000, None), (1001, "Äpfel äpfel " * 3)]
+    frame = spark.createDataFrame(data, "doc_id bigint, text string").na.fill("").repartition(3)
+    by = lm.topics(frame)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 1 << 8)
+    want = collections.Counter(w for _, t in data for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()))
+    for held in (4, lm.HELD):
+        monkeypatch.setattr(lm, "HELD", held)
+        rows = lm.vocabulary(frame, by).collect()
+        got = {r.word and bytes(r.word): sum(r[f"c_{t}"] for t in range(lm.TOPICS + 1)) for r in rows}
+        assert len(got) == len(rows) and got == {**want, None: len(data)}
+
+
+def test_words_of_training_texts_are_not_spelled_again(spark, monkeypatch):
+    staged, keep = [], lm.materialize
+    monkeypatch.setattr(lm, "materialize", lambda df: staged.append(keep(df)) or staged[-1])
+    monkeypatch.setattr(lm, "HEAD", 8)
+    frame = spark.createDataFrame(near_copies(12, 4), "doc_id bigint, text string")
+    assert lm.score(frame, fold("doc_id", 7) != 2).where("score is null").count() == 0
+    rows = next(x for x in staged if "spelling" in x.columns)
+    spelled = rows.select("doc_id", "training", F.explode("spelling").alias("s")).where("s is not null")
+    assert spelled.where("not training").count()
+    only = frame.where(fold("doc_id", 7) != 2)
+    assert lm.score(only, F.lit(True)).where("score is null").count() == 0
+    rows = [x for x in staged if "spelling" in x.columns][-1].select(F.explode("spelling").alias("s"))
+    assert rows.count() and not rows.where("s is not null").count()
+
+
+def test_distinct_hashes_are_those_of_unique():
+    for dtype in (np.int64, np.uint64):
+        for n in (0, 1, 5000):
+            x = np.random.default_rng(n).integers(0, 1 << 63, n).astype(dtype)[np.random.default_rng(1).integers(0, max(n // 3, 1), n)]
+            x = x * dtype(2) if dtype is np.uint64 else x - (1 << 62)
+            want = np.unique(x, return_index=True, return_inverse=True)
+            assert all(np.array_equal(a, b) for a, b in zip(lm._distinct(x), want, strict=True))
+
+
+def test_bits_of_half_a_byte_have_neighbouring_slots():
+    data = np.frombuffer("some words and Wörter".encode(), np.uint8)
+    starts, ends = np.array([0, 5, 11, 15]), np.array([4, 10, 14, 22])
+    for _, _, _, slots in lm.Spelled(data, starts, ends, np.array([0, 1, 2, 3])).parts():
+        for slot, width in zip(slots, lm.CONTEXTS.values(), strict=True):
+            assert slot.min() >= 0 and slot.max() < 1 << width
+            for half in (slot[:, :4], slot[:, 4:]):
+                assert (half >> 4 == half[:, :1] >> 4).all() and all(len(set(x)) == 4 for x in half.tolist())
+
+
 def test_bytes_after_the_same_beginning_are_held_once():
     words, topics = [b"abcdefg", b"abcdxyz", b"abcdefg", b"", b"a"], [1, 1, 2, 1, 1]
     ends = np.cumsum([len(w) for w in words])
