@@ -508,7 +508,9 @@ def test_distinct_hashes_are_those_of_unique():
 def test_bits_of_half_a_byte_have_neighbouring_slots():
     data = np.frombuffer("some words and Wörter".encode(), np.uint8)
     starts, ends = np.array([0, 5, 11, 15]), np.array([4, 10, 14, 22])
-    for _, _, _, slots in lm.Spelled(data, starts, ends, np.array([0, 1, 2, 3])).parts():
+    spelled = lm.Spelled(data, starts, ends, np.array([0, 1, 2, 3]))
+    for (_, _, bits, slots), (_, _, _, both) in zip(spelled.parts(), spelled.parts(with_bits=True), strict=True):
+        assert all(np.array_equal(2 * a + bits, b) for a, b in zip(slots, both, strict=True))
         for slot, width in zip(slots, lm.CONTEXTS.values(), strict=True):
             assert slot.min() >= 0 and slot.max() < 1 << width
             for half in (slot[:, :4], slot[:, 4:]):
