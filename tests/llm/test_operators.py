@@ -409,6 +409,61 @@ def test_common_passages_do_not_chain_texts(spark):
     assert got == {k: k - 1000 if k >= 1000 else k for k, _ in data}
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=30), min_size=2, max_size=30, unique_by=frozenset), st.data())
+def test_candidates_hold_all_links(sets, data):
+    """Whatever the batches are: what is within the threshold is joined, and so are sets of many in one token's reach."""
+    percent = data.draw(st.sampled_from([50, 80, 85]))
+    order = data.draw(st.permutations(range(41)))
+    hashes = np.arange(41, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sketch = jaccard.sketches([hashes[sorted(s)] for s in sets])
+    apart = np.bitwise_count(sketch[:, None].view(np.uint64) ^ sketch[None].view(np.uint64)).sum(axis=2)
+    assert all(apart[i, j] <= len(a ^ b) for i, a in enumerate(sets) for j, b in enumerate(sets))
+    rows = sorted(
+        (t, len(s), k, place)
+        for k, s in enumerate(sets)
+        for place, t in enumerate([t for t in order if t in s][: jaccard.first_tokens(len(s), percent)], 1)
+    )
+    cuts = sorted(data.draw(st.lists(st.integers(0, len(rows)), max_size=5)))
+    names = ["token", "node", "n", "place", *jaccard.SKETCH]
+    batches = []
+    for begin, end in zip([0, *cuts], [*cuts, len(rows)]):
+        part = [(t, k, n, place, *sketch[k].tolist()) for t, n, k, place in rows[begin:end]]
+        columns = {c: pa.array([r[i] for r in part], pa.int64()) for i, c in enumerate(names)}
+        batches.append(pa.RecordBatch.from_pydict(columns))
+    before, jaccard.JOIN_ROWS = jaccard.JOIN_ROWS, data.draw(st.sampled_from([1, 4, 1 << 14]))
+    try:
+        links = [tuple(r.values()) for b in jaccard._candidates(iter(batches), percent) for r in b.to_pylist()]
+    finally:
+        jaccard.JOIN_ROWS = before
+    label = list(range(len(sets)))
+    for a, b in links:
+        label = [label[a] if x == label[b] else x for x in label]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if 100 * len(a & b) >= percent * len(a | b):
+                assert label[i] == label[j]
+
+
+def test_shared_tokens_do_not_chain_texts(spark):
+    """Texts that share a tenth of their words with each of ten others are no family, however many there are."""
+    pick = random.Random(11)
+    count = 200
+    parts = [" ".join(f"p{i}x{j}" for j in range(14)) for i in range(5 * count)]
+    slots = [i for i in range(5 * count) for _ in range(2)]
+    pick.shuffle(slots)
+    data = [(k, " ".join(parts[i] for i in slots[10 * k : 10 * k + 10])) for k in range(count)]
+    data += [(1000 + k, f"{text} end") for k, text in data[:20]]
+    frame = spark.createDataFrame(data, "doc_id bigint, text string")
+    classes = jaccard.shingle_table(frame, 5, 80)
+    links = jaccard._family_links(frame, classes, 5, 80).collect()
+    assert 20 <= len({r.a for r in links} | {r.b for r in links}) <= 60
+    before = {c: spark.conf.get(c) for c in jaccard.ARROW}
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame, 5, 80).collect()}
+    assert got == {k: c for (k, _), (_, c) in zip(data, brute.components(data, 5, 80))}
+    assert before == {c: spark.conf.get(c) for c in jaccard.ARROW}
+
+
 # language model
 
 
